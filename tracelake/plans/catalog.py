@@ -1,4 +1,6 @@
 """All registered queries, in the order of the operator inventory."""
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import catalog_time, catalog_events, catalog_bins, catalog_quality  # noqa: F401,E401
+from . import (  # noqa: F401,E402
+    catalog_time, catalog_merge, catalog_quality, catalog_events, catalog_bins, catalog_retrieve, catalog_profile,
+)
