@@ -20,6 +20,7 @@ def build_session(master: str | None = None, name: str = "tracelake") -> SparkSe
         )
     spark = (
         builder.config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # plan building without a stack capture per call
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
