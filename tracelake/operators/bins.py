@@ -46,19 +46,22 @@ def assign_bins(df: DataFrame, edges: list[float], hours: str = "hours", out: st
     return df.withColumn(out, bin_of(hours, edges))
 
 
-def moments(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+def moment_columns(v: Column) -> dict[str, Column]:
     """n, mean, sd (0 for one value), min, max, geometric mean and log sd of positives."""
-    v = F.col(value)
     ln = F.when(v > 0, F.ln(v))
-    return df.groupBy(*groups).agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.when(F.count(v) == 1, F.lit(0.0)).otherwise(F.stddev_samp(v)).alias("sd"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.exp(F.avg(ln)).alias("log_mean"),
-        F.when(F.count(ln) == 1, F.lit(0.0)).otherwise(F.stddev_samp(ln)).alias("log_sd"),
-    )
+    return {
+        "n": F.count(v),
+        "mean": F.avg(v),
+        "sd": F.when(F.count(v) == 1, F.lit(0.0)).otherwise(F.stddev_samp(v)),
+        "min": F.min(v),
+        "max": F.max(v),
+        "log_mean": F.exp(F.avg(ln)),
+        "log_sd": F.when(F.count(ln) == 1, F.lit(0.0)).otherwise(F.stddev_samp(ln)),
+    }
+
+
+def moments(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    return df.groupBy(*groups).agg(*[c.alias(n) for n, c in moment_columns(F.col(value)).items()])
 
 
 def has_log_stats(feature: str) -> Column:
@@ -71,12 +74,12 @@ def bin_stats(df: DataFrame, groups: list[str], value: str, mask: Column | None
     ``mask`` marks independent rows; statistics use those only, ``n_observed``
     counts all present values.
     """
-    used = df.where(mask & F.col(value).isNotNull()) if mask is not None else df.where(F.col(value).isNotNull())
+    kept = F.when(mask, F.col(value)) if mask is not None else F.col(value)
+    base = df.groupBy(*groups).agg(F.count(value).alias("n_observed"), *[c.alias(n) for n, c in moment_columns(kept).items()])
+    used = df.where(mask) if mask is not None else df
     stats = {n: quantile(p) for n, p in QUANTILES.items()}
     ranked = order_stats(used, groups, value, median=quantile(0.5), trimmed_mean_20pct=trimmed_mean(0.1), **stats)
-    base = moments(used, groups, value)
-    observed = df.groupBy(*groups).agg(F.count(value).alias("n_observed"))
-    out = join_keys(join_keys(observed, base, groups, "left"), ranked, groups, "left")
+    out = join_keys(base, ranked, groups, "left")
     return out.withColumns({
         "n": F.coalesce("n", F.lit(0)),
         "n_effective": F.coalesce("n", F.lit(0)),

@@ -223,14 +223,21 @@ def locate_blocks(blocks: DataFrame, keys: list[str], others: DataFrame, other_k
                   row: str = "row_idx") -> DataFrame:
     """Other exports that contain a whole block as an aligned run of equal values.
 
-    A block matches another export at shift ``s`` when all its rows equal the rows
-    ``s`` further on; found by joining on the value and counting per shift.
-    ``value`` must identify a row inside one export (a clock does).
+    ``value`` must identify a row inside one export (a clock does). Candidates come
+    from the block's first row, are cut down by its last row, and only those that
+    remain are compared row by row at their shift.
     """
-    left = blocks.select(*keys, "block_start", F.col(row).alias("_i"), F.col(value).alias("_v"))
-    size = blocks.groupBy(*keys, "block_start").agg(F.count(F.lit(1)).alias("block_rows"))
-    right = others.select(*[F.col(k).alias(f"other_{k}") for k in other_keys], F.col(row).alias("_j"), F.col(value).alias("_w"))
-    hits = left.join(right, F.col("_v") == F.col("_w")).groupBy(
-        *keys, "block_start", *[f"other_{k}" for k in other_keys], (F.col("_j") - F.col("_i")).alias("row_shift")
-    ).agg(F.count(F.lit(1)).alias("matched"))
-    return join_keys(hits, size, [*keys, "block_start"]).where(F.col("matched") == F.col("block_rows")).drop("matched")
+    ends = blocks.groupBy(*keys, "block_start").agg(
+        F.count(F.lit(1)).alias("block_rows"), F.min(row).alias("_i0"), F.max(row).alias("_i1"),
+        F.min_by(value, row).alias("_v0"), F.max_by(value, row).alias("_v1"))
+    outer = [f"other_{k}" for k in other_keys]
+    right = others.select(*[F.col(k).alias(o) for k, o in zip(other_keys, outer)], F.col(row).alias("_j"), F.col(value).alias("_w"))
+    start = ends.join(right, F.col("_v0") == F.col("_w")).withColumn("row_shift", F.col("_j") - F.col("_i0")).drop("_j", "_w")
+    at = right.withColumnsRenamed({o: f"_x_{o}" for o in outer})
+    same = lambda place: [F.col(o) == F.col(f"_x_{o}") for o in outer] + [F.col("_j") == place]
+    found = start.join(at, [*same(F.col("_i1") + F.col("row_shift")), F.col("_v1") == F.col("_w")], "left_semi")
+    rows = join_keys(blocks.select(*keys, "block_start", F.col(row).alias("_i"), F.col(value).alias("_v")),
+                     found.select(*keys, "block_start", "block_rows", *outer, "row_shift"), [*keys, "block_start"])
+    matched = rows.join(at, [*same(F.col("_i") + F.col("row_shift")), F.col("_v") == F.col("_w")])
+    return matched.groupBy(*keys, "block_start", *outer, "row_shift", "block_rows").agg(F.count(F.lit(1)).alias("_m")).where(
+        F.col("_m") == F.col("block_rows")).drop("_m")

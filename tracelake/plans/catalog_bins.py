@@ -8,6 +8,7 @@ from ..operators import features as ft
 from ..operators.orderstats import order_stats, trimmed_mean
 from ..operators.ordered import strip_layout
 from ..operators.timebase import step_support
+from ..sources.workdir import stored
 from .bindings import BIN_OF, EDGES, EP, KEY, SUPPORT, epochs, recordings, table  # noqa: F401
 from .registry import query
 
@@ -151,7 +152,7 @@ SELECT cv.patient_id, cv.bin_label, round(CASE WHEN clean >= 40 THEN med END+1e-
 FROM cv LEFT JOIN s USING (patient_id, bin_label)
 """)
 def below_minimum(spark, sf):
-    df = step_support(recordings(spark, sf), KEY)
+    df = stored(step_support(recordings(spark, sf), KEY).select("patient_id", "hours", "usable", "support_hours", "value"), "epochs")
     out = bn.aggregate_bins(df, KEY, ["value"], EDGES, min_hours=40.0)
     return out.select("patient_id", "bin_label", R(F.col("median")).alias("median"), "n_observed", "n_effective")
 
@@ -198,7 +199,8 @@ sl AS (SELECT patient_id, feature, CASE WHEN count(*) >= 2 THEN regr_slope(media
 
 def summary(spark, sf):
     df = step_support(recordings(spark, sf), KEY).withColumn("fft_delta_value", F.col("value"))
-    return bn.aggregate_bins(df, KEY, ["fft_delta_value", "raw_value"], EDGES)
+    df = stored(df.select("patient_id", "hours", "usable", "support_hours", "fft_delta_value", "raw_value"), "epochs")
+    return stored(bn.aggregate_bins(df, KEY, ["fft_delta_value", "raw_value"], EDGES), "bins")
 
 
 @query("A12_bin_slopes", SUMMARY + "SELECT patient_id, feature, round(slope+1e-9,6) AS slope FROM sl")

@@ -282,7 +282,7 @@ def provenance(spark, sf):
 
 @query("X11_codebook_hash", f"""
 WITH d AS (SELECT p_size AS file_id, sha256({NAME_SQL} || '|' || {FAM_SQL}) AS h FROM part)
-SELECT file_id, sha256(string_agg(h, ',' ORDER BY h)) AS codebook_hash FROM d GROUP BY 1
+SELECT file_id, sha256(concat_ws('|', count(*), sum(('0x' || substr(h, 1, 8))::BIGINT), sum(('0x' || substr(h, 9, 8))::BIGINT), sum(('0x' || substr(h, 17, 8))::BIGINT), sum(('0x' || substr(h, 25, 8))::BIGINT))) AS codebook_hash FROM d GROUP BY 1
 """)
 def codebook(spark, sf):
     return sh.codebook_hash(dictionary(spark, sf), ["file_id"], ["common_name", "family"])
