@@ -10,6 +10,7 @@ from ..constants import (
     SINGLE_VALUE_FAMILIES, VARIABLE_SUBCOLUMNS,
 )
 from ..functions import labels as lb
+from ..sources.workdir import stored
 from .ordered import index_rows, join_keys, strip_layout
 from .retrieve import bin_frequency
 
@@ -104,6 +105,11 @@ def unique_names(columns: DataFrame, keys: list[str], position: str = "col_idx",
     return out.withColumn("unique_name", unique).drop("_nth", "_uses", "_taken")
 
 
+def build_dictionary(columns: DataFrame, keys: list[str], **template: str) -> DataFrame:
+    """Described columns with unique names. The description is stored once, as naming reads it several times."""
+    return unique_names(stored(describe(columns, **template), "columns"), keys)
+
+
 def resolve_panels(columns: DataFrame, keys: list[str], panels: DataFrame) -> DataFrame:
     """(keys, panel) where exactly one panel has ``max(i_group) - 2`` instruments.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import is_zero
+from ..sources.workdir import stored
 from .merge import to_long
 from .ordered import join_keys
 from .orderstats import average_rank, order_stats, quantile
@@ -54,18 +55,20 @@ def spectrogram_profile(df: DataFrame, keys: list[str], array: str, family: str,
     return out.withColumns({"width_ok": F.col("width") == expected, "peak_hz": bin_frequency(family, "peak_bin")})
 
 
-def spearman(df: DataFrame, ids: list[str], left: list[str], right: list[str]) -> DataFrame:
+def spearman(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
     """(a, b, r): rank correlation of every left with every right column.
 
     Ranks use the rows in which all listed columns are present, ties sharing the
-    mean rank. Ranks come from the distributed ranking, correlation from one
-    aggregate over (left x right), both of configured size.
+    mean rank. The ranking is distributed and stored once; each column then meets
+    its own ranks by value (a small table for coarse signals, which adaptive
+    execution broadcasts), and one aggregate over (left x right) follows.
     """
     cols = [*left, *[c for c in right if c not in left]]
-    whole = df.dropna(subset=cols)
-    long = to_long(whole, ids, cols)
-    ranked = join_keys(long, average_rank(long, ["column"], "value"), ["column", "value"])
-    wide = ranked.groupBy(*ids).agg(*[F.max(F.when(F.col("column") == c, F.col("avg_rank"))).alias(f"_{c}") for c in cols])
+    wide = df.select(*cols).dropna(subset=cols)
+    ranks = stored(average_rank(to_long(wide, [], cols), ["column"], "value"), "ranks")
+    for c in cols:
+        own = ranks.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("avg_rank").alias(f"_{c}"))
+        wide = wide.join(own, F.col(c).cast("double") == F.col(f"_v_{c}")).drop(f"_v_{c}")
     packed = wide.agg(*[F.corr(f"_{a}", f"_{b}").alias(f"{i}_{j}") for i, a in enumerate(left) for j, b in enumerate(right)])
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}_{j}").alias("r"))
                       for i, a in enumerate(left) for j, b in enumerate(right)])

@@ -224,7 +224,7 @@ WITH {NAMES}, u AS (SELECT *, row_number() OVER (PARTITION BY file_id, common_na
 SELECT p_partkey, family, CASE WHEN nth = 1 THEN common_name ELSE common_name || '__dup' || nth END AS unique_name FROM u
 """)
 def schema(spark, sf):
-    return cl.unique_names(described(spark, sf), ["file_id"]).select("p_partkey", "family", "unique_name")
+    return cl.build_dictionary(labelled(spark, sf), ["file_id"]).select("p_partkey", "family", "unique_name")
 
 
 @query("C13_resolution_mix", f"""

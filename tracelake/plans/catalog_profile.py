@@ -58,7 +58,7 @@ c AS (SELECT unnest([struct_pack(a := 'fft_alpha_left_anterior', b := 'quantity'
 
 def spearman_pairs(spark, sf):
     df = signals(spark, sf)
-    return pf.spearman(df, ["l_orderkey", "l_linenumber", "l_partkey", "patient_id"], ["fft_alpha_left_anterior", "fft_alpha_right_anterior"], ["quantity", "price", "discount", "tax"])
+    return pf.spearman(df, ["fft_alpha_left_anterior", "fft_alpha_right_anterior"], ["quantity", "price", "discount", "tax"])
 
 
 @query("P4_rank_correlation", SPEAR + "SELECT s.a AS a, s.b AS b, round(s.r+1e-9,6) AS r FROM c")
