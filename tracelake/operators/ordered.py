@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workdir import stored
+
 SLICE_ROWS_CONF = "spark.tracelake.sliceRows"
 DEFAULT_SLICE_ROWS = 2_000_000
 MAX_SLICES = 32_768
@@ -64,7 +66,7 @@ def _find_cuts(df: DataFrame, keys: list[str], order: list[str], sizes_of: DataF
     """(keys, _hot, _cuts = sorted cut points) of the hot keys, or None when no key is hot.
 
     Runs a counting job. Only if it finds a hot key are cuts sampled; they are then
-    held as a small local table, at most ``2 * MAX_SLICES`` points.
+    kept as a small stored table, at most ``2 * MAX_SLICES`` points.
     """
     limit = slice_rows(df)
     sizes = (sizes_of if sizes_of is not None else df).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
@@ -88,8 +90,8 @@ def _find_cuts(df: DataFrame, keys: list[str], order: list[str], sizes_of: DataF
         .where(F.size("_s") >= 2 * SAMPLES_PER_SLICE)
         .select(*keys, F.lit(True).alias(HOT), picks.alias("_cuts"))
     )
-    rows = cuts.collect()
-    return df.sparkSession.createDataFrame(rows, cuts.schema) if rows else None
+    cuts = stored(cuts, "cuts")
+    return None if cuts.isEmpty() else cuts
 
 
 def slice_sequence(df: DataFrame, keys: list[str], order: list[str], sizes_of: DataFrame | None = None) -> DataFrame:
@@ -111,8 +113,13 @@ def _parts(df: DataFrame, keys: list[str]) -> list[str]:
 
 
 def _per_slice(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
-    """Aggregate the hot slices: at most ``2 * MAX_SLICES`` rows."""
-    return df.where(F.col(HOT).isNotNull()).groupBy(*keys, *LAYOUT).agg(*aggs)
+    """Aggregate the hot slices: at most ``2 * MAX_SLICES`` rows, stored.
+
+    Storing them keeps a chain of ordered steps linear: each step reads the rows
+    once and a finished small table, instead of carrying a second copy of all
+    steps before it in the plan.
+    """
+    return stored(df.where(F.col(HOT).isNotNull()).groupBy(*keys, *LAYOUT).agg(*aggs), "slices")
 
 
 def _with_slices(df: DataFrame, per_slice: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import add_seconds, hours_between, micros_between
 from ..functions.numbers import col_of, count_where
-from .ordered import index_rows, join_keys, neighbours, running, strip_layout
+from ..sources.workdir import stored
+from .ordered import index_rows, is_sliced, join_keys, neighbours, running, strip_layout
 from .orderstats import group_median
 
 # Longest accepted delay from the event to the recording start, gap
@@ -25,6 +26,11 @@ def timeline(df: DataFrame, keys: list[str], order: list[str], ts: str = "ts", s
     return running(index_rows(df, keys, order), keys, {start: ("min", ts)})
 
 
+def stored_if_sliced(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a timeline that holds hot keys; others stay lazy."""
+    return stored(df, "timeline") if is_sliced(df) else df
+
+
 def hours_relative(df: DataFrame, reference: str | Column, ts: str = "ts", out: str = "hours") -> DataFrame:
     return df.withColumn(out, hours_between(reference, ts))
 

@@ -67,6 +67,7 @@ def process_cohort(inputs: CohortInputs, settings: CohortSettings | None = None)
         df = timebase.timeline(kept, keys, inputs.order, ts)
     else:
         df = timebase.hours_relative(df, "start_ts", ts)
+    df = timebase.stored_if_sliced(df)
     if inputs.instruments:
         df = quality.null_suppressed_zeros(df, keys, list(inputs.instruments))
     else:

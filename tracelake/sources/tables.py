@@ -148,13 +148,14 @@ def read_result(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
 def write_cohort(parts: list[DataFrame], path: str, key: str = "patient_id") -> None:
     """Cohort data set partitioned by patient; parts may differ in columns.
 
-    Rows are spread by (key, row hash) first, so that one long recording is
-    written by many tasks and every patient still gets few files.
+    The rebalance hint groups rows by patient before the write, so a patient gets
+    few files, and adaptive execution splits the partition of a long recording.
     """
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    out.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", 5_000_000).partitionBy(key).parquet(path)
+    writer = out.hint("rebalance", key).write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", 5_000_000)
+    writer.partitionBy(key).parquet(path)
 
 
 def cohort_manifest(epochs: DataFrame, keys: list[str], hours: str = "hours") -> DataFrame:
