@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint location; a temporary one only if none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = tempfile.mkdtemp(prefix="spark-tracelake-")
     return f"{base.rstrip('/')}/tracelake/{name}-{uuid.uuid4().hex[:12]}"
