@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import minhash, packing, token_files
+from . import fm_index, line_windows, minhash, packing, token_files, toxicity
 from .common import table, word_tokenizer_path, work_dir
 
 QUERIES: dict[str, Query] = {}
@@ -39,3 +39,51 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, word_tokenizer_path())
     files = token_files.read_token_files(spark, path)
     return token_files.with_start(token_files.token_checksums(files), files).select("doc_id", F.col("start"), "n_tokens", "ids_crc32")
+
+
+_WORDS_2 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query("op2_benchmark_decontamination", f"""
+WITH dw AS (SELECT doc_id, {_WORDS_2} AS w FROM documents),
+iw AS (SELECT item_id, {_WORDS_2} AS w FROM benchmark),
+iwin AS (SELECT DISTINCT item_id, unnest(list_transform(range(0, greatest(len(w) - 9, 1)), i -> w[i + 1:i + 10])) AS win FROM iw WHERE len(w) > 0),
+lens AS (SELECT DISTINCT len(win) AS n FROM iwin),
+places AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS pos FROM dw, lens WHERE len(w) >= n),
+hits AS (SELECT a.doc_id, a.pos, a.n, i.item_id FROM (SELECT doc_id, pos, n, w[pos + 1:pos + n] AS win FROM places) a JOIN iwin i USING (win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""")
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query("op7_line_windows", """
+WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS pos FROM docs),
+three AS (SELECT *, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+seen AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, pos) AS k FROM three
+         WHERE c IS NOT NULL AND (trim(line) <> '' OR trim(b) <> '' OR trim(c) <> '')),
+gone AS (SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS pos FROM seen WHERE k > 1)
+SELECT d.doc_id, coalesce(any_value(len(d.l)), 0)::BIGINT AS n_lines, count(g.pos)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(lines.line, chr(10) ORDER BY lines.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
+FROM docs d LEFT JOIN lines USING (doc_id) LEFT JOIN gone g ON g.doc_id = lines.doc_id AND g.pos = lines.pos GROUP BY d.doc_id
+""")
+def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_windows.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op8_weak_supervision")
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    voters, coefficients = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, voters, coefficients)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
