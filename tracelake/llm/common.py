@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Callable, Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..sources.workdir import stored, work_dir  # noqa: F401  (used by the operators)
 
 #: Words a worker keeps with their ids at most; about 250 bytes each.
-CACHED_WORDS = 300_000
-_UNUSUAL_SPACE = re.compile("[\x1c-\x1f]")
-_NO_SPACE = re.compile("[^\x09-\x0d\x20]+")
+CACHED_WORDS = 250_000
+#: Text that is encoded together, in bytes.
+ENCODED_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,45 +55,109 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
-def split_words(text: str) -> list[str]:
-    """White space of the tokenizers' own ``\\s``; Python's split also breaks at four control characters."""
-    return _NO_SPACE.findall(text) if _UNUSUAL_SPACE.search(text) else text.split()
+def kept_in_worker(name: str, make: Callable):
+    """One object per Python worker process and name, for caches that later tasks of the process go on with."""
+    holder = sys.modules.setdefault("_tracelake_worker", types.ModuleType("_tracelake_worker"))
+    if not hasattr(holder, name):
+        setattr(holder, name, make())
+    return getattr(holder, name)
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian uint32 bytes.
+    """Ids of whole texts as little-endian uint32 bytes, for the word tokenizer (see the README of the vocabularies).
 
-    For tokenizers whose tokens never cross white space. Each different word is
-    encoded once by the tokenizers library and remembered, as most words of a
-    partition are repeats.
+    Its tokens never cross white space, so only the different words of a piece of a batch
+    are encoded, and what they consist of is remembered for later ones. Most words are
+    letters with a mark behind them. Their letters are put in lower case by Arrow and go to
+    the library's model without its normaliser, which is most of its time; all other words
+    go through the whole tokenizer.
     """
 
+    #: Composed letters whose lower case is the same everywhere; one mark may follow.
+    PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+[.,]?$"
+
     def __init__(self, path: str, limit: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at:at + 4096]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.asarray(got.ids, "<u4"), np.asarray(got.word_ids, np.int64)
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1)) * 4
-            raw = ids.tobytes()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()))
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        known = self.known
-        for text in texts:
-            words = split_words(text) if text else []
-            new = {w for w in words if w not in known}
-            if new:
-                if len(known) + len(new) > self.limit:
-                    known.clear()
-                    new = set(words)
-                self._learn(list(new))
-            yield b"".join(map(known.__getitem__, words))
+        self.whole, self.limit, self.known, self.others = Tokenizer.from_file(path), limit, {}, {}
+        self.model_only = Tokenizer(self.whole.model)
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        self.byte_symbols = "".join(chr(b if b in printable else next(rest)) for b in range(256))
+
+    @classmethod
+    def of_worker(cls, path: str) -> WordEncoder:
+        return kept_in_worker(f"words:{path}", lambda: cls(path))
+
+    def _looked_up(self, words: list[str], known: dict, tokenizer, written: Callable[[str], str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words behind each other, and where each word's ids end; unknown words are encoded first."""
+        if new := [w for w in words if w not in known]:
+            for _ in range(len(known) // 2 if len(known) + len(new) > self.limit else 0):
+                known.popitem()  # the newest: words known for long are the frequent ones
+            new = [w for w in words if w not in known]
+            for at in range(0, len(new), 4096):
+                part = new[at:at + 4096]
+                got = tokenizer.encode([written(w) for w in part], is_pretokenized=True, add_special_tokens=False)
+                raw, owner = np.asarray(got.ids, "<u4").tobytes(), np.asarray(got.word_ids, np.int64)
+                cuts = (np.searchsorted(owner, np.arange(len(part) + 1)) * 4).tolist()
+                known.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
+        ids = [known[w] for w in words]
+        return np.frombuffer(b"".join(ids), "<u4"), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, and where each word's ids end."""
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        is_plain = np.asarray(plain)
+        marked = words.filter(plain)
+        last = pc.utf8_slice_codeunits(marked, -1)
+        mark = np.asarray(pc.is_in(last, value_set=pa.array([".", ","])))
+        letters = pc.utf8_lower(pc.if_else(pa.array(mark), pc.utf8_slice_codeunits(marked, 0, -1), marked))
+        pieces = pa.concat_arrays([letters, pa.array([".", ","])]).dictionary_encode()
+        place = np.asarray(pieces.indices)
+        symbols = self.byte_symbols
+        ids, ends = self._looked_up(pieces.dictionary.to_pylist(), self.known, self.model_only,
+                                    lambda p: p if p.isascii() else p.encode().decode("latin-1").translate(symbols))
+        more, more_ends = self._looked_up(words.filter(pc.invert(plain)).to_pylist(), self.others, self.whole, str)
+        # Each word is a part of the ids, and a mark behind it; the parts are numbered: pieces, then other words, then nothing.
+        ends = np.concatenate([[0], ends, len(ids) + more_ends])
+        first, second = np.empty(len(words), np.int64), np.full(len(words), -1, np.int64)
+        first[is_plain], first[~is_plain] = place[:-2], len(pieces.dictionary) + np.arange(len(more_ends))
+        comma = np.asarray(pc.equal(last, ","))
+        second[is_plain] = np.where(mark, np.where(comma, place[-1], place[-2]), -1)
+        parts = np.stack([first, second], 1).ravel()
+        size = np.where(parts < 0, 0, ends[parts + 1] - ends[parts])
+        ids = gathered(np.concatenate([ids, more]), ends[parts], size)
+        return ids, np.cumsum(size)[1::2]
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        for piece in sliced_by_bytes(texts, ENCODED_BYTES):
+            lists = pc.ascii_split_whitespace(pc.fill_null(piece, ""))
+            words = lists.flatten().dictionary_encode()
+            ids, ends = self._of_words(words.dictionary)
+            which = np.asarray(words.indices)
+            size = np.diff(ends, prepend=0)
+            until = np.concatenate([[0], np.cumsum(size[which])])
+            raw = gathered(ids, (ends - size)[which], size[which]).tobytes()
+            offsets = np.asarray(lists.offsets)
+            cuts = (until[offsets - offsets[0]] * 4).tolist()
+            yield from (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
+
+
+def gathered(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``values[begin:begin + size]`` of all pairs behind each other."""
+    until = np.cumsum(size)
+    return values[np.repeat(begin - until + size, size) + np.arange(until[-1] if len(until) else 0)]
+
+
+def sliced_by_bytes(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """Slices of about ``limit`` bytes, one text at least."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+    until, at = np.cumsum(sizes), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(until, until[at] - sizes[at] + limit, "right")))
+        yield texts.slice(at, to - at)
+        at = to
 
 
 def word_tokenizer_path() -> str:

@@ -101,7 +101,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches):
-        encoder, free = WordEncoder(tokenizer), TaskContext.get().partitionId() * PER_PARTITION
+        encoder, free = WordEncoder.of_worker(tokenizer), TaskContext.get().partitionId() * PER_PARTITION
         names, kept, numbers = [], [], array("q")
 
         def packed():
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             return out | ({"ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in kept]} if with_ids else {})
 
         for batch in batches:
-            for name, ids in zip(batch[0].to_pylist(), encoder.encode(batch[1].to_pylist())):
+            for name, ids in zip(batch[0].to_pylist(), encoder.encode(batch[1])):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):

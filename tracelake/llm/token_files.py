@@ -52,11 +52,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches):
-        encoder, part, before = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, before = WordEncoder.of_worker(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                piece = batch.slice(at, 512)
-                texts = [x + end for x in encoder.encode(piece[1].to_pylist())]
+            for at in range(0, len(batch), 2048):
+                piece = batch.slice(at, 2048)
+                texts = [x + end for x in encoder.encode(piece[1])]
                 sizes = np.array([len(x) // 4 for x in texts], np.int64)
                 ends = np.cumsum(sizes)
                 values = pa.array(np.frombuffer(b"".join(texts), "<u4").astype(np.int32))
