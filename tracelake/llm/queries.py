@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import fm_index, line_windows, minhash, packing, token_files, toxicity
+from . import fm_index, language, line_windows, minhash, packing, token_files, top_k, toxicity
 from .common import table, word_tokenizer_path, work_dir
 
 QUERIES: dict[str, Query] = {}
@@ -48,7 +48,7 @@ _WORDS_2 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNO
 @query("op2_benchmark_decontamination", f"""
 WITH dw AS (SELECT doc_id, {_WORDS_2} AS w FROM documents),
 iw AS (SELECT item_id, {_WORDS_2} AS w FROM benchmark),
-iwin AS (SELECT DISTINCT item_id, unnest(list_transform(range(0, greatest(len(w) - 9, 1)), i -> w[i + 1:i + 10])) AS win FROM iw WHERE len(w) > 0),
+iwin AS (SELECT DISTINCT item_id, unnest([w[i + 1:i + 10] for i in range(0, greatest(len(w) - 9, 1))]) AS win FROM iw WHERE len(w) > 0),
 lens AS (SELECT DISTINCT len(win) AS n FROM iwin),
 places AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS pos FROM dw, lens WHERE len(w) >= n),
 hits AS (SELECT a.doc_id, a.pos, a.n, i.item_id FROM (SELECT doc_id, pos, n, w[pos + 1:pos + n] AS win FROM places) a JOIN iwin i USING (win)),
@@ -87,3 +87,22 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     voters, coefficients = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     scored = toxicity.score(docs, voters, coefficients)
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query("op6_language_backoff")
+def op6_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = language.identify(docs, language.fit(docs, ~held_out))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_sorted_access_top_k", """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS c FROM embeddings
+           WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, o.vec_id, list_sum([q.c[i] * o.c[i] for i in range(1, 1 + len(q.c))])::BIGINT AS score
+      FROM v q JOIN v o ON q.vec_id % 50 = 0 AND o.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op9_sorted_access_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
