@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 from ..sources.workdir import stored, work_dir  # noqa: F401  (used by the operators)
 
 #: Words a worker keeps with their ids at most; about 250 bytes each.
-CACHED_WORDS = 250_000
-#: Text that is encoded together, in bytes.
-ENCODED_BYTES = 4_000_000
+CACHED_WORDS = 300_000
+#: Text of a batch that is worked on together, in bytes.
+SLICE_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,7 +131,7 @@ class WordEncoder:
         return ids, np.cumsum(size)[1::2]
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
-        for piece in sliced_by_bytes(texts, ENCODED_BYTES):
+        for piece in sliced_by_bytes(texts, SLICE_BYTES):
             lists = pc.ascii_split_whitespace(pc.fill_null(piece, ""))
             words = lists.flatten().dictionary_encode()
             ids, ends = self._of_words(words.dictionary)
@@ -172,24 +172,22 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-class WordHasher:
-    """64-bit hashes of words, kept for words that come again."""
+def split_flat(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words between ASCII white space of all texts (null: none), and where each text's words begin and end."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words, offsets = lists.flatten(), np.asarray(lists.offsets, np.int64)
+    full = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(np.asarray(full), dtype=np.int64)])
+    return words.filter(full), before[offsets - offsets[0]]
 
-    def __init__(self, limit: int = CACHED_WORDS):
-        import xxhash
 
-        self.digest, self.limit, self.known = xxhash.xxh3_64_intdigest, limit, {}
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A uint64 hash of each word; every different word is hashed once."""
+    import xxhash
 
-    def hashes(self, words: list) -> np.ndarray:
-        known = self.known
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = set(words)
-            digest = self.digest
-            known.update((w, digest(w)) for w in new)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    coded, digest = words.dictionary_encode(), xxhash.xxh3_64_intdigest
+    different = np.fromiter((digest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    return different[np.asarray(coded.indices)] if len(words) else np.empty(0, np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

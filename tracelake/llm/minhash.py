@@ -34,11 +34,13 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, arrow_map, ascii_words, column_type, stored, stored_in_small_batches, window_hashes
+from .common import (SLICE_BYTES, arrow_map, ascii_words, column_type, sliced_by_bytes, split_flat, stored, stored_in_small_batches, window_hashes,
+                     word_hashes)
 from .components import components
 
 SHINGLE = 5
@@ -70,16 +72,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int, wit
         schema = schema.add("sketch", T.ArrayType(T.LongType()))
 
     def run(batches):
-        hasher = WordHasher()
         for batch in batches:
             sizes, keys, kept = [], [], []
-            for text in batch[2].to_pylist():
-                words = hasher.hashes(ascii_words(text))
-                n = len(words)
-                values = np.unique(window_hashes(words, min(n, size)) >> np.uint64(1)).astype(np.int64) if n else np.empty(0, np.int64)
-                sizes.append(len(values))
-                keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if n else None)
-                kept.append(values[:k])
+            for texts in sliced_by_bytes(batch[2], SLICE_BYTES):
+                words, offsets = split_flat(pc.ascii_lower(texts))
+                hashes = word_hashes(words)
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    values = np.unique(window_hashes(hashes[a:b], min(b - a, size)) >> np.uint64(1)).astype(np.int64) if b > a else np.empty(0, np.int64)
+                    sizes.append(len(values))
+                    keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if b > a else None)
+                    kept.append(values[:k])
             yield {"id": batch[0], "hash": batch[1], "n": sizes, "key": keys} | ({"sketch": kept} if with_sketch else {})
 
     return arrow_map(docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col), run, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import fm_index, language, line_windows, minhash, packing, token_files, top_k, toxicity
+from . import fm_index, language, line_windows, minhash, packing, phrases, token_files, top_k, toxicity
 from .common import table, word_tokenizer_path, work_dir
 
 QUERIES: dict[str, Query] = {}
@@ -106,3 +106,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """)
 def op9_sorted_access_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op3_phrase_automata")
+def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.drop_repeated_passages(table(spark, sf_dir, "documents"))
