@@ -5,8 +5,8 @@
    known by a 128-bit digest of its set, not by a document id.
 2. The sketch of a set is its ``k`` smallest shingle hashes. Sets with a Jaccard
    similarity of at least ``threshold`` must share ``needed(n)`` retained values: exactly,
-   as long as both sketches hold whole sets; else as a binomial tail that a link misses
-   with a probability under 1e-6 at the threshold (see ``needed``).
+   as long as a sketch can hold their union; else up to the tail of a random draw that a
+   link at the threshold misses with a probability of 1e-6 (see ``needed``).
 3. An inverted list per retained value is built only over the rarest
    ``len(sketch) - needed + 1`` values of each sketch, in one order for all, so that
    similar sets still meet in a list. Values of one class fill these places first and lead
@@ -45,19 +45,49 @@ from .components import components
 
 SHINGLE = 5
 THRESHOLD = 80
-SKETCH = 64
+SKETCH = 96
 #: Leaders of a list in its first round, which settles groups of near copies, and after.
-FIRST_LEADERS, LEADERS = 1, 16
+FIRST_LEADERS, LEADERS = 1, 64
 #: Miss probability of a link at the threshold, for the overlap that two sketches must have.
 MISS = 1e-6
 
 
-def least_overlap(k: int, threshold: int) -> int:
-    """Largest c with P(Binomial(k, threshold) < c) <= MISS."""
-    p, below, c = threshold / 100, 0.0, 0
-    while (below := below + math.comb(k, c) * p**c * (1 - p) ** (k - c)) <= MISS:
+def needed(n: int, k: int, threshold: int) -> int:
+    """Retained values that a set of ``n`` shingles shares with any set of at least the threshold.
+
+    The union of the two has at most ``n / threshold`` members. Where all of them fit into a
+    sketch, the shared ones are counted exactly. Else the ``k`` smallest of the union are a
+    draw from it, and the result is the largest count that such a draw falls short of with a
+    probability of at most MISS.
+    """
+    union = n * 100 // threshold
+    if union <= k:
+        return -(-n * threshold // 100)
+    return min(_of_draw(union, k, threshold), -(-n * threshold // 100))
+
+
+def _of_draw(union: int, k: int, threshold: int) -> int:
+    common = -(-union * threshold // 100)
+    below, c, all_ = 0.0, 0, math.lgamma(union + 1) - math.lgamma(k + 1) - math.lgamma(union - k + 1)
+    ways = lambda m, r: math.lgamma(m + 1) - math.lgamma(r + 1) - math.lgamma(m - r + 1)
+    while True:
+        if k - c <= union - common:
+            below += math.exp(ways(common, c) + ways(union - common, k - c) - all_)
+        if below > MISS:
+            return c
         c += 1
-    return c
+
+
+def _needed(n: Column, k: int, threshold: int) -> Column:
+    """``needed`` as an expression: exact for small sets, then steps down to what sets of any size share."""
+    top = k * threshold // 100
+    last = needed(top + 1, k, threshold)
+    out = F.lit(last)
+    for size in [*range(top + 2, 20 * k), 10**4, 10**5, 10**7]:
+        if (c := needed(size, k, threshold)) != last:
+            out = out + F.when(n >= size, c - last).otherwise(0)
+            last = c
+    return F.when(n <= top, F.ceil(n * threshold / 100)).otherwise(out)
 
 
 def shingles(words: list, size: int) -> set:
@@ -87,12 +117,6 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int, wit
     return arrow_map(docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col), run, schema)
 
 
-def _needed(n: Column, k: int, threshold: int) -> Column:
-    """Retained values a set of ``n`` shingles shares with any similar set; see the module's text."""
-    whole = F.ceil(n * threshold / 100)
-    return F.when(n <= k * threshold // 100, whole).otherwise(F.lit(least_overlap(k, threshold)))
-
-
 def inverted_lists(classes: DataFrame, k: int, threshold: int) -> DataFrame:
     """(value, node) over the rarest values of every sketch, for values that at least two classes retain."""
     postings = classes.select("node", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("value"))
@@ -112,11 +136,12 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, threshold: int) ->
     """Pairs (a, b) of nodes whose sizes and union sketch allow the threshold, as class keys (ka, kb)."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").where("ka != kb")
-    ratio = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold
+    least = _needed(F.least("na", "nb"), k, threshold)
+    ratio = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold) & (F.size(F.array_intersect("sa", "sb")) >= least)
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     whole = (F.col("na") <= k) & (F.col("nb") <= k) & (F.size(F.array_union("sa", "sb")) <= k)
-    enough = F.when(whole, common * 100 >= F.size(union) * threshold).otherwise(common >= least_overlap(k, threshold))
+    enough = F.when(whole, common * 100 >= F.size(union) * threshold).otherwise(common >= least)
     return both.where(ratio).where(enough).select("ka", "kb")
 
 
@@ -154,13 +179,14 @@ def _links(lists: DataFrame, classes: DataFrame, texts: DataFrame, size: int, k:
             pairs = pairs.join(lead_part, ["value", "leader"]).where("part != lead_part")
         pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         new = stored_in_small_batches(_verified(_estimated(pairs, classes, k, threshold), texts, size, threshold), "links")
-        edges = new if edges is None else edges.unionAll(new)
-        found = components(edges)
+        if found is None or not new.isEmpty():
+            edges = new if edges is None else edges.unionAll(new)
+            found = components(edges)
         part = found.select(F.xxhash64("node").alias("node"), F.col("root").alias("part"))
         rest = rows.select("value", "node").join(led.select("value", F.col("leader").alias("node")), ["value", "node"], "left_anti")
         placed = rest.join(part, "node", "left").withColumn("part", F.coalesce("part", F.col("node").cast("string").cast("binary")))
-        mixed = placed.groupBy("value").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo != _hi").select("value")
-        rows, count = stored(placed.join(mixed, "value").select("value", "node", "part"), "lists"), LEADERS
+        several = placed.groupBy("value").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo != _hi").select("value")
+        rows, count = stored(placed.join(several, "value").select("value", "node", "part"), "lists"), LEADERS
         if rows.isEmpty():
             return found
 
