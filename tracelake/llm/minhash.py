@@ -213,3 +213,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = rows.join(assigned, F.col("key") == F.col("_key"), "left")
     component = F.coalesce("_least", id_col)
     return out.select(id_col, F.col("n").alias("n_shingles"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id; columns as before."""
+    kept = near_duplicates(docs, id_col, text_col, size, threshold).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")

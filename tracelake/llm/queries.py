@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import fm_index, language, line_windows, minhash, packing, phrases, token_files, top_k, toxicity
+from . import fm_index, language, line_windows, minhash, packing, phrases, revisits, token_files, top_k, toxicity
 from .common import table, word_tokenizer_path, work_dir
 
 QUERIES: dict[str, Query] = {}
@@ -111,3 +111,48 @@ def op9_sorted_access_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_phrase_automata")
 def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.drop_repeated_passages(table(spark, sf_dir, "documents"))
+
+
+_URL_PARTS = r"""'^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]+)?([^?#]*)(?:\?([^#]*))?'"""
+
+
+@query("op1_revisit_resolution", f"""
+WITH r AS (SELECT 2 * page_id AS id, url, page_id * 60 AS t, md5(html) AS tag, length(html) AS n, page_id AS p FROM pages),
+v AS (SELECT 2 * page_id + 1 AS id, url || CASE WHEN contains(url, '#') THEN '' ELSE '#again' END AS url,
+             page_id * 60 + CASE WHEN page_id % 7 = 0 THEN -30 ELSE 5400 + 60 * (page_id % 3000) END AS t,
+             CASE WHEN page_id % 5 = 0 THEN 'stale' ELSE 'W/' || md5(html) END AS tag, page_id AS p FROM pages),
+k AS (SELECT id, t, tag, p, n, regexp_extract(url, {_URL_PARTS}, 1) AS host, regexp_extract(url, {_URL_PARTS}, 2) AS port,
+             regexp_extract(url, {_URL_PARTS}, 3) AS path,
+             list_sort([x for x in string_split(regexp_extract(url, {_URL_PARTS}, 4), '&')
+                        if x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|sessionid|sid)(=|$)')]) AS q
+      FROM (SELECT id, url, t, tag, n, p FROM r UNION ALL SELECT id, url, t, tag, NULL, p FROM v)),
+u AS (SELECT id, t, tag, p, n, regexp_replace(lower(host), '^www\\.', '') || CASE WHEN port IN (':80', ':443') THEN '' ELSE port END ||
+             regexp_replace(path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM k),
+a AS (SELECT v.id, v.url_key, v.tag, v.p, o.id AS response_id, o.tag AS old_tag, o.n,
+             row_number() OVER (PARTITION BY v.id ORDER BY o.t DESC NULLS LAST, o.id DESC) AS k
+      FROM (SELECT * FROM u WHERE n IS NULL) v LEFT JOIN (SELECT * FROM u WHERE n IS NOT NULL) o ON o.url_key = v.url_key AND o.t < v.t),
+f AS (SELECT *, CASE WHEN response_id IS NULL THEN 'no_earlier_response' WHEN regexp_replace(tag, '^W/', '') = old_tag THEN 'resolved'
+                     ELSE 'validator_mismatch' END AS outcome FROM a WHERE k = 1)
+SELECT id AS record_id, url_key, CASE WHEN outcome = 'resolved' THEN response_id END AS response_id, outcome,
+       CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=' || p || '; content-length: ' || n || '; content-type: text/html; etag: ' || tag
+            ELSE 'cache-control: max-age=' || p || '; content-length: 0; etag: ' || tag END AS headers,
+       CASE WHEN outcome = 'resolved' THEN old_tag END AS payload_digest
+FROM f
+""")
+def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures derived from ``pages``: each page once in full, and once as a revisit, of which a seventh comes too early and a fifth has a stale tag."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.md5("html").alias("tag"), F.length("html").alias("n"))
+    full = pages.select(
+        (2 * F.col("page_id")).alias("record_id"), F.lit("response").alias("record_type"), "url", F.timestamp_seconds(60 * F.col("page_id")).alias("captured_at"),
+        F.create_map(F.lit("ETag"), "tag", F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.col("n").cast("string"),
+                     F.lit("Cache-Control"), F.lit("no-store")).alias("headers"), F.col("tag").alias("payload_digest"))
+    page = F.col("page_id")
+    delay = F.when(page % 7 == 0, -30).otherwise(5400 + 60 * (page % 3000))
+    again = pages.select(
+        (2 * page + 1).alias("record_id"), F.lit("revisit").alias("record_type"),
+        F.concat("url", F.when(F.contains("url", F.lit("#")), "").otherwise("#again")).alias("url"), F.timestamp_seconds(60 * page + delay).alias("captured_at"),
+        F.create_map(F.lit("etag"), F.when(page % 5 == 0, "stale").otherwise(F.concat(F.lit("W/"), "tag")), F.lit("content-length"), F.lit("0"),
+                     F.lit("cache-control"), F.concat(F.lit("max-age="), page.cast("string"))).alias("headers"), F.lit(None).cast("string").alias("payload_digest"))
+    found = revisits.resolve_revisits(full.unionByName(again))
+    flat = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+    return found.withColumn("headers", flat)
