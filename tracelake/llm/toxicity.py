@@ -1,8 +1,11 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 1. From a bounded sample of labelled rows (``SAMPLE`` per class, those with the smallest
-   hash of their id) Spark counts in how many documents of each class every word, word
-   start and word end occurs. Those far more frequent in toxic documents make the lexicon.
+   hash of their id) Spark counts in how many documents of each class every word occurs,
+   and then the starts and ends of all words that are not in the lexicon yet. Copies of one
+   text, near ones too, count once, as what they share says nothing about toxicity. Terms
+   far more frequent in toxic documents than chance explains, given how many terms there
+   are, make the lexicon.
 2. Voters look at a text and vote toxic, clean or nothing: parts of the lexicon (dealt by
    hash, words, starts and ends apart), counts and density of lexicon hits, words written
    with gaps or digits in place of letters, insults to "you", shouting.
@@ -14,7 +17,7 @@
    its inputs, and scores every whole text in one pass over the table.
 
 The sample bounds what the driver holds: ``2 * SAMPLE`` rows of votes and at most
-``LEXICON`` terms; both are parameters. Nothing but the label of sampled rows is learned
+``2 * LEXICON`` terms; both are parameters. Nothing but the label of sampled rows is learned
 from, and neither ids, languages, sources nor labels enter a score.
 
 Defined cases: null and empty texts are scored like texts without any hit; labels that are
@@ -33,12 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, column_type
+from .common import arrow_map, column_type, stored
 
 SAMPLE = 6_000
 LEXICON = 4_000
-#: A term's least likelihood ratio statistic, odds ratio (natural logarithm) and documents.
-LEAST_G, LEAST_ODDS, LEAST_DOCS = 15.0, 2.5, 4
+#: A term's least odds ratio (natural logarithm) and documents; see ``_lexicon`` for its least likelihood ratio.
+LEAST_ODDS, LEAST_DOCS = 2.5, 4
 PARTS = 8
 ROUNDS = 40
 _WORD = re.compile(r"[^\W_]+")
@@ -48,10 +51,10 @@ _PLAIN = str.maketrans("013457@$", "oieastas")
 
 
 def terms(word: str) -> list[str]:
-    """A word, its starts and its end; the mark tells them apart."""
+    """A word, its starts and its ends; the mark tells them apart."""
     out = ["w" + word]
     if len(word) > 4:
-        out += ["s" + word[:4], "s" + word[:5], "e" + word[-5:]]
+        out += ["s" + word[:n] for n in range(4, min(9, len(word)))] + ["e" + word[-5:]]
     return out
 
 
@@ -71,7 +74,8 @@ class Voters:
         if (found := self.known.get(word)) is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            found = self.known[word] = tuple((self.part[t], self.lexicon[t]) for t in terms(word) if t in self.part)
+            own = terms(word)
+            found = self.known[word] = tuple((self.part[t], self.lexicon[t]) for t in (own[:1] if own[0] in self.part else own) if t in self.part)
         return found
 
     def votes(self, text: str | None) -> list[float]:
@@ -90,13 +94,12 @@ class Voters:
             hidden += bool(self._hits(re.sub(r"[^\w]|_", "", m[0].lower())))
         hidden += sum(bool(self._hits(w.translate(_PLAIN))) for w in set(words) if w.isalnum() and not w.isalpha() and not w.isdigit())
         rate = whole / max(1, len(words))
-        kinds = [int(any(parts[k * PARTS:(k + 1) * PARTS])) for k in range(3)]
         votes = [
             *parts,
-            1 if len(different) >= 2 else -1 if not different else 0,
-            1 if whole >= 3 else -1 if whole == 0 else 0,
-            1 if rate >= 0.02 else -1 if rate < 0.002 else 0,
-            1 if sum(kinds) >= 2 else -1 if sum(kinds) == 0 else 0,
+            1 if whole >= 2 else -1,
+            1 if whole >= 3 else -1 if whole <= 1 else 0,
+            1 if rate >= 0.02 and whole >= 2 else -1 if rate < 0.002 else 0,
+            1 if weight >= 9 and whole >= 2 else -1 if weight < 4.5 else 0,
             1 if hidden else 0,
             1 if whole and _SHOUT.search(text or "") else 0,
         ]
@@ -151,22 +154,35 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, learn: Column, size:
     return first(1).unionAll(first(0))
 
 
-def _lexicon(sample: DataFrame, toxic: int, clean: int, size: int) -> dict[str, float]:
-    """Terms counted per document of the sample, by class; the strongest ``size`` of those that pass the limits."""
+def _origin(words: set[str]) -> int:
+    """Equal for copies and nearly always for near copies of a text: the smallest hash of its longer words."""
+    return min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words if len(w) >= 8), default=len(words))
+
+
+def _lexicon(sample: DataFrame, toxic: int, clean: int, size: int, known: dict[str, float] | None = None) -> dict[str, float]:
+    """Terms counted per document of the sample, by class; the strongest ``size`` of those that pass the limits.
+
+    Words alone without ``known``; else the starts and ends of words that are not known. The
+    likelihood ratio statistic has to exceed twice the logarithm of the number of terms.
+    """
     def run(batches):
         for batch in batches:
             labels, texts = batch[0].to_pylist(), batch[1].to_pylist()
             for label, text in zip(labels, texts):
-                found = list({t for w in set(words_of(text)) for t in terms(w)})
-                yield {"term": found, "toxic": [label] * len(found)}
+                words = set(words_of(text))
+                found = ["w" + w for w in words] if known is None else list({t for w in words if "w" + w not in known for t in terms(w)[1:]})
+                yield {"term": found, "toxic": [label] * len(found), "origin": [_origin(words)] * len(found)}
 
-    counts = arrow_map(sample.select("_label", "_text"), run, T.StructType().add("term", T.StringType()).add("toxic", T.IntegerType()))
+    schema = T.StructType().add("term", T.StringType()).add("toxic", T.IntegerType()).add("origin", T.LongType())
+    counts = arrow_map(sample.select("_label", "_text"), run, schema).distinct()
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") >= LEAST_DOCS)
+    counts = stored(counts, "terms")
+    least = 2 * np.log(max(1, counts.count()))
     odds = F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (clean - F.col("b") + 0.5))
     part = lambda k, n, share: F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
     n, share = F.col("a") + F.col("b"), toxic / (toxic + clean)
     g = 2 * (part(F.col("a"), n, share) + part(F.col("b"), n, 1 - share))
-    kept = counts.select("term", odds.alias("odds"), g.alias("g")).where((F.col("odds") >= LEAST_ODDS) & (F.col("g") >= LEAST_G))
+    kept = counts.select("term", odds.alias("odds"), g.alias("g")).where((F.col("odds") >= LEAST_ODDS) & (F.col("g") >= least))
     return {r["term"]: r["odds"] for r in kept.orderBy(F.desc("g"), "term").limit(size).collect()}
 
 
@@ -183,7 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     flat = np.concatenate([np.zeros(N_VOTERS + N_REAL), [constant]])
     if not sizes.get(1) or not sizes.get(0):
         return Voters({}), flat
-    voters = Voters(_lexicon(rows, sizes[1], sizes[0], lexicon))
+    known = _lexicon(rows, sizes[1], sizes[0], lexicon)
+    voters = Voters(known | _lexicon(rows, sizes[1], sizes[0], lexicon, known))
     if not voters.lexicon:
         return voters, flat
 
