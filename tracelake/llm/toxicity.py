@@ -154,9 +154,12 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, learn: Column, size:
     return first(1).unionAll(first(0))
 
 
-def _origin(words: set[str]) -> int:
-    """Equal for copies and nearly always for near copies of a text: the smallest hash of its longer words."""
-    return min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words if len(w) >= 8), default=len(words))
+def _origin(words: list[str]) -> int:
+    """Equal for copies and nearly always for near copies of a text: the smallest hash of its longer words, or of three in a row where those are few."""
+    long = {w for w in words if len(w) >= 8}
+    if len(long) < 8:
+        long = {" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))}
+    return min(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in long)
 
 
 def _lexicon(sample: DataFrame, toxic: int, clean: int, size: int, known: dict[str, float] | None = None) -> dict[str, float]:
@@ -169,9 +172,9 @@ def _lexicon(sample: DataFrame, toxic: int, clean: int, size: int, known: dict[s
         for batch in batches:
             labels, texts = batch[0].to_pylist(), batch[1].to_pylist()
             for label, text in zip(labels, texts):
-                words = set(words_of(text))
+                origin, words = _origin(words_of(text)), set(words_of(text))
                 found = ["w" + w for w in words] if known is None else list({t for w in words if "w" + w not in known for t in terms(w)[1:]})
-                yield {"term": found, "toxic": [label] * len(found), "origin": [_origin(words)] * len(found)}
+                yield {"term": found, "toxic": [label] * len(found), "origin": [origin] * len(found)}
 
     schema = T.StructType().add("term", T.StringType()).add("toxic", T.IntegerType()).add("origin", T.LongType())
     counts = arrow_map(sample.select("_label", "_text"), run, schema).distinct()
