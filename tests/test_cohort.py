@@ -39,7 +39,8 @@ def test_process_cohort(spark, layout):
     assert res.epochs.where("patient_id = 'a'").agg(F.min("hours")).first()[0] == 0.0
     assert res.epochs.where("all_regions AND artifact_clean").count() == 0 and res.epochs.where("all_regions").count() == 10
     qc = {r.patient_id: r for r in cohort_summary(res, ["patient_id"]).collect()}
-    assert qc["a"].total_epochs == 840 and qc["b"].total_epochs == 395
+    assert qc["a"].total_epochs == 900 and qc["b"].total_epochs == 400
+    assert qc["a"].leading_zeros == qc["b"].leading_zeros == 5 and qc["b"].usable_epochs == 395 - qc["b"].excluded_epochs
     assert qc["a"].events_clean == 1 and qc["a"].longest_minutes_clean == 0.5
     rows = {(r.patient_id, r.bin_label): r for r in res.bins.collect()}
     assert len(rows) == 6 and rows[("b", "0-1h")].missingness == "no_data"

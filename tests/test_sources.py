@@ -124,3 +124,48 @@ def test_work_dir_uses_the_shared_folder(spark):
 
     assert workdir.work_dir(Session, "x").startswith("hdfs://shared/cp/tracelake/x-")
     assert workdir.work_dir(spark, "x") != workdir.work_dir(spark, "x")
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(ValueError):
+        workdir.work_dir(Cluster, "x")
+
+
+@pytest.mark.parametrize("encoding, name", [("utf-8-sig", "utf-8-sig"), ("utf-16", "utf-16"), ("cp1252", "cp1252"), ("utf-16-be", "utf-16-be")])
+def test_files_are_read_in_their_own_encoding(spark, tmp_path, encoding, name):
+    lines = ["File,müßig", "", 'x,"a, ""b""",3']
+    raw = "\r\n".join(lines)
+    data = b"\xfe\xff" + raw.encode("utf-16-be") if encoding == "utf-16-be" else raw.encode(encoding)
+    (tmp_path / "a.csv").write_bytes(data)
+    assert [r.encoding for r in exports.file_encodings(spark, str(tmp_path)).collect()] == [name]
+    got = exports.read_exports(spark, str(tmp_path)).withColumn("c", exports.cells("text")).orderBy("line_no").collect()
+    assert [(r.line_no, r.text) for r in got] == list(enumerate(lines))
+    assert got[2].c == ["x", 'a, "b"', "3"]
+
+
+def test_cells_of_long_quoted_lines(spark):
+    labels = ",".join(f'"FFT Power, {i} Hz"' for i in range(5000))
+    text = [labels, "", ",", f'a,"{"q," * 20_000}",b', ' "x" , y ']
+    got = [r.c for r in spark.createDataFrame([(t,) for t in text], "t string").select(exports.cells("t").alias("c")).collect()]
+    assert got[0] == [f"FFT Power, {i} Hz" for i in range(5000)]
+    assert got[1:3] == [[""], ["", ""]] and got[3] == ["a", "q," * 20_000, "b"] and got[4] == ["x", "y"]
+
+
+def test_uploads_in_any_order_are_all_counted(spark, tmp_path):
+    import datetime as dt
+
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "patient_id int, ts timestamp, artifact_clean boolean, seizure boolean"
+    for patient, day in ((1, 20), (2, 3), (3, 25), (2, 2)):
+        rows = [(patient, dt.datetime(2024, 1, day, 1, i), True, i % 2 == 0) for i in range(6)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(spark.createDataFrame([], schema).schema).parquet(src)
+        streams.run_to_table(stream, lambda df: streams.bin_counters(df, ["patient_id"]), out, cp)
+    got = streams.counters_so_far(spark, out, ["patient_id"]).collect()
+    assert sorted((r.patient_id, r.window_start.day, r.n_epochs, r.n_events) for r in got) == [(1, 20, 6, 3), (2, 2, 6, 3), (2, 3, 6, 3), (3, 25, 6, 3)]

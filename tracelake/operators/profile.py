@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import is_zero
 from ..sources.workdir import stored
 from .merge import to_long
-from .ordered import join_keys
-from .orderstats import average_rank, order_stats, quantile
+from .ordered import index_rows, join_keys, strip_layout
+from .orderstats import order_stats, quantile
 from .retrieve import bin_frequency
 
 # Tolerances of the recompute audit.
@@ -58,21 +58,27 @@ def spectrogram_profile(df: DataFrame, keys: list[str], array: str, family: str,
 def spearman(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
     """(a, b, r): rank correlation of every left with every right column.
 
-    Ranks use the rows in which all listed columns are present, ties sharing the
-    mean rank. The ranking is distributed and stored once; each column then meets
-    its own ranks by value (a small table for coarse signals, which adaptive
-    execution broadcasts), and one aggregate over (left x right) follows.
+    Every pair uses the rows in which both are present, ties sharing the mean rank. Rows of
+    a pair are first counted by their two values with map-side combine, so a common value
+    (a suppressed zero) is one row. Ranks of a value come from the pair's own counts, and meet
+    them in one join on (pair, value) for each side; adaptive execution splits large pairs.
     """
-    cols = [*left, *[c for c in right if c not in left]]
-    wide = df.select(*cols).dropna(subset=cols)
-    ranks = stored(average_rank(to_long(wide, [], cols), ["column"], "value"), "ranks")
-    for c in cols:
-        own = ranks.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("avg_rank").alias(f"_{c}"))
-        wide = wide.join(own, F.col(c).cast("double") == F.col(f"_v_{c}")).drop(f"_v_{c}")
-    packed = wide.agg(*[F.corr(f"_{a}", f"_{b}").alias(f"{i}_{j}") for i, a in enumerate(left) for j, b in enumerate(right)])
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}_{j}").alias("r"))
-                      for i, a in enumerate(left) for j, b in enumerate(right)])
-    return packed.select(F.inline(pairs))
+    pairs = [(a, b) for a in left for b in right]
+    both = F.explode(F.array(*[F.struct(F.lit(i).alias("_pair"), F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y"))
+                               for i, (a, b) in enumerate(pairs)])).alias("_p")
+    counted = df.select(both).select("_p.*").where("_x IS NOT NULL AND _y IS NOT NULL").groupBy("_pair", "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
+    counted = stored(counted, "pairs")
+    for side in ("_x", "_y"):
+        values = counted.groupBy("_pair", side).agg(F.sum("_w").alias("w"))
+        ranked = strip_layout(index_rows(values, ["_pair"], [side], weight="w", row="lo", total="n"))
+        counted = counted.join(ranked.select("_pair", side, (F.col("lo") + (F.col("w") + 1) / 2.0).alias(f"{side}_rank")), ["_pair", side])
+    x, y, w = F.col("_x_rank"), F.col("_y_rank"), F.col("_w")
+    sums = counted.groupBy("_pair").agg(F.sum(w).alias("n"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * y).alias("xy"),
+                                        F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
+    spread = lambda c: F.col(c + c) - F.col(c) * F.col(c) / F.col("n")
+    r = F.try_divide(F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.sqrt(spread("x") * spread("y")))
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    return sums.select(F.get(names, "_pair")["a"].alias("a"), F.get(names, "_pair")["b"].alias("b"), r.alias("r"))
 
 
 def top_partners(pairs: DataFrame) -> DataFrame:

@@ -108,7 +108,9 @@ def rejection_flags(df: DataFrame, keys: list[str], instruments: list[Instrument
     """
     flags = {f"_null_{i}": ins.null_flag() for i, ins in enumerate(instruments)}
     seeds = [i for i, ins in enumerate(instruments) if ins.family in ZERO_IMPOSSIBLE and ins.region]
-    flagged = df.withColumns(flags)
+    flagged = df.withColumns(flags) if flags else df
+    if not seeds:  # nothing tells a suppressed zero from a real one: no region is live, and nothing is rejected
+        return flagged.withColumns({"n_regions": F.lit(0), "n_rejected": F.lit(0), "all_regions": F.lit(False)})
     shares = flagged.groupBy(*keys).agg(*[
         (F.avg(F.col(f"_null_{i}").cast("double")) < dead).alias(f"_seed_{i}") for i in seeds])
     out = join_keys(flagged, shares, keys)
@@ -314,6 +316,22 @@ def qc_report(df: DataFrame, keys: list[str], ts: str = "ts", clean: str = "arti
         F.col("total_epochs") > 1, F.col("usable_epochs") * F.col("duration_hours") / (F.col("total_epochs") - 1)))
 
 
+def parsed_counts(df: DataFrame, keys: list[str], leading: list[str]) -> DataFrame:
+    """(keys, parsed_epochs, leading_zero_rows) over all rows of a timeline, before anything is trimmed."""
+    counted = leading_zero_rows(df, keys, leading) if leading else df.select(*keys).distinct().withColumn("leading_zero_rows", F.lit(0))
+    return join_keys(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("parsed_epochs")), counted, keys)
+
+
+def qc_of_parsed(qc: DataFrame, parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """The report with totals of the parsed recording: usable epochs are those neither excluded nor leading zeros."""
+    out = join_keys(qc, parsed, keys)
+    usable = F.col("parsed_epochs") - F.col("excluded_epochs") - F.col("leading_zero_rows")
+    out = out.withColumns({"total_epochs": F.col("parsed_epochs"), "leading_zeros": F.col("leading_zero_rows"), "usable_epochs": usable,
+                           "event_pct": F.lit(100.0) * F.col("event_epochs") / F.col("parsed_epochs")})
+    return out.withColumn("usable_hours", F.when(F.col("total_epochs") > 1, F.col("usable_epochs") * F.col("duration_hours") / (F.col("total_epochs") - 1))).drop(
+        "parsed_epochs", "leading_zero_rows")
+
+
 def median_suppression(df: DataFrame, keys: list[str], columns: list[str], clean: str = "artifact_clean") -> DataFrame:
     """Mean over columns of each column's median in clean epochs, one decimal."""
     pack = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v0")) for c in columns])

@@ -47,17 +47,17 @@ def spectrogram_profile(spark, sf):
     return out.withColumns({c: R(F.col(c)) for c in ("pct_null", "peak_hz")})
 
 
+SPEAR_PAIRS = [(a, b) for a in ("al", "ar") for b in ("quantity", "price", "discount", "tax")]
 SPEAR = f"""
-WITH {SG}, w AS (SELECT quantity, price, discount, tax, al, ar FROM sg WHERE al IS NOT NULL),
-r AS (SELECT rank() OVER (ORDER BY quantity) + (count(*) OVER (PARTITION BY quantity) - 1) / 2.0 AS q, rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0 AS p, rank() OVER (ORDER BY discount) + (count(*) OVER (PARTITION BY discount) - 1) / 2.0 AS d,
- rank() OVER (ORDER BY tax) + (count(*) OVER (PARTITION BY tax) - 1) / 2.0 AS t, rank() OVER (ORDER BY al) + (count(*) OVER (PARTITION BY al) - 1) / 2.0 AS al, rank() OVER (ORDER BY ar) + (count(*) OVER (PARTITION BY ar) - 1) / 2.0 AS ar FROM w),
-c AS (SELECT unnest([struct_pack(a := 'fft_alpha_left_anterior', b := 'quantity', r := corr(al, q)), struct_pack(a := 'fft_alpha_left_anterior', b := 'price', r := corr(al, p)), struct_pack(a := 'fft_alpha_left_anterior', b := 'discount', r := corr(al, d)), struct_pack(a := 'fft_alpha_left_anterior', b := 'tax', r := corr(al, t)),
- struct_pack(a := 'fft_alpha_right_anterior', b := 'quantity', r := corr(ar, q)), struct_pack(a := 'fft_alpha_right_anterior', b := 'price', r := corr(ar, p)), struct_pack(a := 'fft_alpha_right_anterior', b := 'discount', r := corr(ar, d)), struct_pack(a := 'fft_alpha_right_anterior', b := 'tax', r := corr(ar, t))]) AS s FROM r)
+WITH {SG}, w AS (SELECT CASE WHEN quantity % 10 <> 0 THEN quantity END AS quantity, price, discount, CASE WHEN tax <> 0 THEN tax END AS tax, al, ar FROM sg),
+p AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {a} AS x, {b} AS y FROM w WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in SPEAR_PAIRS)}),
+r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS x, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS y FROM p),
+c AS (SELECT struct_pack(a := CASE a WHEN 'al' THEN 'fft_alpha_left_anterior' ELSE 'fft_alpha_right_anterior' END, b := b, r := corr(x, y)) AS s FROM r GROUP BY a, b)
 """
 
 
 def spearman_pairs(spark, sf):
-    df = signals(spark, sf)
+    df = signals(spark, sf).withColumns({"quantity": F.when(F.col("quantity") % 10 != 0, F.col("quantity")), "tax": F.when(F.col("tax") != 0, F.col("tax"))})
     return pf.spearman(df, ["fft_alpha_left_anterior", "fft_alpha_right_anterior"], ["quantity", "price", "discount", "tax"])
 
 

@@ -39,14 +39,14 @@ def export_lines(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax")
     ix = strip_layout(index_rows(li, ["s_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"]))
     serial = 45000 + F.col("s_suppkey") + F.col("row_idx") * 30 / 86400.0
-    text = F.concat_ws(",", S(serial), S(F.col("l_quantity")), F.when(F.col("l_linenumber") == 2, "").otherwise(S(F.col("l_discount"))), S(F.col("l_tax")), F.lit(""))
+    text = F.concat_ws(",", S(serial), F.when(F.col("l_linenumber") == 3, '"seizure, ""left"""').otherwise(S(F.col("l_quantity"))), F.when(F.col("l_linenumber") == 2, "").otherwise(S(F.col("l_discount"))), S(F.col("l_tax")), F.lit(""))
     shift = F.when(k % 4 == 0, 9).otherwise(8)
     return top.withColumn("line_no", F.col("line_no").cast("bigint")).unionByName(ix.select(file_name(), (F.col("row_idx") + shift).cast("bigint").alias("line_no"), text.alias("text")))
 
 
 ROWS = f"""
 rw AS (SELECT l_suppkey AS s_suppkey, '/exports/' || l_suppkey || '_' || (l_suppkey % 3) || '.csv' AS file, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS row_idx,
-  l_quantity AS I1_1, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_discount END AS I1_2, l_tax AS I2_1 FROM lineitem),
+  CASE WHEN l_linenumber <> 3 THEN l_quantity END AS I1_1, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_discount END AS I1_2, l_tax AS I2_1 FROM lineitem),
 tsr AS (SELECT *, TIMESTAMP '1899-12-30' + to_microseconds(CAST(round((45000 + s_suppkey + row_idx * 30 / 86400.0) * 86400.0 * 1e6) AS BIGINT)) AS ts FROM rw)
 """
 
@@ -312,10 +312,14 @@ def ingest(spark, sf):
     return spark.read.parquet(f"{base}/out").groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_ids"))
 
 
-def epoch_stream(spark, sf, base):
+def epoch_uploads(spark, sf, reduced, name):
+    """Three uploads out of time order, each drained before the next comes."""
+    base = work_dir(spark, name)
     ep = epochs(spark, sf).select("patient_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "artifact_clean", "seizure")
-    ep.write.parquet(f"{base}/in")
-    return spark.readStream.schema(ep.schema).parquet(f"{base}/in")
+    for part in (2, 0, 1):
+        ep.where(F.pmod(F.crc32(F.col("patient_id").cast("string")), F.lit(3)) == part).write.mode("append").parquet(f"{base}/in")
+        st.run_to_table(spark.readStream.schema(ep.schema).parquet(f"{base}/in"), reduced, f"{base}/out", f"{base}/cp")
+    return f"{base}/out"
 
 
 @query("ST1_ingest_lines", f"WITH {ROWS} SELECT file, count(*) AS n_rows FROM rw GROUP BY 1")
@@ -332,9 +336,8 @@ def ingest_lines(spark, sf):
 WITH {EP} SELECT patient_id, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n_epochs, count(*) FILTER (artifact_clean) AS n_clean, count(*) FILTER (artifact_clean AND seizure) AS n_events FROM tl GROUP BY 1, 2
 """)
 def counters(spark, sf):
-    base = work_dir(spark, "counters")
-    st.run_to_table(st.bin_counters(epoch_stream(spark, sf, base), KEY), f"{base}/out", f"{base}/cp", "update")
-    return st.latest(spark, f"{base}/out", ["patient_id", "window_start"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    out = epoch_uploads(spark, sf, lambda rows: st.bin_counters(rows, KEY), "counters")
+    return st.counters_so_far(spark, out, KEY).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("ST3_event_sessions", f"""
@@ -342,6 +345,5 @@ WITH {EP}, s AS (SELECT patient_id, ts, ts - lag(ts) OVER (PARTITION BY patient_
 SELECT patient_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_epochs FROM i GROUP BY patient_id, k
 """)
 def sessions(spark, sf):
-    base = work_dir(spark, "sessions")
-    st.run_to_table(st.event_sessions(epoch_stream(spark, sf, base), KEY, gap="24 hours"), f"{base}/out", f"{base}/cp", "complete")
-    return st.latest(spark, f"{base}/out", KEY, complete=True).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
+    out = epoch_uploads(spark, sf, lambda rows: st.event_rows(rows, KEY), "sessions")
+    return st.sessions_so_far(spark, out, KEY, 24 * 3600).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})

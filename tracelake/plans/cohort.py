@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CohortSettings
+from ..functions.numbers import clean_nan
 from ..operators import bins, events, features, quality, timebase
 from ..operators.ordered import join_keys, strip_layout
 from ..sources.workdir import stored
@@ -56,7 +57,10 @@ def process_cohort(inputs: CohortInputs, settings: CohortSettings | None = None)
     """
     cfg = settings or CohortSettings()
     keys, ts = inputs.keys, inputs.ts
-    df = timebase.timeline(inputs.epochs, keys, inputs.order, ts)
+    floats = [f.name for f in inputs.epochs.schema if f.dataType.typeName() in ("double", "float")]
+    raw = inputs.epochs.withColumns({c: clean_nan(c) for c in floats}) if floats else inputs.epochs
+    df = timebase.timeline(raw, keys, inputs.order, ts)
+    parsed = stored(quality.parsed_counts(df, keys, list(inputs.leading)), "parsed")
     if inputs.leading:
         df = timebase.timeline(strip_layout(quality.drop_leading_zeros(df, keys, list(inputs.leading))).drop("row_idx", "n_rows", "start_ts"),
                                keys, inputs.order, ts)
@@ -95,7 +99,7 @@ def process_cohort(inputs: CohortInputs, settings: CohortSettings | None = None)
         event_base="artifact_clean", suppression=list(inputs.suppression) or None, threshold=cfg.bins.continuity_threshold)
     again = timebase.timeline(epochs.drop("row_idx", "n_rows", "start_ts"), keys, inputs.order, ts)
     report = events.event_report(again, keys, "seizure", "artifact_clean", inputs.probability, epoch_seconds=cfg.epoch_seconds)
-    return CohortResult(epochs, summary, report, quality.qc_report(epochs, keys, ts))
+    return CohortResult(epochs, summary, report, quality.qc_of_parsed(quality.qc_report(epochs, keys, ts), parsed, keys))
 
 
 def cohort_summary(result: CohortResult, keys: list[str]) -> DataFrame:

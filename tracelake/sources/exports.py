@@ -7,12 +7,14 @@ like any other text file.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import JUNK_IDS
 from ..functions.clock import implausible_year, micros_between, serial_to_timestamp
-from ..functions.labels import identifier  # noqa: F401
+from ..functions.numbers import clean_nan
 from ..operators.ordered import index_rows, join_keys, last_known, strip_layout
 from ..operators.timebase import patient_of, stem_of
 
@@ -25,18 +27,46 @@ VERSION = r"(?i)(Persyst\s+\d+[\.\d]*)"
 RAW_EXTENSIONS = ["edf", "lay", "dat", "eeg", "bdf"]
 
 
-def read_lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """(file, line_no, text) of text files; line numbers count across the splits of a file."""
-    if encoding:
-        rows = spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").schema("text string").csv(path)
-    else:
-        rows = spark.read.text(path).withColumnRenamed("value", "text")
+#: Detected encodings: the charset that decodes a line's bytes, and the bytes between lines.
+CHARSETS = {"utf-8-sig": ("UTF-8", "\n"), "cp1252": ("ISO-8859-1", "\n"), "latin-1": ("ISO-8859-1", "\n"),
+            "utf-16": ("UTF-16LE", "\n\0"), "utf-16-be": ("UTF-16BE", "\0\n")}
+_CP1252 = {i: bytes([i]).decode("cp1252", "ignore") for i in range(0x80, 0xA0)}
+
+
+def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-8-sig") -> DataFrame:
+    """(file, line_no, text) of text files; line numbers count across the splits of a file, blank lines too.
+
+    ``encoding`` is one that ``file_encodings`` names. Byte order marks and carriage returns go.
+    """
+    charset, separator = CHARSETS[encoding]
+    rows = spark.read.option("lineSep", separator).text(path)
+    text = F.decode(F.col("value").cast("binary"), charset) if charset != "UTF-8" else F.col("value")
+    if encoding == "cp1252":
+        known = {i: c for i, c in _CP1252.items() if c}
+        text = F.translate(text, "".join(map(chr, known)), "".join(known.values()))
     placed = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
-                         F.monotonically_increasing_id().alias("_seq"), F.regexp_replace("text", "^﻿", "").alias("text"))
+                         F.monotonically_increasing_id().alias("_seq"), F.regexp_replace(text, "^\ufeff|\r$", "").alias("text"))
     numbered = index_rows(placed, ["file"], ["_block", "_seq"], row="line_no", total="_n")
     return strip_layout(numbered).drop("_block", "_seq", "_n")
 
 
+def file_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, encoding) from the first bytes of every file, up to its first line feed."""
+    first = spark.read.option("lineSep", "\n").text(path).where("_metadata.file_block_start = 0").groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.first(F.col("value").cast("binary")).alias("_raw"))
+    big = F.substring(F.hex("_raw"), 1, 4) == "FEFF"
+    return first.select("file", F.when(big & ~F.is_valid_utf8(F.col("_raw").cast("string")), "utf-16-be").otherwise(encoding_of("_raw")).alias("encoding"))
+
+
+def read_exports(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``read_lines`` of every file in its own encoding; one small row per file comes to the driver."""
+    by: dict[str, list[str]] = {}
+    for r in file_encodings(spark, path).collect():
+        by.setdefault(r["encoding"], []).append(r["file"])
+    parts = [read_lines(spark, files, encoding) for encoding, files in sorted(by.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else read_lines(spark, path)
+
+
 def encoding_of(first_line: str | Column) -> Column:
     """First encoding that can read the line's bytes: utf-8-sig, utf-16, cp1252, latin-1."""
     raw = F.col(first_line) if isinstance(first_line, str) else first_line
@@ -46,10 +76,16 @@ def encoding_of(first_line: str | Column) -> Column:
             .when(~undefined, "cp1252").otherwise("latin-1"))
 
 
+#: A cell after its comma: quoted, with doubled quotes inside, or plain. Possessive, so it neither recurses nor backtracks.
+_CELL = r',(\s*"(?:[^"]*+(?:""[^"]*+)*+)"[^,]*+|[^,]*+)'
+
+
 def cells(text: str | Column) -> Column:
-    """Comma-separated cells with quoted commas kept, trimmed."""
+    """Comma-separated cells, trimmed; quoted commas are kept, outer quotes are not, doubled ones become one."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.transform(F.split(t, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.trim(F.regexp_replace(c, r'^\s*"|"\s*$', "")))
+    found = F.regexp_extract_all(F.concat(F.lit(","), t), F.lit(_CELL), F.lit(1))
+    inner = lambda c: F.replace(F.regexp_replace(c, r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda c: F.trim(F.when(F.contains(c, F.lit('"')), inner(c)).otherwise(c)))
 
 
 def header_metadata(lines: DataFrame) -> DataFrame:
@@ -90,7 +126,9 @@ def export_rows(lines: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """(file, row_idx, ts, serial, codes, values): data lines under the code row as arrays."""
     codes = codes if codes is not None else code_rows(lines)
     data = lines.join(codes, "file").where((F.col("line_no") > F.col("code_line")) & (F.trim("text") != ""))
-    values = F.transform(F.split("text", ",", -1), lambda c: F.trim(c).try_cast("double"))
+    plain = F.transform(F.split("text", ",", -1), lambda c: clean_nan(F.trim(c).try_cast("double")))
+    quoted = F.transform(cells("text"), lambda c: clean_nan(c.try_cast("double")))
+    values = F.when(F.contains("text", F.lit('"')), quoted).otherwise(plain)
     out = data.select("file", (F.col("line_no") - F.col("code_line") - 1).alias("row_idx"), "codes", values.alias("values"))
     clock = F.get("values", F.array_position("codes", CLOCK).cast("int") - 1)
     return out.withColumn("serial", clock).withColumn("ts", serial_to_timestamp("serial"))

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint location; a temporary one only if none is set."""
+    """A fresh folder in the shared checkpoint location.
+
+    Only a session on a local master may go without one; it gets a temporary folder, one
+    per application, that goes when the process ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-tracelake-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="spark-tracelake-")
+            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/tracelake/{name}-{uuid.uuid4().hex[:12]}"
 
 

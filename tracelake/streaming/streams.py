@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.ordered import index_rows, neighbours, running, strip_layout
+
 
 def ingest_new_files(spark: SparkSession, source: str, target: str, checkpoint: str, schema: StructType, fmt: str = "parquet") -> None:
     """Append the files that arrived since the last run, each exactly once, then stop."""
@@ -15,37 +19,46 @@ def ingest_new_files(spark: SparkSession, source: str, target: str, checkpoint:
     query.awaitTermination()
 
 
-def bin_counters(stream: DataFrame, keys: list[str], ts: str = "ts", width: str = "6 hours", late: str = "12 hours",
+def bin_counters(rows: DataFrame, keys: list[str], ts: str = "ts", width: str = "6 hours",
                  clean: str | Column = "artifact_clean", event: str | Column = "seizure") -> DataFrame:
-    """Epoch, clean and event counts per key and tumbling window; later rows than ``late`` are dropped."""
+    """Epoch, clean and event counts per key and tumbling window."""
     c = F.col(clean) if isinstance(clean, str) else clean
     e = F.col(event) if isinstance(event, str) else event
-    counted = stream.withWatermark(ts, late).groupBy(*keys, F.window(ts, width).alias("w")).agg(
+    counted = rows.groupBy(*keys, F.window(ts, width).alias("w")).agg(
         F.count(F.lit(1)).alias("n_epochs"), F.count_if(c).alias("n_clean"), F.count_if(c & e).alias("n_events"))
     return counted.select(*keys, F.col("w.start").alias("window_start"), "n_epochs", "n_clean", "n_events")
 
 
-def event_sessions(stream: DataFrame, keys: list[str], event: str = "seizure", ts: str = "ts", gap: str = "5 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions of event epochs: one ends when no event epoch follows within ``gap``."""
-    grouped = stream.where(F.col(event)).withWatermark(ts, late).groupBy(*keys, F.session_window(ts, gap).alias("s"))
-    out = grouped.agg(F.count(F.lit(1)).alias("n_epochs"), F.max(ts).alias("last_ts"))
-    return out.select(*keys, F.col("s.start").alias("first_ts"), "last_ts", "n_epochs")
+def event_rows(rows: DataFrame, keys: list[str], event: str = "seizure", ts: str = "ts") -> DataFrame:
+    """What sessions are made of: key and time of the event epochs."""
+    return rows.where(F.col(event)).select(*keys, F.col(ts).alias("ts"))
+
 
+def run_to_table(stream: DataFrame, reduced: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> None:
+    """Drain what is available; every micro-batch writes its reduced rows to its own folder, so a retried batch replaces itself.
 
-def run_to_table(stream: DataFrame, target: str, checkpoint: str, mode: str) -> None:
-    """Drain what is available; every micro-batch writes its own folder, so a retried batch replaces itself."""
+    Recordings have clocks of their own and are uploaded in any order, so there is no
+    watermark: a batch keeps no state, and readers add up what all batches wrote.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/part={batch_id}")
+        reduced(batch).write.mode("overwrite").parquet(f"{target}/part={batch_id}")
 
-    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def latest(spark: SparkSession, target: str, keys: list[str], complete: bool = False) -> DataFrame:
-    """Last state of every key over the written micro-batches."""
-    rows = spark.read.parquet(target).drop("part")
-    if complete:
-        last = rows.agg(F.max("batch_id")).scalar()
-        return rows.where(F.col("batch_id") == last).drop("batch_id")
-    rest = [c for c in rows.columns if c not in keys and c != "batch_id"]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_s")).select(*keys, "_s.*")
+def counters_so_far(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """Counters of every key and window over all micro-batches."""
+    rows = spark.read.parquet(target)
+    sums = [F.sum(c).alias(c) for c in ("n_epochs", "n_clean", "n_events")]
+    return rows.groupBy(*keys, "window_start").agg(*sums)
+
+
+def sessions_so_far(spark: SparkSession, target: str, keys: list[str], gap_seconds: float = 300.0) -> DataFrame:
+    """Sessions over all micro-batches: one ends when no event epoch follows within the gap."""
+    rows = spark.read.parquet(target).select(*keys, "ts").withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    timed = neighbours(index_rows(rows, keys, ["_us"]), keys, prev={"_last": "_us"})
+    begins = F.col("_last").isNull() | (F.col("_us") - F.col("_last") > gap_seconds * 1e6)
+    placed = running(timed.withColumn("_new", begins.cast("int")), keys, {"_session": ("sum", "_new")})
+    return strip_layout(placed).groupBy(*keys, "_session").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_epochs")).drop("_session")
