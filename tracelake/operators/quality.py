@@ -283,14 +283,25 @@ def duplicate_columns(df: DataFrame, keys: list[str], columns: list[str], row: s
     return checked.groupBy(*keys, "column", "duplicate_of").agg(same.alias("_same")).where("_same").drop("_same")
 
 
-def column_warnings(found: DataFrame, keys: list[str], limit: int = 10) -> DataFrame:
-    """Readable text over the findings of :func:`constant_columns`, names cut after ``limit`` in the text."""
-    names = F.sort_array(F.collect_list("column"))
-    grouped = found.groupBy(*keys, "kind").agg(names.alias("_n"))
-    more = F.when(F.size("_n") > limit, F.lit(", ...")).otherwise(F.lit(""))
-    text = F.concat(F.size("_n").cast("string"), F.lit(" "), F.col("kind"), F.lit(" column(s): "),
-                    F.concat_ws(", ", F.slice("_n", 1, limit)), more)
-    return grouped.select(*keys, "kind", text.alias("warning"))
+def column_warnings(found: DataFrame, keys: list[str], duplicates: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """(keys, kind, columns, warning) over :func:`constant_columns` and :func:`duplicate_columns`.
+
+    Kinds are all_null, constant (one non-zero value), zero, and one duplicate row per group of
+    equal columns. ``columns`` names all of them, the text at most ``limit``.
+    """
+    kind = F.when((F.col("kind") == "constant") & (F.col("constant_value") == 0), "zero").otherwise(F.col("kind"))
+    shown = F.when(kind == "constant", F.concat("column", F.lit("="), F.col("constant_value").cast("string"))).otherwise(F.col("column"))
+    grouped = found.groupBy(*keys, kind.alias("kind")).agg(
+        F.sort_array(F.collect_list("column")).alias("_all"), F.sort_array(F.collect_list(shown)).alias("_shown"))
+    if duplicates is not None:
+        equal = duplicates.groupBy(*keys, "duplicate_of").agg(F.sort_array(F.collect_list("column")).alias("_m"))
+        group = F.concat(F.array("duplicate_of"), "_m")
+        grouped = grouped.unionByName(equal.select(*keys, F.lit("duplicate").alias("kind"), group.alias("_all"), group.alias("_shown")))
+    says = (F.when(F.col("kind") == "all_null", "without any value").when(F.col("kind") == "constant", "with one non-zero value throughout")
+            .when(F.col("kind") == "zero", "with zeros only").otherwise("equal on every row"))
+    more = F.when(F.size("_shown") > limit, ", ...").otherwise("")
+    text = F.concat(F.size("_all").cast("string"), F.lit(" column(s) "), says, F.lit(": "), F.array_join(F.slice("_shown", 1, limit), ", "), more)
+    return grouped.select(*keys, "kind", F.array_join("_all", ", ").alias("columns"), text.alias("warning"))
 
 
 # ---- reports --------------------------------------------------------------------

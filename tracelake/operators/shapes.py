@@ -151,20 +151,31 @@ def column_mapping(columns: DataFrame) -> DataFrame:
     return columns.select(*[c for c in keep if c in columns.columns])
 
 
+#: Names of single electrode chains, which panels of regions and hemispheres leave out.
+ELECTRODE_CHAIN = r"[a-z]{1,3}\d{1,2}[a-z]{1,3}\d{1,2}"
+
+
 def panel_variables(columns: DataFrame, panels: DataFrame) -> DataFrame:
-    """(panel_id, variable) by family, region, side and name rules, bin suffix stripped.
+    """(panel_id, variable) by family, region, side and name rules; bins of a spectrogram become one name.
 
-    ``panels``: panel_id, family (one row each), region, hemisphere, contains,
-    spectrogram. The family is the equi-join key; the rest is a residual filter.
+    ``panels``: panel_id, family (one row each), region, hemisphere, contains, excludes (array),
+    spectrogram (true, false or null for either). A spectrogram panel of one side leaves out
+    columns of a region. The family is the equi-join key; the rest is a residual filter.
     """
     p = panels.withColumnsRenamed({"family": "p_family", "region": "p_region", "hemisphere": "p_hemisphere"})
-    averaged = F.col("common_name").rlike(r"_avg_|_avg$|_avg\d")
+    name, spectral = F.col("common_name"), F.contains(F.col("common_name"), F.lit("spectrogram"))
+    shown = F.coalesce(F.col("spectrogram"), F.lit(False))
+    regional = F.coalesce(F.col("region") != "", F.lit(False))
     hit = columns.join(p, (F.col("family") == F.col("p_family"))
                        & (F.col("p_region").isNull() | (F.col("region") == F.col("p_region")))
                        & (F.col("p_hemisphere").isNull() | (F.col("hemisphere") == F.col("p_hemisphere")))
-                       & (F.col("contains").isNull() | F.col("common_name").contains(F.col("contains"))))
-    name = F.when(F.col("spectrogram"), F.regexp_replace("common_name", r"(?i)_[\d._]+(?:-[\d.]+)?hz$", "")).otherwise(F.col("common_name"))
-    return hit.where(~averaged).select("panel_id", name.alias("variable")).distinct()
+                       & ~(shown & F.col("p_hemisphere").isNotNull() & regional)
+                       & (F.col("spectrogram").isNull() | (F.col("spectrogram") == spectral))
+                       & (F.col("contains").isNull() | name.contains(F.col("contains")))
+                       & ~F.coalesce(F.exists("excludes", lambda x: name.contains(x)), F.lit(False)))
+    out = F.when(shown, F.regexp_replace("common_name", r"(?i)_[\d.]+(?:-[\d.]+)?hz$", "")).otherwise(name)
+    kept = hit.where((name != "") & ~name.rlike(r"_avg_|_avg$|_avg\d") & ~name.rlike(ELECTRODE_CHAIN))
+    return kept.select("panel_id", out.alias("variable")).distinct()
 
 
 def provenance(df: DataFrame, keys: list[str], sections: dict[str, list[str]]) -> DataFrame:

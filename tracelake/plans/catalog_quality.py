@@ -165,7 +165,7 @@ def usable(spark, sf):
 COLS_SQL = """
 w AS (SELECT l_suppkey AS patient_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS row_idx, l_quantity AS c_qty, l_quantity + 0.0 AS c_copy,
    CASE WHEN l_suppkey % 2 = 0 AND l_linenumber = 1 AND l_orderkey % 50 = 0 THEN l_quantity + 0.000001 ELSE l_quantity END AS c_near, CASE WHEN l_linenumber % 2 = 0 THEN 5.0 END AS c_const,
-   CAST(NULL AS DOUBLE) AS c_null, l_tax AS c_tax, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_tax END AS c_tax_gap, CASE WHEN l_suppkey % 3 = 0 THEN 1.0 ELSE l_discount END AS c_mixed FROM lineitem)
+   CAST(NULL AS DOUBLE) AS c_null, l_tax AS c_tax, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_tax END AS c_tax_gap, CASE WHEN l_suppkey % 6 = 0 THEN 0.0 WHEN l_suppkey % 3 = 0 THEN 1.0 ELSE l_discount END AS c_mixed FROM lineitem)
 """
 COLS = ["c_qty", "c_copy", "c_near", "c_const", "c_null", "c_tax", "c_tax_gap", "c_mixed"]
 
@@ -177,7 +177,7 @@ def column_frame(spark, sf):
         F.col("l_suppkey").alias("patient_id"), "l_orderkey", "l_linenumber", "l_partkey", q.alias("c_qty"), (q + 0.0).alias("c_copy"),
         F.when((F.col("l_suppkey") % 2 == 0) & (n == 1) & (F.col("l_orderkey") % 50 == 0), q + 0.000001).otherwise(q).alias("c_near"),
         F.when(n % 2 == 0, 5.0).alias("c_const"), F.lit(None).cast("double").alias("c_null"), F.col("l_tax").alias("c_tax"),
-        F.when(n == 3, None).otherwise(F.col("l_tax")).alias("c_tax_gap"), F.when(F.col("l_suppkey") % 3 == 0, 1.0).otherwise(F.col("l_discount")).alias("c_mixed"))
+        F.when(n == 3, None).otherwise(F.col("l_tax")).alias("c_tax_gap"), F.when(F.col("l_suppkey") % 6 == 0, 0.0).when(F.col("l_suppkey") % 3 == 0, 1.0).otherwise(F.col("l_discount")).alias("c_mixed"))
     return index_rows(df, KEY, ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
@@ -200,12 +200,17 @@ def duplicates(spark, sf):
 
 
 @query("Q12_column_warnings", f"""
-WITH {COLS_SQL}, e AS (SELECT patient_id, bool_and(c_mixed = 1.0) AS m FROM w GROUP BY 1)
-SELECT patient_id, 'all_null' AS kind, '1 all_null column(s): c_null' AS warning FROM e UNION ALL
-SELECT patient_id, 'constant', CASE WHEN m THEN '2 constant column(s): c_const, c_mixed' ELSE '1 constant column(s): c_const' END FROM e
+WITH {COLS_SQL}, e AS (SELECT patient_id, bool_and(c_mixed = 1.0) AS one, bool_and(c_mixed = 0.0) AS zero, bool_and(c_qty IS NOT DISTINCT FROM c_copy) AS a, bool_and(c_qty IS NOT DISTINCT FROM c_near) AS b, bool_and(c_tax IS NOT DISTINCT FROM c_tax_gap) AS c FROM w GROUP BY 1),
+q AS (SELECT patient_id, 'c_qty' || CASE WHEN a THEN ', c_copy' ELSE '' END || CASE WHEN b THEN ', c_near' ELSE '' END AS g, 1 + a::INT + b::INT AS n FROM e WHERE a OR b)
+SELECT patient_id, 'all_null' AS kind, 'c_null' AS "columns", '1 column(s) without any value: c_null' AS warning FROM e UNION ALL
+SELECT patient_id, 'constant', CASE WHEN one THEN 'c_const, c_mixed' ELSE 'c_const' END, CASE WHEN one THEN '2 column(s) with one non-zero value throughout: c_const=5.0, c_mixed=1.0' ELSE '1 column(s) with one non-zero value throughout: c_const=5.0' END FROM e UNION ALL
+SELECT patient_id, 'zero', 'c_mixed', '1 column(s) with zeros only: c_mixed' FROM e WHERE zero UNION ALL
+SELECT patient_id, 'duplicate', g, n || ' column(s) equal on every row: ' || g FROM q UNION ALL
+SELECT patient_id, 'duplicate', 'c_tax, c_tax_gap', '2 column(s) equal on every row: c_tax, c_tax_gap' FROM e WHERE c
 """)
 def warnings(spark, sf):
-    return ql.column_warnings(ql.constant_columns(column_frame(spark, sf), KEY, COLS), KEY)
+    frame = column_frame(spark, sf)
+    return ql.column_warnings(ql.constant_columns(frame, KEY, COLS), KEY, ql.duplicate_columns(frame, KEY, COLS))
 
 
 @query("Q13_qc_report", f"""

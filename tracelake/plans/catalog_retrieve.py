@@ -257,18 +257,26 @@ def mapping(spark, sf):
 
 
 @query("X9_panel_variables", f"""
-WITH d AS (SELECT {NAME_SQL} || CASE WHEN p_partkey % 3 = 0 THEN '_' || (p_partkey % 40) || '_50hz' WHEN p_partkey % 3 = 1 THEN '_avg2m' ELSE '' END AS common_name, {FAM_SQL} AS family, CASE WHEN p_partkey % 4 < 2 THEN 'anterior' ELSE 'posterior' END AS region, 'left' AS hemisphere FROM part),
-p AS (SELECT * FROM (VALUES ('power', 'fft_power', 'anterior', NULL, FALSE), ('spectra', 'fft_spectrogram', NULL, NULL, TRUE), ('gears', 'aeeg', NULL, 'gear', FALSE)) v(panel_id, pf, pr, pc, sp))
-SELECT DISTINCT panel_id, CASE WHEN sp THEN regexp_replace(common_name, '(?i)_[0-9._]+(-[0-9.]+)?hz$', '') ELSE common_name END AS variable FROM d JOIN p ON family = pf AND (pr IS NULL OR region = pr) AND (pc IS NULL OR contains(common_name, pc))
-WHERE NOT regexp_matches(common_name, '_avg_|_avg$|_avg[0-9]')
+WITH d AS (SELECT lower(replace(p_name, ' ', '_')) || (['_spectrogram', '_x', '_spectrogram_rate', ''])[CAST(p_partkey // 10 % 4 AS INT) + 1] ||
+    (['_4_50.5hz', '_avg2m', '_f3c3p3', '', '_4_0.5-1hz', '_avg', ''])[CAST(p_partkey % 7 AS INT) + 1] AS common_name, {FAM_SQL} AS family,
+    (['anterior', 'posterior', ''])[CAST(p_partkey % 3 AS INT) + 1] AS region, CASE WHEN p_partkey % 20 < 10 THEN 'left' ELSE 'right' END AS hemisphere FROM part),
+p AS (SELECT * FROM (VALUES ('power', 'fft_power', 'anterior', NULL, NULL, NULL, FALSE), ('spectra', 'fft_spectrogram', NULL, NULL, NULL, NULL, TRUE), ('spectra_left', 'fft_spectrogram', NULL, 'left', NULL, NULL, TRUE),
+  ('amplitude', 'aeeg', NULL, NULL, 'a', 'rate', NULL)) v(panel_id, pf, pr, ph, pc, px, sp))
+SELECT DISTINCT panel_id, CASE WHEN sp THEN regexp_replace(common_name, '(?i)_[0-9.]+(-[0-9.]+)?hz$', '') ELSE common_name END AS variable
+FROM d JOIN p ON family = pf AND (pr IS NULL OR region = pr) AND (ph IS NULL OR hemisphere = ph) AND (pc IS NULL OR contains(common_name, pc)) AND (px IS NULL OR NOT contains(common_name, px))
+  AND (sp IS NULL OR contains(common_name, 'spectrogram') = sp) AND NOT (coalesce(sp, FALSE) AND ph IS NOT NULL AND region <> '')
+WHERE NOT regexp_matches(common_name, '_avg_|_avg$|_avg[0-9]') AND NOT regexp_matches(common_name, '[a-z]{{1,3}}[0-9]{{1,2}}[a-z]{{1,3}}[0-9]{{1,2}}')
 """)
 def panels(spark, sf):
     k = F.col("p_partkey")
+    one_of = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
     d = dictionary(spark, sf).withColumns({
-        "common_name": F.concat("common_name", F.when(k % 3 == 0, F.concat(F.lit("_"), (k % 40).cast("string"), F.lit("_50hz"))).when(k % 3 == 1, "_avg2m").otherwise("")),
-        "region": F.when(k % 4 < 2, "anterior").otherwise("posterior"), "hemisphere": F.lit("left")})
-    p = spark.createDataFrame([("power", "fft_power", "anterior", None, None, False), ("spectra", "fft_spectrogram", None, None, None, True), ("gears", "aeeg", None, None, "gear", False)],
-                              "panel_id string, family string, region string, hemisphere string, contains string, spectrogram boolean")
+        "common_name": F.concat(F.lower(F.replace("label", F.lit(" "), F.lit("_"))), one_of(["_spectrogram", "_x", "_spectrogram_rate", ""], F.floor(k / 10) % 4),
+                                one_of(["_4_50.5hz", "_avg2m", "_f3c3p3", "", "_4_0.5-1hz", "_avg", ""], k % 7)),
+        "region": one_of(["anterior", "posterior", ""], k % 3), "hemisphere": F.when(k % 20 < 10, "left").otherwise("right")})
+    rows = [("power", "fft_power", "anterior", None, None, None, False), ("spectra", "fft_spectrogram", None, None, None, None, True),
+            ("spectra_left", "fft_spectrogram", None, "left", None, None, True), ("amplitude", "aeeg", None, None, "a", ["rate"], None)]
+    p = spark.createDataFrame(rows, "panel_id string, family string, region string, hemisphere string, contains string, excludes array<string>, spectrogram boolean")
     return sh.panel_variables(d, p)
 
 
