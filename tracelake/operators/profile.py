@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import is_zero
 from ..sources.workdir import stored
 from .merge import to_long
-from .ordered import index_rows, join_keys, strip_layout
+from .ordered import index_rows, join_keys, neighbours, strip_layout
 from .orderstats import order_stats, quantile
 from .retrieve import bin_frequency
 
@@ -174,3 +174,20 @@ def compare_tables(left: DataFrame, right: DataFrame, ids: list[str], columns: l
                 *[F.count_if(differs(c)).alias(f"d_{c}") for c in columns])
     return out.select("only_left", "only_right", F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"d_{c}").alias("n_diff")) for c in columns])))
+
+
+def conversion_columns(codes: DataFrame, stored_columns: list[str], fixed: list[str] = ()) -> DataFrame:
+    """(file, n_codes, dropped, extra): header codes that the stored table lacks, and stored columns that no header code names."""
+    have, filled = F.array(*[F.lit(c) for c in stored_columns if c not in fixed]), F.filter("codes", lambda c: (c != "") & ~c.isin(*fixed) if fixed else c != "")
+    return codes.select("file", F.size(filled).alias("n_codes"), F.array_join(F.array_sort(F.array_except(filled, have)), ", ").alias("dropped"),
+                        F.array_join(F.array_sort(F.array_except(have, filled)), ", ").alias("extra"))
+
+
+def clock_check(rows: DataFrame, keys: list[str], order: list[str], ts: str = "ts") -> DataFrame:
+    """Per key: whether the clock never runs back in row order, steps that do, median step and hours from first to last row."""
+    placed = index_rows(rows.select(*keys, *order, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us")), keys, order)
+    stepped = neighbours(placed, keys, prev={"_last": "_us"}).withColumn("_step", (F.col("_us") - F.col("_last")) / 1e6)
+    ends = strip_layout(stepped).groupBy(*keys).agg(
+        F.count_if(F.col("_step") < 0).alias("n_back"), ((F.max_by("_us", "row_idx") - F.min_by("_us", "row_idx")) / 3.6e9).alias("duration_hours"))
+    median = order_stats(strip_layout(stepped).select(*keys, "_step"), keys, "_step", median_step=quantile(0.5))
+    return join_keys(ends, median, keys, "left").withColumn("monotonic", F.col("n_back") == 0)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import identifier
 from ..functions.numbers import rounded
 from ..operators.ordered import index_rows, strip_layout
-from ..operators.profile import compare_tables
+from ..operators.profile import clock_check, compare_tables, conversion_columns
 from ..sources import exports as ex
 from ..sources import tables as tb
 from ..sources.workdir import work_dir
@@ -299,6 +299,19 @@ def conversion_check(spark, sf):
     return compare_tables(o, other, ["o_orderkey"], ["o_totalprice", "o_custkey"])
 
 
+@query("S24_conversion_columns", f"SELECT {FILE_SQL} AS file, 3 AS n_codes, 'I2_1' AS dropped, 'I9_9' AS extra FROM supplier")
+def conversion_columns_(spark, sf):
+    return conversion_columns(ex.code_rows(export_lines(spark, sf)), ["ClockDateTime", "I1_1", "I1_2", "I9_9"], ["ClockDateTime"])
+
+
+@query("S24_clock_check", f"""
+WITH {EP}, d AS (SELECT patient_id, event_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY patient_id ORDER BY event_id) AS step FROM tl)
+SELECT patient_id, count(*) FILTER (step < 0) AS n_back, round((arg_max(epoch_us(ts), event_id) - arg_min(epoch_us(ts), event_id)) / 3600000000.0+1e-9,6) AS duration_hours, round(median(step / 1000000.0)+1e-9,6) AS median_step, count(*) FILTER (step < 0) = 0 AS monotonic FROM d GROUP BY 1
+""")
+def clock_check_(spark, sf):
+    return clock_check(epochs(spark, sf), KEY, ["event_id"]).withColumns({c: R(F.col(c)) for c in ("duration_hours", "median_step")})
+
+
 # ---- streaming ---------------------------------------------------------------------
 
 @query("S23_incremental_ingest", "SELECT event_type AS channel, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events GROUP BY 1")
