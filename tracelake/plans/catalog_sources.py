@@ -312,6 +312,44 @@ def clock_check_(spark, sf):
     return clock_check(epochs(spark, sf), KEY, ["event_id"]).withColumns({c: R(F.col(c)) for c in ("duration_hours", "median_step")})
 
 
+WIDE = 320
+
+
+def wide_files(spark, sf):
+    """One export file per nation with WIDE columns, quoted labels and values, written and found by their encodings again."""
+    c, base = table(spark, sf, "customer"), work_dir(spark, "wide")
+    codes = ",".join(["ClockDateTime", *[f"I{i}_1" for i in range(1, WIDE + 1)]])
+    labels = ",".join(["", *[f'"FFT Power, {i} - {i + 1} Hz, Left Anterior"' for i in range(1, WIDE + 1)]])
+    head = ["File,C:\\a.dat", "PatientName,XXXX", "Patient ID,", "TestDate,2024.01.01", "TestTime,10:00:00", "made with Persyst 14.2", "", labels, codes]
+    top = c.select("c_nationkey").distinct().select("c_nationkey", F.posexplode(F.array(*[F.lit(h) for h in head])).alias("line_no", "value"))
+    cell = lambda i: F.when((F.col("c_custkey") + i) % 11 == 0, "").when((F.col("c_custkey") + i) % 13 == 0, '"artifact, left"').otherwise(
+        (F.col("c_custkey") + i).cast("string"))
+    rows = c.select("c_nationkey", (100 + F.col("c_custkey")).cast("int").alias("line_no"), F.concat_ws(",", (45000 + F.col("c_custkey")).cast("string"), F.array_join(
+        F.transform(F.sequence(F.lit(1), F.lit(WIDE)), cell), ",")).alias("value"))
+    lines = top.withColumn("line_no", F.col("line_no").cast("int")).unionByName(rows).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "line_no")
+    lines.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(base)
+    return ex.read_exports(spark, base)
+
+
+@query("S1_wide_files", f"""
+WITH v AS (SELECT c_nationkey AS nation, 'I' || i || '_1' AS code, CASE WHEN (c_custkey + i) % 11 <> 0 AND (c_custkey + i) % 13 <> 0 THEN c_custkey + i END AS x FROM customer, range(1, {WIDE + 1}) r(i))
+SELECT nation::INT AS nation, code, count(x) AS n, sum(x)::DOUBLE AS total FROM v WHERE x IS NOT NULL GROUP BY 1, 2
+""")
+def wide_files_(spark, sf):
+    values = ex.export_values(ex.export_rows(wide_files(spark, sf)))
+    nation = F.regexp_extract("file", "c_nationkey=([0-9]+)", 1).cast("int").alias("nation")
+    return values.groupBy(nation, "code").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@query("S4_wide_labels", f"""
+SELECT n_nationkey::INT AS nation, i::INT AS col_idx, 'I' || i || '_1' AS code, 'FFT Power, ' || i || ' - ' || (i + 1) || ' Hz, Left Anterior' AS label
+FROM (SELECT DISTINCT c_nationkey AS n_nationkey FROM customer), range(1, {WIDE + 1}) r(i)
+""")
+def wide_labels_(spark, sf):
+    nation = F.regexp_extract("file", "c_nationkey=([0-9]+)", 1).cast("int").alias("nation")
+    return ex.export_columns(wide_files(spark, sf)).select(nation, F.col("col_idx").cast("int").alias("col_idx"), "code", "label")
+
+
 # ---- streaming ---------------------------------------------------------------------
 
 @query("S23_incremental_ingest", "SELECT event_type AS channel, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM events GROUP BY 1")
