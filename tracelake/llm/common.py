@@ -40,6 +40,27 @@ def stored_in_small_batches(df: DataFrame, name: str) -> DataFrame:
         conf.set(key, before)
 
 
+_HASHES = 1 << 30
+
+
+def lowest_hashes(rows: DataFrame, group: str, key: str, size: int) -> DataFrame:
+    """(group, key) of about ``size`` rows per group at most, those whose key hashes lowest; all of smaller groups.
+
+    Groups are counted first (one small row each comes to the driver), and only rows under a
+    hash that about twice as many reach are ranked, so no task ranks a large group.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    counts = rows.groupBy(group).count().collect()
+    below = F.lit(0)
+    for r in counts:
+        below = F.when(F.col(group) == F.lit(r[0]), F.lit(min(_HASHES, 2 * size * _HASHES // r[1]))).otherwise(below)
+    hashed = rows.select(group, key, F.pmod(F.xxhash64(key), F.lit(_HASHES)).alias("_h")).where(F.col("_h") < below)
+    by = Window.partitionBy(group).orderBy("_h", key)
+    return hashed.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= size).select(group, key)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` whose ``fn`` yields dicts of columns (lists or arrays) in the order of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -23,11 +23,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, column_type, stored
+from .common import arrow_map, column_type, lowest_hashes, stored
 
 SAMPLE = 3_000
 WORDS = 100_000
@@ -105,9 +105,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         words: int = WORDS, ngrams: int = NGRAMS, longest: int = LONGEST) -> Model:
     """``learn`` is a condition on ``docs`` that says which rows may be learned from."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    by = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = (rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-              .withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= sample).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")))
+    chosen = lowest_hashes(rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")), "_lang", "_id", sample)
     # At most `sample` ids per language: the bound of this broadcast.
     texts = (rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
              .join(F.broadcast(chosen), (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi").select("lang", "text"))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, column_type, stored
+from .common import arrow_map, column_type, lowest_hashes, stored
 
 SAMPLE = 6_000
 LEXICON = 4_000
@@ -150,8 +150,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 def _sample(labels: DataFrame, id_col: str, label_col: str, learn: Column, size: int) -> DataFrame:
     """At most ``size`` labelled ids per class: those with the smallest hash."""
     known = labels.where(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    first = lambda c: known.where(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(size)
-    return first(1).unionAll(first(0))
+    return lowest_hashes(known, "_label", "_id", size)
 
 
 def _origin(words: list[str]) -> int:
