@@ -33,6 +33,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,42 +73,71 @@ def spans_of(hashes: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     return text[window[first]], pieces[anchor[first]].view(np.int64), window[first], window[last]
 
 
+def _marked_twice(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (text, value) pairs in order of text, and which of them come more than once."""
+    order = np.lexsort((value, text))
+    text, value = text[order], value[order]
+    new = np.concatenate([[True], (np.diff(text) != 0) | (np.diff(value) != 0)]) if len(text) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    return text[first], value[first], np.diff(np.concatenate([first, [len(text)]])) > 1
+
+
+def _lists(text: np.ndarray, values: np.ndarray, count: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(count + 1)).astype(np.int32)), pa.array(values))
+
+
 def _anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(key, anchors) of every text with at least one window."""
+    """(key, anchors, inside, again) of every text with a window: its different anchors, those it has more than once, and
+    whether one of its windows seems to repeat inside it."""
     def run(batches):
         for batch in batches:
             at = 0
             for texts in sliced_by_bytes(batch[1], SLICE_BYTES):
                 words, offsets = split_flat(texts)
-                text, anchor, _, _ = spans_of(word_hashes(words), offsets, width, gram)
-                cuts = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
-                yield {"key": batch[0].slice(at, len(texts)), "anchors": pa.ListArray.from_arrays(pa.array(cuts), pa.array(anchor))}
+                hashes = word_hashes(words)
+                text, anchor, _, _ = spans_of(hashes, offsets, width, gram)
+                text, anchor, twice = _marked_twice(text, anchor)
+                again = np.zeros(len(texts), bool)
+                if twice.any():
+                    again[text[twice]] = True
+                    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+                    window = np.flatnonzero((owner[:len(owner) - width + 1] == owner[width - 1:]) & again[owner[:len(owner) - width + 1]])
+                    own, _, repeated = _marked_twice(owner[window], window_hashes(hashes, width)[window])
+                    again[:] = False
+                    again[own[repeated]] = True
+                yield {"key": batch[0].slice(at, len(texts)), "anchors": _lists(text, anchor, len(texts)),
+                       "inside": _lists(text[twice], anchor[twice], len(texts)), "again": again}
                 at += len(texts)
 
-    schema = T.StructType().add("key", T.LongType()).add("anchors", T.ArrayType(T.LongType(), False))
+    longs = T.ArrayType(T.LongType(), False)
+    schema = T.StructType().add("key", T.LongType()).add("anchors", longs).add("inside", longs).add("again", T.BooleanType())
     return arrow_map(docs.select("key", "text"), run, schema).where(F.size("anchors") > 0)
 
 
-def _digest(key: int, span: bytes) -> bytes:
-    return hashlib.blake2b(span, digest_size=16, key=key.to_bytes(8, "little", signed=True)).digest()
+def _found_spans(batch: pa.RecordBatch, width: int, gram: int):
+    """(row, shard key, first window in its text, span) of the batch's spans under recurring anchors; columns: text, some, hot.
 
+    A span is its words joined by one space; all words of a slice are joined once and spans cut out.
+    """
+    import xxhash
 
-def _found_spans(batch: pa.RecordBatch, width: int, gram: int):
-    """(row, shard key, first window in its text, span) of the batch's spans under recurring anchors; columns: text, some, hot."""
     at = 0
     for texts in sliced_by_bytes(batch[0], SLICE_BYTES):
         words, offsets = split_flat(texts)
         text, anchor, first, last = spans_of(word_hashes(words), offsets, width, gram)
         some = [set(x or ()) for x in batch[1].slice(at, len(texts)).to_pylist()]
         hot = [set(x or ()) for x in batch[2].slice(at, len(texts)).to_pylist()]
-        words = words.cast(pa.binary()).to_pylist()
-        for d, h, a, b in zip(text.tolist(), anchor.tolist(), first.tolist(), last.tolist()):
+        begin = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(words), np.int64) + 1)])
+        joined = b" ".join(words.cast(pa.binary()).to_pylist())
+        ends = (begin[last + width] - 1).tolist()
+        begin, own = begin.tolist(), (first - offsets[text]).tolist()
+        for d, h, a, b, place, end in zip(text.tolist(), anchor.tolist(), first.tolist(), last.tolist(), own, ends):
             if h in some[d]:
-                yield at + d, h, a - int(offsets[d]), b" ".join(words[a:b + width])
+                yield at + d, h, place, joined[begin[a]:end]
             elif h in hot[d]:
                 for i in range(a, b + 1):
-                    window = b" ".join(words[i:i + width])
-                    yield at + d, int.from_bytes(_digest(h, window)[:8], "little", signed=True), i - int(offsets[d]), window
+                    window = joined[begin[i]:begin[i + width] - 1]
+                    yield at + d, (xxhash.xxh3_64_intdigest(window) ^ 1 << 63) - (1 << 63), place + i - a, window
         at += len(texts)
 
 
@@ -157,11 +187,20 @@ def _confirmed(marked: DataFrame, width: int, gram: int, shards: int) -> DataFra
     rows = arrow_map(marked.select("text", "some", "hot", "id"), spans, schema)
 
     def confirm(group: pa.Table) -> pa.Table:
-        keys, texts, docs, counts, lasts = (group[c].to_pylist() for c in ("key", "span", "doc", "count", "last"))
-        merged: dict[bytes, tuple] = {}
-        for key, text, least, last in zip(keys, texts, located(texts, counts, docs, width), lasts):
+        import xxhash
+
+        same: dict[bytes, list] = {}  # a span comes once per batch that has it
+        for text, doc, count, last in zip(*(group[c].to_pylist() for c in ("span", "doc", "count", "last"))):
+            if (known := same.get(text)) is None:
+                same[text] = [doc, count, last]
+            else:
+                known[0], known[1], known[2] = min(known[0], doc), known[1] + count, max(known[2], last)
+        texts = list(same)
+        docs, counts, lasts = ([x[i] for x in same.values()] for i in range(3))
+        merged: dict[bytes, list] = {}
+        for text, least, last in zip(texts, located(texts, counts, docs, width), lasts):
             if any(x is not None and x < last for x in least):
-                merged[_digest(key, text)] = least
+                merged[xxhash.xxh3_128_digest(text)] = least
         return pa.table({"digest": list(merged), "least": list(merged.values())}, schema=pa.schema({"digest": pa.binary(), "least": pa.list_(pa.int64())}))
 
     out = T.StructType().add("digest", T.BinaryType()).add("least", T.ArrayType(T.LongType()))
@@ -171,10 +210,13 @@ def _confirmed(marked: DataFrame, width: int, gram: int, shards: int) -> DataFra
 def _placed(marked: DataFrame, width: int, gram: int) -> DataFrame:
     """(digest, key, id, first) of every span under a recurring anchor."""
     def run(batches):
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            found = list(_found_spans(batch, width, gram))
+            found = [(row, first, digest(span)) for row, _, first, span in _found_spans(batch, width, gram)]
             rows = pa.array([x[0] for x in found], pa.int64())
-            yield {"digest": [_digest(x[1], x[3]) for x in found], "key": batch[3].take(rows), "id": batch[4].take(rows), "first": [x[2] for x in found]}
+            yield {"digest": [x[2] for x in found], "key": batch[3].take(rows), "id": batch[4].take(rows), "first": [x[1] for x in found]}
 
     schema = T.StructType().add("digest", T.BinaryType()).add("key", T.LongType()).add("id", T.LongType()).add("first", T.LongType())
     return arrow_map(marked.select("text", "some", "hot", "key", "id"), run, schema)
@@ -198,17 +240,16 @@ def _kept(rows: DataFrame, width: int, id_col: str, id_type: T.DataType, with_te
     def run(batches):
         for batch in batches:
             n, removed, digests, kept = [], [], [], []
-            for text, candidate, starts in zip(*(batch[i].to_pylist() for i in (1, 2, 3))):
+            for text, again, starts in zip(*(batch[i].to_pylist() for i in (1, 2, 3))):
                 words = text.encode("utf-8", "surrogatepass").split() if text else []
-                gone = np.zeros(len(words) + 1, np.int64)
-                again = window_hashes_repeat(words, width) if candidate else False
-                for at in [*(starts or ()), *(_repeats_inside(words, width) if again else ())]:
-                    gone[at] += 1
-                    gone[at + width] -= 1
-                gone = (np.cumsum(gone) > 0)[:-1]
-                left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
-                n.append(len(words))
-                removed.append(int(gone.sum()))
+                left, n_words = words, len(words)
+                if starts := [*(starts or ()), *(_repeats_inside(words, width) if again else ())]:
+                    gone = np.zeros(n_words, bool)
+                    gone[(np.unique(starts)[:, None] + np.arange(width)).ravel()] = True
+                    left = [words[i] for i in np.flatnonzero(~gone).tolist()]
+                n.append(n_words)
+                removed.append(n_words - len(left))
+                left = b" ".join(left)
                 digests.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode("utf-8", "surrogatepass") if with_text else None)
             yield {"id": batch[0], "n": n, "removed": removed, "digest": digests} | ({"kept": kept} if with_text else {})
@@ -216,25 +257,17 @@ def _kept(rows: DataFrame, width: int, id_col: str, id_type: T.DataType, with_te
     return arrow_map(rows, run, schema)
 
 
-def window_hashes_repeat(words: list[bytes], width: int) -> bool:
-    """Whether some window may repeat: decided on hashes, without false negatives."""
-    if len(words) <= width:
-        return False
-    hashes = window_hashes(word_hashes(pa.array(words, pa.binary())), width)
-    return len(np.unique(hashes)) < len(hashes)
-
-
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM,
                            with_text: bool = False) -> DataFrame:
     """Per row: id, n_words, n_removed and kept_sha256 of the kept words joined by one space (and ``kept``, if asked for)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     anchors = stored(_anchors(rows, width, gram), "anchors")
-    counted = anchors.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = anchors.select(F.explode(F.concat("anchors", "inside")).alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counted = stored(counted.select("anchor", "n", (F.col("n") > HOT).alias("hot")), "recurring")
     spans = counted.agg(F.sum(F.when(F.col("hot"), 8 * F.col("n")).otherwise(F.col("n")))).first()[0] or 0
-    each = anchors.select("key", F.explode(F.array_distinct("anchors")).alias("anchor"))
-    some, hot = (F.collect_set(F.when(F.col("hot") == h, F.col("anchor"))).alias(name) for name, h in (("some", False), ("hot", True)))
-    lists = each.join(counted.select("anchor", "hot"), "anchor").groupBy("key").agg(some, hot)
+    each = anchors.select("key", "again", F.explode("anchors").alias("anchor"))
+    some, hot = (F.collect_list(F.when(F.col("hot") == h, F.col("anchor"))).alias(name) for name, h in (("some", False), ("hot", True)))
+    lists = each.join(counted.select("anchor", "hot"), "anchor").groupBy("key").agg(some, hot, F.max("again").alias("again"))
     texts = stored(rows.join(lists, "key", "left"), "texts")
     marked = texts.where(F.col("some").isNotNull())
     least = stored(_confirmed(marked, width, gram, max(1, -(-spans // SHARD_SPANS))), "phrases")
@@ -243,5 +276,5 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     starts = F.filter(F.transform("least", lambda x, i: F.when(x < before, F.col("first") + i)), lambda x: x.isNotNull())
     gone = stored(back.select("key", starts.alias("starts")).where(F.size("starts") > 0).groupBy("key").agg(
         F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "starts")
-    last = texts.select("id", "text", F.col("some").isNotNull().alias("candidate"), "key").join(gone, "key", "left")
-    return _kept(last.select("id", "text", "candidate", "starts"), width, id_col, T.LongType(), with_text)
+    last = texts.select("id", "text", "again", "key").join(gone, "key", "left")
+    return _kept(last.select("id", "text", "again", "starts"), width, id_col, T.LongType(), with_text)
