@@ -12,7 +12,8 @@
    similar sets still meet in a list. Values of one class fill these places first and lead
    nowhere; a passage that many documents share leads nowhere, unless it is most of a
    document.
-4. Lists give pairs of a few leaders and all members, not all pairs. The pairs are
+4. Lists give pairs of a few leaders and all members, not all pairs. Sizes and bitmaps of
+   the sketches drop most pairs where they are made, without dropping a link; the rest are
    filtered by the sketch of the union, then verified on the full sets of word shingles.
    Verified links make components. A list whose members are in different components goes
    on with its next leaders, until every pair of different components in it was tried. So
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow.compute as pc
@@ -47,7 +49,11 @@ SHINGLE = 5
 THRESHOLD = 80
 SKETCH = 96
 #: Leaders of a list in its first round, which settles groups of near copies, and after.
-FIRST_LEADERS, LEADERS = 1, 64
+FIRST_LEADERS, LEADERS = 1, 256
+#: Longs of the bitmap that stands for a sketch where pairs are made; pairs with too few bits in common are not.
+BITMAP = 8
+#: Pairs up to which texts are picked out by a broadcast of their keys (40 bytes a pair), not by a shuffle of all texts.
+FEW_PAIRS = 50_000
 #: Miss probability of a link at the threshold, for the overlap that two sketches must have.
 MISS = 1e-6
 
@@ -127,9 +133,30 @@ def inverted_lists(classes: DataFrame, k: int, threshold: int) -> DataFrame:
     return shared.where(places > 0).select("node", F.explode(F.slice("values", F.lit(1), places.cast("int"))).alias("v")).select("v.value", "node")
 
 
+def _bitmap(sketch: Column) -> Column:
+    """BITMAP longs in which each retained value sets one bit."""
+    place = lambda v: F.pmod(v, F.lit(64 * BITMAP)).cast("int")
+    places = F.transform(sketch, place)
+    of_word = lambda w: F.aggregate(
+        F.filter(places, lambda b: F.floor(b / 64) == w), F.lit(0).cast("long"), lambda bits, b: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b % 64)))
+    return F.array(*[of_word(w) for w in range(BITMAP)])
+
+
+def _bits(a: str, b: str) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(F.get(F.col(a), F.lit(w)).bitwiseAND(F.get(F.col(b), F.lit(w)))) for w in range(BITMAP)])
+
+
 def _leaders(rows: DataFrame, count: int) -> DataFrame:
     by = Window.partitionBy("value").orderBy("node")
-    return rows.withColumn("_at", F.row_number().over(by)).where(F.col("_at") <= count).select("value", F.col("node").alias("leader"))
+    first = rows.withColumn("_at", F.row_number().over(by)).where(F.col("_at") <= count)
+    return first.select("value", F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("bits").alias("lbits"))
+
+
+def _may_be_alike(k: int, threshold: int) -> Column:
+    """No pair of at least the threshold fails: sizes, and bits in common plus those that a sketch's own values share."""
+    ratio = F.least("n", "ln") * 100 >= F.greatest("n", "ln") * threshold
+    shared = lambda n, bits: F.least(F.col(n), F.lit(k)) - _bits(bits, bits)
+    return ratio & (_bits("bits", "lbits") + F.least(shared("n", "bits"), shared("ln", "lbits")) >= _needed(F.least("n", "ln"), k, threshold))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -145,9 +172,12 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, threshold: int) ->
     return both.where(ratio).where(enough).select("ka", "kb")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+def _verified(pairs: DataFrame, few: bool, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """Pairs (ka, kb) whose full shingle sets reach the threshold. Many pairs share ``ka``; its set is built once in a row."""
-    side = lambda x: texts.select(F.col("key").alias(f"k{x}"), F.col("text").alias(f"t{x}"))
+    def side(x: str) -> DataFrame:
+        wanted = texts.join(F.broadcast(pairs.select(F.col(f"k{x}").alias("key")).distinct()), "key", "left_semi") if few else texts
+        return wanted.select(F.col("key").alias(f"k{x}"), F.col("text").alias(f"t{x}"))
+
     rows = pairs.join(side("b"), "kb").join(side("a"), "ka").select("ka", "kb", "ta", "tb")
 
     def run(batches):
@@ -173,22 +203,27 @@ def _links(lists: DataFrame, classes: DataFrame, texts: DataFrame, size: int, k:
     rows, edges, found, count = lists, None, None, FIRST_LEADERS
     while True:
         led = _leaders(rows, count)
-        pairs = rows.join(led, "value").where("node > leader")
+        pairs = rows.join(led, "value").where(F.col("node") > F.col("leader")).where(_may_be_alike(k, threshold))
         if found is not None:
             lead_part = rows.select("value", F.col("node").alias("leader"), F.col("part").alias("lead_part"))
             pairs = pairs.join(lead_part, ["value", "leader"]).where("part != lead_part")
         pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        new = stored_in_small_batches(_verified(_estimated(pairs, classes, k, threshold), texts, size, threshold), "links")
+        close = stored(_estimated(pairs, classes, k, threshold), "pairs")
+        many = close.count()
+        new = close.select(F.col("ka").alias("u"), F.col("kb").alias("v"))
+        if many:
+            new = stored_in_small_batches(_verified(close, many <= FEW_PAIRS, texts, size, threshold), "links")
         if found is None or not new.isEmpty():
             edges = new if edges is None else edges.unionAll(new)
             found = components(edges)
         part = found.select(F.xxhash64("node").alias("node"), F.col("root").alias("part"))
-        rest = rows.select("value", "node").join(led.select("value", F.col("leader").alias("node")), ["value", "node"], "left_anti")
+        rest = rows.select("value", "node", "n", "bits").join(led.select("value", F.col("leader").alias("node")), ["value", "node"], "left_anti")
         placed = rest.join(part, "node", "left").withColumn("part", F.coalesce("part", F.col("node").cast("string").cast("binary")))
         several = placed.groupBy("value").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo != _hi").select("value")
-        rows, count = stored(placed.join(several, "value").select("value", "node", "part"), "lists"), LEADERS
+        rows, count = stored(placed.join(several, "value").select("value", "node", "n", "bits", "part"), "lists"), LEADERS
         if rows.isEmpty():
             return found
+        classes = stored(classes.join(rows.select("node").distinct(), "node", "left_semi"), "members")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD,
@@ -205,7 +240,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = (docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_t"))
              .join(wanted, (F.col("_t") == F.col("_h")) & F.col("_d").eqNullSafe(F.col("_id"))).select("key", "text"))
     texts = stored(texts.dropDuplicates(["key"]), "texts")
-    found = _links(lists, classes, texts, size, k, threshold)
+    members = stored(classes.select("node", "key", "n", "sketch").join(lists.select("node").distinct(), "node", "left_semi"), "members")
+    lists = stored(lists.join(members.select("node", "n", _bitmap(F.col("sketch")).alias("bits")), "node"), "lists")
+    found = _links(lists, members, texts, size, k, threshold)
     labelled = classes.select("key", "label").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = labelled.groupBy("root").agg(F.min("label").alias("_least"))
     assigned = labelled.join(least, "root").select(F.col("key").alias("_key"), "_least")
