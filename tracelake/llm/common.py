@@ -76,6 +76,37 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+def joined_sha256(rows: DataFrame, keys: list[str], order: list[str], value: str, separator: str, out: str) -> DataFrame:
+    """Keys and the SHA-256 (hex) of each key's string ``value``s in ``order``, joined by ``separator``.
+
+    Rows come sorted and pass by a running hash, so a key of any size needs the memory of one batch.
+    """
+    import hashlib
+
+    n, sep = len(keys), separator.encode()
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField(out, T.StringType())])
+
+    def run(batches):
+        last, running, found = None, None, []
+        for batch in batches:
+            for *key, text in zip(*(c.to_pylist() for c in batch.columns[:n + 1])):
+                if key != last:
+                    if running is not None:
+                        found.append([*last, running.hexdigest()])
+                    last, running = key, hashlib.sha256()
+                else:
+                    running.update(sep)
+                running.update(text.encode("utf-8", "surrogatepass"))
+            if found:
+                yield dict(enumerate(zip(*found)))
+                found = []
+        if running is not None:
+            yield dict(enumerate(zip([*last, running.hexdigest()])))
+
+    dealt = rows.select(*keys, value, *order).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return arrow_map(dealt, run, schema)
+
+
 def kept_in_worker(name: str, make: Callable):
     """One object per Python worker process and name, for caches that later tasks of the process go on with."""
     holder = sys.modules.setdefault("_tracelake_worker", types.ModuleType("_tracelake_worker"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import fm_index, language, line_windows, minhash, packing, phrases, revisits, token_files, top_k, toxicity
-from .common import table, word_tokenizer_path, work_dir
+from . import fm_index, language, line_windows, minhash, packing, phrases, prefix_trie, revisits, token_files, top_k, toxicity
+from .common import stored, table, word_tokenizer_path, work_dir
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +156,52 @@ def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = revisits.resolve_revisits(full.unionByName(again))
     flat = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
     return found.withColumn("headers", flat)
+
+
+def with_shared_heads(turns: DataFrame, convs: DataFrame) -> DataFrame:
+    """Conversations c rebuilt from the first h turns of conversation c - c % 5 and their own turns after the first h; h = crc32(c) % 9."""
+    h = F.crc32(F.col("conv_id").cast("string")) % 9
+    heads = turns.where("pos <= 8 AND conv_id % 5 = 0").withColumnRenamed("conv_id", "base")
+    of = convs.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("base"), h.alias("h"))
+    sizes = heads.where("pos = 1").select("base", "n_turns")
+    plan = of.join(sizes, "base", "left").select("conv_id", "base", "h", F.least(F.coalesce("n_turns", F.lit(0)), "h").alias("taken"))
+    shared = plan.join(heads, "base").where("pos <= h").select("conv_id", "pos", "role", "text")
+    own = turns.where(F.col("pos") > h).join(plan.select("conv_id", "h", "taken"), "conv_id")
+    return shared.unionByName(own.select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "role", "text"))
+
+
+#: CRC-32 (unsigned) of the ASCII text at ``{}``, by the table of bytes.
+_CRC_TABLE = """crc_table AS (SELECT list(r ORDER BY v) AS tab FROM (SELECT v.range AS v,
+    list_reduce([v.range] || range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS r FROM range(256) v))"""
+_CRC = "xor(list_reduce([4294967295] || [ord(x) for x in string_split({}, '')], lambda x, b: xor(x // 256, tab[xor(x % 256, b) + 1])), 4294967295)"
+
+
+@query("op12_prefix_trie", f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base FROM t),
+{_CRC_TABLE},
+crc AS (SELECT conv_id, base, {_CRC.format("conv_id::VARCHAR")} AS x FROM c, crc_table),
+h AS (SELECT conv_id, base, x % 9 AS h FROM crc),
+size AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+r AS (SELECT h.conv_id, t.pos, role, text FROM h JOIN t ON t.conv_id = h.base AND t.pos <= h.h
+      UNION ALL
+      SELECT t.conv_id, t.pos - h.h + least(coalesce(n, 0), h.h), role, text FROM t JOIN h USING (conv_id) LEFT JOIN size ON size.conv_id = h.base WHERE t.pos > h.h),
+p AS (SELECT conv_id, pos AS d, text, list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY pos) AS path, max(pos) OVER (PARTITION BY conv_id) AS n FROM r
+      UNION ALL SELECT conv_id, 0, '', [], coalesce((SELECT max(pos) FROM r WHERE r.conv_id = c.conv_id), 0) FROM c),
+k AS (SELECT *, md5(path::VARCHAR) || d AS node, CASE WHEN d > 0 THEN md5(path[:d - 1]::VARCHAR) || (d - 1) END AS up FROM p),
+nodes AS (SELECT node, any_value(up) AS up, any_value(d) AS d, min(conv_id) AS first, count(*) AS n, count(*) FILTER (WHERE d = k.n) AS n_ends,
+                 (count(*) - 1) * any_value(strlen(text)) AS w, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = k.n), '')) AS ends
+          FROM k GROUP BY node),
+below AS (SELECT a.node, sum(CASE WHEN o.n = o.n_ends THEN 1 ELSE 0 END) AS leaves, sum(o.w) AS saved
+          FROM nodes o JOIN k b ON b.node = o.node AND b.conv_id = o.first JOIN k a ON a.conv_id = b.conv_id AND a.d <= b.d GROUP BY a.node),
+kids AS (SELECT up AS node, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up)
+SELECT x.first::BIGINT AS conv_id, x.d::BIGINT AS depth, y.first::BIGINT AS parent_conv_id, x.n::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM nodes x LEFT JOIN nodes y ON y.node = x.up LEFT JOIN kids ON kids.node = x.node JOIN below ON below.node = x.node
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")), "turns")
+    convs = turns.where("pos = 1").select("conv_id")
+    return prefix_trie.prefix_trie(with_shared_heads(turns, convs), convs).drop("hi", "lo")
