@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import fm_index, language, line_windows, minhash, packing, phrases, prefix_trie, revisits, token_files, top_k, toxicity
-from .common import stored, table, word_tokenizer_path, work_dir
+from . import fm_index, language, line_windows, minhash, multi_index, packing, phrases, prefix_trie, repair, revisits, token_files, top_k, toxicity
+from .common import joined_sha256, stored, table, word_tokenizer_path, work_dir
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -205,3 +205,63 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = stored(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")), "turns")
     convs = turns.where("pos = 1").select("conv_id")
     return prefix_trie.prefix_trie(with_shared_heads(turns, convs), convs).drop("hi", "lo")
+
+
+#: Of state q: the cheapest way on from row ``i``, as (cost, initials, lines); one column per state.
+_WAY = """list_sort([x for x in [
+    {{'c': w{q}.c + 2, 'a': 'D' || w{q}.a, 'l': w{q}.l}},
+    CASE WHEN NOT gone AND keep[{q} + 1] >= 0 THEN {{'c': w[keep[{q} + 1] + 1].c + stays, 'a': 'K' || w[keep[{q} + 1] + 1].a, 'l': [role || ':' || text] || w[keep[{q} + 1] + 1].l}} END,
+    CASE WHEN NOT gone THEN {{'c': w{t}.c + 1 + stays, 'a': 'R' || w{t}.a, 'l': ['{to}:' || text] || w{t}.l}} END] if x IS NOT NULL])[1]"""
+_INSERTED = "list_sort([x{q}, {{'c': x{t}.c + 5, 'a': 'I' || x{t}.a, 'l': ['{to}:'] || x{t}.l}}])[1]"
+_NEXT = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}
+
+
+def _of_states(pattern: str, name: str) -> str:
+    return ", ".join(pattern.format(q=q, t=t, to=to) + f" AS {name}{q}" for q, (t, to) in _NEXT.items())
+
+
+@query("op11_conversation_repair", f"""
+WITH RECURSIVE {_CRC_TABLE},
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               {_CRC.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS how FROM conversations, crc_table),
+dam AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+               CASE WHEN how = 1 THEN '' WHEN how = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+        FROM src, range(2) k WHERE how <> 0 AND (k.range = 0 OR how = 3)),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+               lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pre,
+               rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM dam),
+flt AS (SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+               right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM num),
+seq AS (SELECT conv_id, i, role, text, blank OR dup AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS stays,
+               CASE left(role, 1) WHEN 's' THEN [1, -1, -1, -1] WHEN 'u' THEN [2, 2, -1, 2] WHEN 'a' THEN [-1, -1, 3, -1] ELSE [-1, -1, -1, -1] END AS keep FROM flt),
+way(conv_id, i, w0, w1, w2, w3) AS (
+  SELECT conv_id, max(i) + 1, {{'c': 0, 'a': '', 'l': []::VARCHAR[]}}, {{'c': 10, 'a': 'II', 'l': ['user:', 'assistant:']}}, {{'c': 5, 'a': 'I', 'l': ['assistant:']}},
+         {{'c': 0, 'a': '', 'l': []::VARCHAR[]}} FROM seq GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, {_of_states(_INSERTED, "v")} FROM (
+    SELECT conv_id, i, {_of_states(_WAY, "x")} FROM (
+      SELECT s.*, w0, w1, w2, w3, [w0, w1, w2, w3] AS w FROM way JOIN seq s ON s.conv_id IS NOT DISTINCT FROM way.conv_id AND s.i = way.i - 1))),
+best AS (SELECT conv_id, w0 FROM way WHERE i = 1),
+agg AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate,
+               count(*) FILTER (WHERE cut AND NOT blank AND NOT dup) AS truncated,
+               count(*) FILTER (WHERE pre IS NOT NULL AND pre || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM flt GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w0.c, 0)::BIGINT AS cost, coalesce(w0.a, '') AS audit,
+       sha256(coalesce(array_to_string(w0.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN agg ON agg.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+""")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = repair.repair(repair.damaged(conversations))
+    lines = found.rows.select("conv", "at", "sub", F.concat_ws(":", "role", "text").alias("line"))
+    digests = joined_sha256(lines, ["conv"], ["at", "sub"], "line", "\n", "repaired_sha256").withColumnRenamed("conv", "_of")
+    out = conversations.select("conv_id").distinct().join(found.summary, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    out = out.join(digests, F.col("conv_id").eqNullSafe(F.col("_of")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query("op13_multi_index_neighbours")
+def op13_multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
