@@ -86,6 +86,8 @@ def _nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 class Index(NamedTuple):
     width: int
+    #: Largest component of all vectors; centroids are in its units, so that no square overflows.
+    scale: float
     first: np.ndarray
     second: np.ndarray
     #: Entries of each cell, flat, and of all cells before it.
@@ -95,11 +97,11 @@ class Index(NamedTuple):
     shard: int
 
     def cells_of(self, v: np.ndarray) -> np.ndarray:
-        cut = self.first.shape[1]
+        cut, v = self.first.shape[1], v / self.scale
         return _nearest(v[:, :cut], self.first) * len(self.second) + _nearest(v[:, cut:], self.second)
 
     def sums(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cut = self.first.shape[1]
+        cut, v = self.first.shape[1], v / self.scale
         return v[:, :cut] @ self.first.T, v[:, cut:] @ self.second.T
 
     def cells_for(self, a: np.ndarray, b: np.ndarray, visits: int) -> list[int]:
@@ -120,20 +122,29 @@ class Index(NamedTuple):
         return found
 
 
+def _products(q: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Inner products of all pairs; sums of very large components may overflow as doubles do."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return q @ e.T
+
+
 def _exact(q: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Inner products of rows, summed in the order of components."""
     out = np.zeros(len(q))
-    for x, y in zip(q.T, e.T):
-        out += x * y
+    with np.errstate(over="ignore", invalid="ignore"):
+        for x, y in zip(q.T, e.T):
+            out += x * y
     return out
 
 
 def _best(scores: np.ndarray, q: np.ndarray, e: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query rows, ids, exact scores) of the ``k`` best of each row of ``scores``; -inf is no candidate."""
+    """(query rows, ids, exact scores) of the ``k`` best of each row of ``scores``; -inf is no candidate, nor a sum that overflows both ways."""
+    scores = np.where(np.isnan(scores), -np.inf, scores)
     if scores.shape[1] > k:
         least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        slack = 1e-9 * np.abs(q).sum(1) * np.abs(e).max()  # far above what the order of a sum can change
-        rows, at = np.nonzero((scores >= (least - slack)[:, None]) & (scores > -np.inf))
+        with np.errstate(over="ignore", invalid="ignore"):
+            slack = 1e-9 * np.abs(q).sum(1) * np.abs(e).max()  # far above what the order of a sum can change
+            rows, at = np.nonzero(~(scores < (least - slack)[:, None]) & (scores > -np.inf))
     else:
         rows, at = np.nonzero(scores > -np.inf)
     exact = _exact(q[rows], e[at])
@@ -157,7 +168,7 @@ def _true_neighbours(entries: DataFrame, ids: np.ndarray, q: np.ndarray, k: int)
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
                 e, own, cell = _matrix(part["v"], width), np.asarray(part["id"]), np.asarray(part["cell"], np.int64)
-                scores = np.where(ids[:, None] == own, -np.inf, q @ e.T)
+                scores = np.where(ids[:, None] == own, -np.inf, _products(q, e))
                 rows, at_, exact = _best(scores, q, e, np.arange(len(own)), k)
                 new = [rows, own[at_], cell[at_], exact]
                 p, i, c, s = (np.concatenate(x) for x in zip(kept, new))
@@ -190,7 +201,7 @@ def _visits(index: Index, q: np.ndarray, cells: list[np.ndarray], recall: float,
 
 def build(rows: DataFrame, is_query: Column, k: int, centroids: int | None = None, recall: float = RECALL, shard: int = SHARD) -> tuple[DataFrame, Index | None]:
     """Entries (id, v, cell) of all vectors and the index over them; ``rows`` are stored (id, v)."""
-    total, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    total, width, scale = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     if not total:
         return rows, None
     lowest = lambda df, n, of: df.where(F.pmod(F.xxhash64("id", "v"), F.lit(_HASHES)) < F.lit(min(_HASHES, 1 + n * _HASHES // of)))
@@ -199,10 +210,10 @@ def build(rows: DataFrame, is_query: Column, k: int, centroids: int | None = Non
         sample = np.zeros((1, width))
     sample = sample[np.lexsort(sample.T)]
     count = min(len(sample), centroids or min(MOST_CENTROIDS, max(1, round(math.sqrt(total / PER_CELL)))))
-    scale, cut = np.abs(sample).max() or 1.0, max(1, width // 2)
-    first, second = (_codebook(part / scale, count, ROUNDS) * scale for part in (sample[:, :cut], sample[:, cut:]))
+    cut = max(1, width // 2)
+    first, second = (_codebook(part / scale, count, ROUNDS) for part in (sample[:, :cut], sample[:, cut:]))
     none = np.zeros(0, np.int64)
-    bare = Index(width, first, second, none, none, 0, shard)
+    bare = Index(width, scale, first, second, none, none, 0, shard)
 
     def assign(batches):
         for batch in batches:
@@ -271,7 +282,7 @@ def _rerank(width: int, k: int):
             low, high = np.searchsorted(wanted, here), np.searchsorted(wanted, here, "right")
             for x, y, a, b in zip(low.tolist(), high.tolist(), begin.tolist(), until.tolist()):
                 if y > x:
-                    scores[owner[x:y], a:b] = q[owner[x:y]] @ e[a:b].T
+                    scores[owner[x:y], a:b] = _products(q[owner[x:y]], e[a:b])
             scores[asker[:, None] == ids] = -np.inf
             rows, found, exact = _best(scores, q, e, ids, k)
             parts.append(pa.table([asker[rows], part["query_hash"].to_numpy()[rows], found, exact], schema=schema))

@@ -255,11 +255,11 @@ def repair(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     given = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), spaced(role_col).alias("role"), spaced(text_col).alias("text"))
     at = index_rows(given, ["conv"], ["turn", "role", "text"], row="at", total="n_rows")
     initial = F.substring("role", 1, 1)
-    linked = neighbours(at, ["conv"], prev={"_before": initial}, row="at")
+    linked = neighbours(at, ["conv"], prev={"prior": initial}, row="at")
     bare = F.rtrim(F.col("text"), F.lit(" \t\n\x0b\f\r"))
     rows = stored(strip_layout(linked).select(
         "conv", "turn", "role", "text", "at", "n_rows", (bare == "").alias("is_blank"), (~F.substring(bare, -1, 1).isin(".", "!", "?")).alias("is_cut"),
-        (F.col("_before").isNotNull() & ~F.concat("_before", initial).isin("su", "ua", "au")).alias("is_illegal")), "turns")
+        (F.col("prior").isNotNull() & ~F.concat("prior", initial).isin("su", "ua", "au")).alias("is_illegal")), "turns")
     of_role = F.instr(F.lit("?sua"), initial) - 1
     code = F.when(F.col("role").rlike("^[sua]"), of_role).otherwise(0) + F.when(F.col("is_cut"), 4).otherwise(0)
     firsts = rows.where(~F.col("is_blank")).groupBy("conv", "role", F.sha2("text", 256).alias("_text")).agg(
