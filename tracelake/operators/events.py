@@ -101,11 +101,7 @@ def max_hourly_burden(df: DataFrame, keys: list[str], flag: str, overall: DataFr
 def repeated_onsets(df: DataFrame, keys: list[str], flag: str, hours: str = "hours",
                     minutes: float = ONSET_GAP_MINUTES, order: list[str] | None = None) -> DataFrame:
     """Whether two onsets lie less than ``minutes`` apart (onset to onset)."""
-    from .ordered import index_rows
-
-    onsets = event_onsets(df, keys, flag, hours).select(*keys, F.col("row_idx").alias("_at"), hours)
-    numbered = index_rows(onsets, keys, ["_at"])
-    gaps = neighbours(numbered, keys, next={"_nh": hours})
+    gaps = neighbours(event_onsets(df, keys, flag, hours), keys, next={"_nh": hours})
     return gaps.groupBy(*keys).agg(
         F.coalesce(F.bool_or((F.col("_nh") - F.col(hours)) * 60.0 < minutes), F.lit(False)).alias("repeated"))
 

@@ -28,10 +28,14 @@ from ..sources.workdir import stored
 SLICE_ROWS_CONF = "spark.tracelake.sliceRows"
 DEFAULT_SLICE_ROWS = 2_000_000
 MAX_SLICES = 32_768
+SAMPLES_CONF = "spark.tracelake.samplesPerSlice"
 SAMPLES_PER_SLICE = 64
 _HASH_SPACE = 1 << 30
 _SEARCH_STEPS = [1 << b for b in range(16, -1, -1)]
 
+#: Key columns that stored timelines make and that are never null: plain equality keeps the hashes of their buckets.
+NEVER_NULL = ["recording_key"]
+
 HOT, SLICE = "_hot", "_slice"
 LAYOUT = [HOT, SLICE]
 
@@ -40,15 +44,19 @@ def slice_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(SLICE_ROWS_CONF, str(DEFAULT_SLICE_ROWS)))
 
 
+def samples_per_slice(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(SAMPLES_CONF, str(SAMPLES_PER_SLICE)))
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
               broadcast: bool = False) -> DataFrame:
-    """Null-safe equi-join on ``keys``; the key columns of ``left`` are kept."""
+    """Null-safe equi-join on ``keys`` (plain for those that are never null); the key columns of ``left`` are kept."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     if broadcast:
         renamed = F.broadcast(renamed)
     cond = F.lit(True)
     for i, k in enumerate(keys):
-        one = left[k].eqNullSafe(renamed[f"_r_{k}"])
+        one = left[k] == renamed[f"_r_{k}"] if k in NEVER_NULL else left[k].eqNullSafe(renamed[f"_r_{k}"])
         cond = one if i == 0 else cond & one
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
@@ -73,21 +81,22 @@ def _find_cuts(df: DataFrame, keys: list[str], order: list[str], sizes_of: DataF
     seen = sizes.agg(F.max("_rows").alias("top"), F.sum("_rows").alias("all")).first()
     if seen["top"] is None:
         return None
+    samples = samples_per_slice(df)
     limit = max(limit, -(-seen["all"] // MAX_SLICES))
     if seen["top"] <= limit:
         return None
     hot = sizes.where(F.col("_rows") > limit).select(*keys)
     hashed = F.pmod(F.xxhash64(*keys, *order), F.lit(_HASH_SPACE))
     sample = join_keys(df.select(*keys, *order), hot, keys, "left_semi", broadcast=True).where(
-        hashed < F.lit(_HASH_SPACE * SAMPLES_PER_SLICE / limit))
+        hashed < F.lit(_HASH_SPACE * samples / limit))
     picks = F.transform(
-        F.sequence(F.lit(1), (F.size("_s") / SAMPLES_PER_SLICE).cast("int") - 1),
-        lambda i: F.get(F.col("_s"), i * SAMPLES_PER_SLICE),
+        F.sequence(F.lit(1), (F.size("_s") / samples).cast("int") - 1),
+        lambda i: F.get(F.col("_s"), i * samples),
     )
     cuts = (
         sample.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_s"))
-        .where(F.size("_s") >= 2 * SAMPLES_PER_SLICE)
+        .where(F.size("_s") >= 2 * samples)
         .select(*keys, F.lit(True).alias(HOT), picks.alias("_cuts"))
     )
     cuts = stored(cuts, "cuts")

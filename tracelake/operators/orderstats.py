@@ -45,7 +45,7 @@ def trimmed_mean(share: float, minimum: int = 4) -> Column:
     first = F.greatest(F.col("lo"), cut)
     last = F.least(F.col("lo") + F.col("w"), F.col("n") - cut)
     kept = F.greatest(last - first, F.lit(0))
-    return F.sum(F.col("v") * kept) / F.sum(kept)
+    return F.try_divide(F.sum(F.col("v") * kept), F.sum(kept))
 
 
 def order_stats(df: DataFrame, keys: list[str], value: str, **stats: Column) -> DataFrame:

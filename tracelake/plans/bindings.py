@@ -8,10 +8,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import index_rows
+from ..operators.ordered import SLICE_ROWS_CONF, index_rows
+from ..operators.stored_timeline import Timeline, store_timeline
 from ..operators.timebase import timeline
 
 KEY = ["patient_id"]
@@ -64,6 +67,19 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.withColumns({"hours": hours, "usable": F.col("artifact_clean") & ~F.col("seizure")})
 
 
+_STORED: dict[tuple[str, str, str], Timeline] = {}
+
+
+def stored_recordings(spark: SparkSession, sf_dir: str) -> Timeline:
+    """The recordings as a timeline stored once per session; hours and masks are columns of its rows."""
+    at = (spark.sparkContext.applicationId, sf_dir, spark.conf.get(SLICE_ROWS_CONF, ""))
+    if at not in _STORED:
+        tl = store_timeline(epochs(spark, sf_dir), KEY, ["ts", "event_id"])
+        hours = F.timestamp_diff("MICROSECOND", "start_ts", "ts") / F.lit(3.6e9)
+        _STORED[at] = replace(tl, rows=tl.rows.withColumns({"hours": hours, "usable": F.col("artifact_clean") & ~F.col("seizure")}))
+    return _STORED[at]
+
+
 SUPPORT = """
 st AS (
   SELECT *, date_diff('microsecond', ts, lead(ts) OVER w) / 1e6 AS step_next,

@@ -6,11 +6,12 @@ from ..functions.numbers import rounded
 from ..operators import bins as bn
 from ..operators import features as ft
 from ..operators.orderstats import order_stats, trimmed_mean
-from ..operators.ordered import strip_layout
 from ..operators.timebase import step_support
 from ..sources.workdir import stored
-from .bindings import BIN_OF, EDGES, EP, KEY, SUPPORT, epochs, recordings, table  # noqa: F401
-from .registry import query
+from ..operators.bincounts import aggregate_timeline
+from ..operators.stored_timeline import REC, with_support
+from .bindings import BIN_OF, EDGES, EP, KEY, SUPPORT, recordings, stored_recordings, table
+from .registry import also_sliced, query
 
 R = rounded
 
@@ -138,7 +139,8 @@ SELECT patient_id, bin_label, n_total AS n_total_epochs, round(obs+1e-9,6) AS ob
   clean >= 1.0 AS meets_minimum FROM cv
 """)
 def coverage(spark, sf):
-    out = bn.bin_coverage(step_support(recordings(spark, sf), KEY), KEY, EDGES)
+    tl = stored_recordings(spark, sf)
+    out = bn.bin_coverage(with_support(tl), [REC], EDGES).join(tl.recordings.select(REC, *KEY), REC)
     return out.select("patient_id", "bin_label", "n_total_epochs", R(F.col("observed_hours")).alias("observed_hours"), R(F.col("clean_hours")).alias("clean_hours"),
                       "expected_hours", R(F.col("clean_of_observed")).alias("clean_of_observed"),
                       R(F.col("clean_of_expected")).alias("clean_of_expected"), "meets_minimum")
@@ -198,15 +200,16 @@ sl AS (SELECT patient_id, feature, CASE WHEN count(*) >= 2 THEN regr_slope(media
 
 
 def summary(spark, sf):
-    df = step_support(recordings(spark, sf), KEY).withColumn("fft_delta_value", F.col("value"))
-    df = stored(df.select("patient_id", "hours", "usable", "support_hours", "fft_delta_value", "raw_value"), "epochs")
-    return stored(bn.aggregate_bins(df, KEY, ["fft_delta_value", "raw_value"], EDGES), "bins")
+    tl = stored_recordings(spark, sf)
+    rows = with_support(tl).withColumn("fft_delta_value", F.col("value"))
+    out = aggregate_timeline(rows, ["fft_delta_value", "raw_value"], EDGES)
+    return out.join(tl.recordings.select(REC, *KEY), REC)
 
 
 @query("A12_bin_slopes", SUMMARY + "SELECT patient_id, feature, round(slope+1e-9,6) AS slope FROM sl")
 def slopes(spark, sf):
-    out = summary(spark, sf)
-    return bn.bin_slopes(out, ["patient_id", "feature"]).withColumn("slope", R(F.col("slope")))
+    ok = summary(spark, sf).where(F.col("meets_minimum") & F.col("median").isNotNull())
+    return ok.groupBy("patient_id", "feature").agg(F.any_value(R(F.col("slope"))).alias("slope"))
 
 
 MISSING = """CASE WHEN n_total = 0 THEN 'no_data' WHEN clean / (bin_end - bin_start) >= 0.95 THEN 'complete'
@@ -220,13 +223,48 @@ def missing(spark, sf):
     return bn.bin_coverage(step_support(recordings(spark, sf), KEY), KEY, EDGES).select("patient_id", "bin_label", "missingness")
 
 
-@query("A14_bin_summary", SUMMARY + f"""
-SELECT patient_id, bin_label, feature, n_total AS n_total_epochs, round(clean+1e-9,6) AS clean_hours, round(median+1e-9,6) AS median, round(mean+1e-9,6) AS mean,
-  round(sd+1e-9,6) AS sd, round(p05+1e-9,6) AS p05, round(p95+1e-9,6) AS p95, round(log_mean+1e-9,6) AS log_mean, n_effective,
-  {MISSING} AS missingness, round(slope+1e-9,6) AS slope
+def _rounded(*names):
+    return ", ".join(f"round({n}+1e-9,6) AS {n}" for n in names)
+
+
+# All statistics, over independent rows for the first variable, and the columns of the bin.
+INDEPENDENT = ["median", "mean", "sd", "p05", "p10", "p25", "p75", "p90", "p95", "iqr", "min", "max", "trimmed_mean_20pct", "cv", "log_mean", "log_sd"]
+FULL = f"""
+WITH {EP}, {SUPPORT}, {GRID}, {COVER}, {MASKS_SQL},
+lo AS (SELECT patient_id, bin_label, 'fft_delta_value' AS feature, value AS v, m_power AS own FROM mk WHERE usable AND bin_label IS NOT NULL UNION ALL
+       SELECT patient_id, bin_label, 'raw_value', raw_value, TRUE FROM mk WHERE usable AND bin_label IS NOT NULL),
+rk AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY patient_id, bin_label, feature) AS k FROM lo WHERE own AND v IS NOT NULL
+       WINDOW w AS (PARTITION BY patient_id, bin_label, feature ORDER BY v)),
+s AS (SELECT patient_id, bin_label, feature, median(v) AS median, avg(v) AS mean, CASE WHEN count(v) = 1 THEN 0.0 ELSE stddev_samp(v) END AS sd,
+   {", ".join(f"quantile_cont(v, {p}) AS {n}" for n, p in bn.QUANTILES.items())}, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, min(v) AS min, max(v) AS max,
+   avg(v) FILTER (k < 4 OR (i >= floor(k * 0.1) AND i < k - floor(k * 0.1))) AS trimmed_mean_20pct, count(v) AS n,
+   CASE WHEN feature LIKE 'fft%' THEN exp(avg(ln(CASE WHEN v > 0 THEN v END))) END AS log_mean,
+   CASE WHEN feature LIKE 'fft%' THEN CASE WHEN count(*) FILTER (v > 0) = 1 THEN 0.0 ELSE stddev_samp(ln(CASE WHEN v > 0 THEN v END)) END END AS log_sd FROM rk GROUP BY 1, 2, 3),
+ob AS (SELECT patient_id, bin_label, feature, count(v) AS n_observed FROM lo GROUP BY 1, 2, 3),
+ff AS (SELECT * FROM (VALUES ('fft_delta_value', 'power_cadence_adjusted'), ('raw_value', 'row_count')) f(feature, basis)),
+nm AS (SELECT gr.patient_id, gr.bin_label, count(*) FILTER (usable AND m_power) AS n_power FROM gr LEFT JOIN mk USING (patient_id, bin_label) GROUP BY 1, 2),
+j AS (SELECT *, CASE WHEN mean > 1e-10 THEN sd / mean END AS cv, clean >= 40.0 AS ok FROM cv CROSS JOIN ff LEFT JOIN s USING (patient_id, bin_label, feature)
+   LEFT JOIN ob USING (patient_id, bin_label, feature) JOIN nm USING (patient_id, bin_label)),
+sl AS (SELECT patient_id, feature, CASE WHEN count(*) >= 2 THEN regr_slope(median, (bin_start + bin_end) / 2.0) END AS slope FROM j WHERE ok AND median IS NOT NULL GROUP BY 1, 2)
+"""
+
+
+@query("A14_bin_summary", FULL + f"""
+SELECT patient_id, bin_label, feature, n_total AS n_total_epochs, n_power AS n_effective_cadence, {_rounded("obs", "clean")}, ok AS meets_minimum, {MISSING} AS missingness,
+  {", ".join(f"CASE WHEN ok THEN round({c}+1e-9,6) END AS {c}" for c in INDEPENDENT)}, CASE WHEN ok THEN coalesce(n_observed, 0) ELSE 0 END AS n_observed,
+  CASE WHEN ok THEN coalesce(n, 0) ELSE 0 END AS n_effective, CASE WHEN ok THEN basis WHEN feature = 'raw_value' THEN 'not_estimated' ELSE basis END AS effective_basis, round(slope+1e-9,6) AS slope
 FROM j LEFT JOIN sl USING (patient_id, feature)
 """)
 def bin_summary(spark, sf):
-    out = summary(spark, sf)
-    return out.select("patient_id", "bin_label", "feature", "n_total_epochs", *[R(F.col(c)).alias(c) for c in (
-        "clean_hours", "median", "mean", "sd", "p05", "p95", "log_mean", "slope")], "n_effective", "missingness")
+    """Every statistic of the bin summary, over a timeline stored once; the first variable counts independent rows only."""
+    tl = stored_recordings(spark, sf)
+    rows = with_support(tl).withColumns({"fft_delta_value": F.col("value"), "level": F.floor(F.col("value") / 50.0)})
+    rows = ft.independent_mask(rows, [REC], ["level"], 8, "m_power")
+    out = aggregate_timeline(rows, ["fft_delta_value", "raw_value"], EDGES, masks={"fft_delta_value": "m_power"}, basis={"fft_delta_value": "power_cadence_adjusted"}, min_hours=40.0)
+    out = out.join(tl.recordings.select(REC, *KEY), REC)
+    return out.select("patient_id", "bin_label", "feature", "n_total_epochs", "n_effective_cadence", R(F.col("observed_hours")).alias("obs"), R(F.col("clean_hours")).alias("clean"),
+                      "meets_minimum", "missingness", *[R(F.col(c)).alias(c) for c in INDEPENDENT], "n_observed", "n_effective", "effective_basis", R(F.col("slope")).alias("slope"))
+
+
+also_sliced("A14_bin_summary")
+also_sliced("A3_effective_counts")

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
 from ..operators import events as ev
-from ..operators.merge import to_long  # noqa: F401
-from .bindings import EP, KEY, recordings, table
-from .registry import query
+from ..operators.stored_timeline import REC
+from .bindings import EP, KEY, recordings, stored_recordings, table
+from .registry import also_sliced, query
 
 RUNS = """
 rn AS (
@@ -99,9 +99,10 @@ b AS (SELECT patient_id, 100.0 * count(*) FILTER (seizure AND artifact_clean) /
 SELECT b.patient_id, round(coalesce(top * 100.0 / 60, pct) + 1e-9, 6) AS max_hourly_burden_pct FROM b JOIN t USING (patient_id)
 """)
 def hourly_burden(spark, sf):
-    df = recordings(spark, sf).withColumn("m", F.col("seizure") & F.col("artifact_clean"))
-    base = ev.burden(df, KEY, "seizure", "artifact_clean")
-    out = ev.max_hourly_burden(df, KEY, "m", base, epoch_seconds=60.0)
+    tl = stored_recordings(spark, sf)
+    df = tl.rows.withColumn("m", F.col("seizure") & F.col("artifact_clean"))
+    base = ev.burden(df, [REC], "seizure", "artifact_clean")
+    out = ev.max_hourly_burden(df, [REC], "m", base, epoch_seconds=60.0).join(tl.recordings.select(REC, *KEY), REC).drop(REC)
     return out.withColumn("max_hourly_burden_pct", rounded(F.col("max_hourly_burden_pct")))
 
 
@@ -151,7 +152,8 @@ SELECT patient_id, event_epochs, event_epochs_clean, events, events_clean, longe
   round(burden_pct + 1e-9, 6) AS burden_pct, round(mh + 1e-9, 6) AS max_hourly_burden_pct FROM r
 """)
 def event_report(spark, sf):
-    out = ev.event_report(recordings(spark, sf), KEY, "seizure", "artifact_clean", "value", epoch_seconds=120.0)
+    tl = stored_recordings(spark, sf)
+    out = ev.event_report(tl.rows, [REC], "seizure", "artifact_clean", "value", epoch_seconds=120.0).join(tl.recordings.select(REC, *KEY), REC)
     return out.select(*REPORT_COLS, rounded(F.col("burden_pct")).alias("burden_pct"),
                       rounded(F.col("max_hourly_burden_pct")).alias("max_hourly_burden_pct"))
 
@@ -166,3 +168,6 @@ FROM n WHERE NOT artifact_clean GROUP BY patient_id, g
 def flagged(spark, sf):
     out = ev.flagged_regions(recordings(spark, sf), KEY, "artifact_clean")
     return out.withColumns({c: rounded(F.col(c)) for c in ("start_hours", "end_hours")})
+
+
+also_sliced("E10_event_report")

@@ -8,10 +8,10 @@ from ..functions.numbers import rounded
 from ..operators import timebase as tb
 from ..operators.columns import cadence_table
 from ..operators.merge import prefix_matches
-from ..operators.ordered import index_rows, join_keys
-from ..operators.orderstats import group_median  # noqa: F401
-from .bindings import EP, KEY, SUPPORT, epochs, indexed, recordings, table
-from .registry import query
+from ..operators.ordered import SLICE_ROWS_CONF, index_rows, join_keys, strip_layout
+from ..operators.stored_timeline import corrected_clocks, store_timeline, with_support
+from .bindings import EP, KEY, SUPPORT, epochs, indexed, recordings, stored_recordings, table
+from .registry import also_sliced, query
 
 R = rounded
 
@@ -140,6 +140,9 @@ sg_m AS (SELECT patient_id, segment, bool_or(clk IS NULL OR coalesce(step, 1.0)
 """
 
 
+_SEGMENTS = {}
+
+
 def segments(spark, sf):
     ev = table(spark, sf, "events").select(
         F.col("user_id").alias("patient_id"), (F.col("event_id") % 3).alias("segment"), "event_id", ck.ntz("ts").alias("ts"))
@@ -147,6 +150,15 @@ def segments(spark, sf):
     return ix.withColumn("clk", F.when((F.col("patient_id") % 5 == 2) & (F.col("segment") == 1), None).otherwise(F.col("ts")))
 
 
+def stored_segments(spark, sf):
+    """The segments as a stored timeline, made once per session."""
+    at = (spark.sparkContext.applicationId, sf, spark.conf.get(SLICE_ROWS_CONF, ""))
+    if at not in _SEGMENTS:
+        rows = strip_layout(segments(spark, sf)).drop("row_idx", "n_rows")
+        _SEGMENTS[at] = store_timeline(rows, ["patient_id", "segment"], ["ts", "event_id"], ts="clk")
+    return _SEGMENTS[at]
+
+
 def segment_corrections(spark, sf):
     keys = table(spark, sf, "events").select(F.col("user_id").alias("patient_id"), (F.col("event_id") % 3).alias("segment")).distinct()
     return keys.withColumns({"age_days": 100 + F.col("segment"), "clock_sec": (F.col("patient_id") % 24) * 3600.0 + F.col("segment") * 60.0})
@@ -161,7 +173,7 @@ FROM sg_s JOIN sg_m USING (patient_id, segment) JOIN sg_c USING (patient_id, seg
 def correction(spark, sf):
     anchor = F.lit(tb.SHIFTED_BIRTHDAY).cast("timestamp_ntz")
     starts = segment_corrections(spark, sf).withColumn("segment_start", tb.segment_start(anchor, F.col("age_days"), F.col("clock_sec")))
-    return tb.correct_clocks(segments(spark, sf), ["patient_id", "segment"], starts, ts="clk").select("event_id", "corrected_ts")
+    return corrected_clocks(stored_segments(spark, sf), starts, ts="clk").select("event_id", "corrected_ts")
 
 
 @query("T9_anchor", f"""
@@ -262,7 +274,7 @@ def shifted(spark, sf):
 
 @query("T15_step_support", f"WITH {EP}, {SUPPORT} SELECT event_id, round(support + 1e-9, 6) AS support_hours FROM su")
 def support(spark, sf):
-    return tb.step_support(recordings(spark, sf), KEY).select("event_id", R(F.col("support_hours")).alias("support_hours"))
+    return with_support(stored_recordings(spark, sf)).select("event_id", R(F.col("support_hours")).alias("support_hours"))
 
 
 @query("T16_timestamp_gaps", f"""
@@ -339,3 +351,8 @@ def cadence(spark, sf):
     cols = table(spark, sf, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(FAMILY_LIST)).cast("int")).alias("family"))
     template = spark.createDataFrame([("FFTEngine01", 2.4, 4.0), ("Amplitude01", 0.2, 12.0)], "engine string, step double, win double")
     return cadence_table(cols, template).select("p_partkey", "family", "engine", "cadence_rows", "window_seconds")
+
+
+also_sliced("T8_clock_correction")
+also_sliced("T15_step_support")
+also_sliced("T16_timestamp_gaps")

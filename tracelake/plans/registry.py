@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.ordered import SAMPLES_CONF, SLICE_ROWS_CONF
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +23,20 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
+
+
+def also_sliced(name: str, rows: int = 24, samples: int = 4) -> None:
+    """Register a query again with every recording of more than ``rows`` rows cut into slices; the SQL stays the same."""
+    plain = QUERIES[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = {k: spark.conf.get(k, None) for k in (SLICE_ROWS_CONF, SAMPLES_CONF)}
+        spark.conf.set(SLICE_ROWS_CONF, str(rows))
+        spark.conf.set(SAMPLES_CONF, str(samples))
+        try:
+            return plain(spark, sf_dir)  # slices are decided while the plan is built
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    query(f"{name}_sliced", ORACLES[name])(run)
