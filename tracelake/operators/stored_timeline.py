@@ -50,11 +50,10 @@ def recording_name(keys: list[str]) -> Column:
 
 
 def bucketed(df: DataFrame, by: list[str], sort: list[str], buckets: int, name: str) -> DataFrame:
-    """Write ``df`` once as a table of ``buckets`` sorted files in the shared folder."""
+    """Write ``df``, whose tasks hold whole buckets, once as a table of ``buckets`` sorted files in the shared folder."""
     table = f"{name}_{uuid.uuid4().hex[:12]}"
     path = work_dir(df.sparkSession, name)
-    dealt = df.repartition(buckets, *by)
-    dealt.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, *by).sortBy(*sort).saveAsTable(table)
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, *by).sortBy(*sort).saveAsTable(table)
     return df.sparkSession.table(table)
 
 
@@ -62,24 +61,27 @@ def store_timeline(df: DataFrame, keys: list[str], order: list[str], ts: str = "
     """Number, link and store the rows of all recordings, and catalogue them."""
     spark = df.sparkSession
     numbered = with_steps(timeline(df.withColumn(REC, recording_name(keys)), [REC], order, ts), [REC], ts)
-    by = [REC, LAYOUT[1]] if is_sliced(numbered) else [REC]
-    if buckets is None:
-        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        buckets = least if not is_sliced(numbered) else max(least, -(-df.count() // BUCKET_ROWS))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if is_sliced(numbered):
+        by, buckets = [REC, LAYOUT[1]], buckets or max(tasks, -(-df.count() // BUCKET_ROWS))
+        numbered = numbered.repartition(buckets, *by)
+    else:  # the windows above have dealt the rows by recording into as many tasks
+        by, same = [REC], buckets in (None, tasks)
+        buckets, numbered = buckets or tasks, numbered if same else numbered.repartition(buckets, REC)
     rows = bucketed(numbered, by, [*by, "row_idx"], buckets, "timeline")
-    facts = rows.groupBy(REC).agg(*[F.any_value(k).alias(k) for k in keys], F.count(F.lit(1)).alias("n_rows"), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"))
-    medians = median_per_recording(rows, "step_next", F.col("step_next") > 0, "median_step")
-    recordings = bucketed(facts.join(medians, REC, "left"), [REC], [REC], buckets, "recordings")
-    return Timeline(rows, recordings, list(keys))
+    return Timeline(rows, bucketed(_catalogue(rows, keys, ts).repartition(buckets, REC) if is_sliced(rows) else _catalogue(rows, keys, ts), [REC], [REC], buckets, "recordings"), list(keys))
 
 
-def median_per_recording(rows: DataFrame, value: str, where: Column, out: str) -> DataFrame:
-    """(REC, out): exact median of ``value``; ranked inside the buckets unless recordings are cut."""
-    known = rows.where(where & F.col(value).isNotNull())
+def _catalogue(rows: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """One row per recording. Steps are counted by value with everything else, so unless recordings are cut one pass over the buckets does it."""
+    facts = [*[F.any_value(k).alias(k) for k in keys], F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts")]
     if is_sliced(rows):
-        return group_median(known, [REC], value, out)
-    counted = known.groupBy(REC, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    return counted_ranks(counted, [REC]).groupBy(REC).agg(quantile(0.5).alias(out))
+        whole = rows.groupBy(REC).agg(F.count(F.lit(1)).alias("n_rows"), *facts)
+        return whole.join(group_median(rows.where("step_next > 0"), [REC], "step_next", "median_step"), REC, "left")
+    step = F.when(F.col("step_next") > 0, F.col("step_next"))
+    counted = rows.groupBy(REC, step.alias("v")).agg(F.count(F.lit(1)).alias("n_rows"), F.count(step).alias("w"), *facts)
+    again = [*[F.any_value(k).alias(k) for k in keys], F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts")]
+    return counted_ranks(counted, [REC]).groupBy(REC).agg(F.sum("n_rows").alias("n_rows"), *again, quantile(0.5).alias("median_step"))
 
 
 def counted_ranks(counted: DataFrame, groups: list[str], weight: str = "w") -> DataFrame:
