@@ -242,3 +242,44 @@ CONTRACT_PATTERNS = [
     (r"^Time \(\d+", "time_avg"),
     (r"^Comment\b", "comment"),
 ]
+
+# ---- fixed values: unit of every family, units of variants (family, pattern of the lower-case name), names of electrode chains ----
+FAMILY_UNITS = {
+    "fft_power": "µV (amplitude; MMX PowerType=1 — NOT µV² power)",
+    "fft_power_ratio": "ratio of µV amplitudes (dimensionless); clamped at Ratio Max 10",
+    "adr": "ratio of µV amplitudes (dimensionless); clamped at Ratio Max 10. NOT a power ratio — equals the square root of a conventional power-based ADR, so do not compare directly to published values.",
+    "relative_power": "band/broadband ratio of µV amplitudes (dimensionless); clamped at Ratio Max 10. NOT conventional relative power (band power ÷ total power) — equals its square root.",
+    "alpha_variability": "RAV: 6–14/1–20 Hz ratio of µV amplitudes (dimensionless); clamped at Ratio Max 10",
+    "fft_spectrogram": "µV/√Hz (amplitude spectral density = √(µV²/Hz); Persyst label 'sqrt(µV)/Hz'; square to get PSD µV²/Hz)",
+    "asymmetry_spectrogram": "% (−100 to +100) per bin",
+    "rhythmicity_spectrogram": "rhythmic spectral amplitude (µV/Hz)",
+    "spectral_edge": "Hz",
+    "asymmetry": "% (EASI 0–100 magnitude; REASI −100 to +100, + = right>left)",
+    "suppression_ratio": "% (0–100)",
+    "rhythmicity": "rhythmicity index",
+    "rda": "rhythmicity index",
+    "rhythmic_delta": "boolean (0/1)",
+    "artifact_intensity": "muscle: µV (per Persyst 2026-08-20; help text says µV² — unconfirmed). V-Eye / L-Eye: probability 0.0–1.0",
+    "electrode_quality": "dimensionless, 0=clean → 1.0; >1.0 = above impedance disconnect threshold. Clamped at the MMX display Maximum (1.2 in this template)",
+    "aeeg": "µV (peak-to-peak)",
+    "peak_envelope": "µV",
+    "seizure_probability": "probability (0–1)",
+    "seizure_detection": "boolean (0/1)",
+    "seizure_notification": "boolean (0/1)",
+    "status_epilepticus": "binary (0/1) or % (0–100) per variant. PERCENT variants floor at 0.050331, never 0; advanced and combined are identical",
+    "seizure_burden": "% (0–100) or category code per variant",
+    "spike_density": "spikes/sec",
+    "coherence_spectrogram": "coherence (0–1)",
+    "sleep": "sleep stage code",
+    "heart_rate": "bpm",
+    "annotation": "text",
+    "time_display": "timestamp",
+}
+UNIT_VARIANTS = [
+    (["status_epilepticus", "seizure_burden"], "_binary$|_binary_", "binary (0/1)"),
+    (["status_epilepticus", "seizure_burden"], "_percent$|_percent_|_pct$", "% (0–100)"),
+    (["status_epilepticus", "seizure_burden"], "categor", "category code"),
+    (["sleep"], "stage_display|rate_display|sleepstages$", "sleep stage code (0=indeterminate, 1=N3, 2=N2, 3=N1, 4=REM, 5=wake)"),
+    (["sleep"], "", "binary (0/1) — one-hot flag for this stage"),
+]
+ELECTRODE_CHAIN = r"[a-z]{1,3}\d{1,2}[a-z]{1,3}\d{1,2}"

@@ -64,7 +64,7 @@ def aggregate_timeline(rows: DataFrame, variables: list[str], edges: list[float]
     named = F.array(*[F.struct(F.lit(i).alias("variable_id"), F.lit(v).alias("feature"), F.lit(basis.get(v, "engine_cadence_adjusted") if v in masks else "row_count").alias("_basis"),
                                F.lit(basis.get(v, "not_estimated")).alias("_empty")) for i, v in enumerate(variables)])
     frame = cover.withColumn("bin_id", F.array_position(labels, F.col("bin_label")).cast("int") - 1).select("*", F.inline(named))
-    joined = mask_below_minimum(frame.join(stats, GROUPS, "left"))
+    joined = mask_below_minimum(frame.join(stats, GROUPS, "left").withColumn("n", F.coalesce("n", F.lit(0))))
     per = Window.partitionBy(REC, "variable_id")
     point = F.when(F.col("meets_minimum"), F.col("median"))
     slope = F.when(F.count(point).over(per) >= 2, F.regr_slope(point, (F.col("bin_start") + F.col("bin_end")) / 2.0).over(per))

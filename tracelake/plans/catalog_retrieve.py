@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from ..constants import FAMILY_UNITS
 from ..functions.numbers import rounded
 from ..operators import bins as bn
 from ..operators import retrieve as rt
 from ..operators import shapes as sh
-from ..operators.columns import cadence_table  # noqa: F401
 from ..operators.merge import to_long
 from ..operators.ordered import index_rows, join_keys
+from ..operators.shapes import BIN_FIELDS, STATISTIC_FORMULAS
 from ..operators.timebase import step_support
 from .bindings import EDGES, EP, KEY, SG, indexed, indexed_signals, recordings, signals, table
 from .catalog_bins import SUMMARY, summary
@@ -240,9 +241,8 @@ def rename(spark, sf):
 
 @query("X7_data_dictionary", f"""
 WITH d AS (SELECT p_partkey, {NAME_SQL} || CASE WHEN p_partkey % 4 = 2 THEN '_percent' ELSE '' END AS common_name, {FAM_SQL} AS family FROM part)
-SELECT p_partkey, family, CASE WHEN family = 'status_epilepticus' THEN CASE WHEN p_partkey % 4 = 2 THEN '% (0–100)' ELSE 'binary (0/1) or % (0–100) per variant' END
-  WHEN family = 'fft_power' THEN 'µV' WHEN family = 'aeeg' THEN 'µV (peak-to-peak)' WHEN family = 'asymmetry' THEN '%' WHEN family = 'fft_spectrogram' THEN 'µV/√Hz' WHEN family = 'electrode_quality' THEN 'dimensionless'
-  WHEN family = 'rhythmicity' THEN 'rhythmicity index' WHEN family = 'sleep' THEN 'binary (0/1), flag of one stage' WHEN family = 'coherence_spectrogram' THEN 'coherence (0–1)' ELSE '' END AS unit, {GROUP_SQL} AS export_group,
+SELECT p_partkey, family, CASE WHEN family = 'status_epilepticus' AND p_partkey % 4 = 2 THEN '% (0–100)' WHEN family = 'sleep' THEN 'binary (0/1) — one-hot flag for this stage'
+  {" ".join(f"WHEN family = '{f}' THEN '" + u.replace("'", "''") + "'" for f, u in FAMILY_UNITS.items())} ELSE '' END AS unit, {GROUP_SQL} AS export_group,
   CAST(CASE WHEN family IN ('fft_power','asymmetry','fft_spectrogram') THEN 8 WHEN family = 'rhythmicity' THEN 2 ELSE 1 END AS INT) AS cadence_rows,
   CASE WHEN family IN ('fft_power','asymmetry','fft_spectrogram') THEN 4.0 WHEN family = 'rhythmicity' THEN 3.0 WHEN family = 'electrode_quality' THEN 1.2 ELSE 1.0 END::DOUBLE AS window_seconds FROM d
 """)
@@ -251,6 +251,32 @@ def data_dictionary(spark, sf):
     return sh.data_dictionary(d).select("p_partkey", "family", "unit", "export_group", "cadence_rows", "window_seconds")
 
 
+_DERIVED_SQL = """
+WITH r AS (SELECT unnest(['anterior', 'posterior']) AS region), b AS (SELECT unnest(['delta', 'theta', 'alpha', 'beta']) AS band)
+SELECT 'fft_' || band || '_' || region AS variable_name, 'fft_power' AS family, 'fft_' || band || '_left_' || region || '+fft_' || band || '_right_' || region AS made_of FROM r, b
+UNION ALL SELECT 'fft_' || band || '_' || region || '_sides_contributing', 'fft_power', 'fft_' || band || '_left_' || region || '+fft_' || band || '_right_' || region FROM r, b
+UNION ALL SELECT 'total_power_' || region, 'fft_power', 'fft_delta_' || region || '+fft_theta_' || region || '+fft_alpha_' || region || '+fft_beta_' || region FROM r
+UNION ALL SELECT 'rel_' || band || '_' || region, 'fft_power_ratio', 'fft_' || band || '_' || region || '+total_power_' || region FROM r, b
+UNION ALL SELECT p || band || '_delta_ratio_' || region, 'fft_power_ratio', 'fft_' || band || '_' || region || '+fft_delta_' || region FROM r, b, (SELECT unnest(['', 'log_']) AS p) WHERE band IN ('theta', 'alpha')
+"""
+
+
+@query("X7_full_dictionary", f"""
+WITH own AS (SELECT CASE WHEN p_partkey % 9 = 1 THEN 'fft_delta_anterior' ELSE {NAME_SQL} || p_partkey END AS variable_name, {FAM_SQL} AS family FROM part),
+made AS ({_DERIVED_SQL}),
+stat AS (SELECT unnest({list(STATISTIC_FORMULAS)}) AS variable_name, 'statistic' AS family UNION ALL SELECT unnest({list(BIN_FIELDS)}), 'time_binning')
+SELECT variable_name, family, '' AS made_of, count(*) AS n FROM own GROUP BY 1, 2 UNION ALL SELECT variable_name, family, made_of, 1 FROM made WHERE variable_name NOT IN (SELECT variable_name FROM own)
+UNION ALL SELECT variable_name, family, '', 1 FROM stat
+""")
+def full_dictionary(spark, sf):
+    k = F.col("p_partkey")
+    d = dictionary(spark, sf).withColumn("common_name", F.when(k % 9 == 1, "fft_delta_anterior").otherwise(F.concat("common_name", k.cast("string"))))
+    out = sh.full_dictionary(d)
+    derived = F.col("formula") != "as exported"
+    of = F.when(derived & ~F.col("family").isin("statistic", "time_binning"), F.array_join("source_columns", "+")).otherwise("")
+    return out.groupBy("variable_name", "family", of.alias("made_of")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("X8_column_mapping", f"SELECT p_size AS file_id, {NAME_SQL} AS common_name, p_name AS label, {FAM_SQL} AS family FROM part")
 def mapping(spark, sf):
     return sh.column_mapping(dictionary(spark, sf))
@@ -288,6 +314,39 @@ def provenance(spark, sf):
     return sh.provenance(o, ["o_orderkey"], {"source": ["o_custkey", "o_orderstatus"], "alignment": ["reference"]})
 
 
+@query("X10_run_record", """
+WITH f AS (SELECT o_custkey AS patient_id, min(o_orderdate) AS start_ts, count(*) AS parsed, count(*) FILTER (o_orderstatus = 'F') AS usable,
+    list_sort(list({'file': 'seg_' || o_orderkey, 'h': sha256('seg_' || o_orderkey)})) AS files, count(*) FILTER (o_orderkey % 5 = 0) AS n_corrected FROM orders GROUP BY 1),
+e AS (SELECT f.*, c_nationkey, CASE WHEN patient_id % 4 <> 0 THEN start_ts - to_hours(CAST(patient_id % 40 AS INT) - 5) END AS ev FROM f JOIN customer ON c_custkey = patient_id),
+g AS (SELECT *, date_diff('microsecond', ev, start_ts) / 3600000000.0 AS h FROM e)
+SELECT patient_id, parsed, usable, CASE WHEN coalesce(h <= 22, FALSE) THEN 'event' ELSE 'recording_start' END AS time_reference, coalesce(h <= 22, FALSE) AS is_aligned, coalesce(h < 0, FALSE) AS has_pre_event_data,
+  CASE WHEN h < 0 THEN -h ELSE 0.0 END::DOUBLE AS pre_event_hours, strftime(CASE WHEN coalesce(h <= 22, FALSE) THEN ev ELSE start_ts END, '%Y-%m-%dT%H:%M:%S') AS reference_time, len(files) AS n_files, files[1].file AS first_file, files[1].h AS first_sha,
+  c_nationkey::VARCHAR AS site, n_corrected FROM g
+""")
+def run_record(spark, sf):
+    from ..operators.timebase import alignment_guard
+
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("patient_id"), "o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("timestamp_ntz").alias("ts"))
+    segment = F.concat(F.lit("seg_"), F.col("o_orderkey").cast("string"))
+    runs = o.groupBy("patient_id").agg(F.min("ts").alias("start_ts"), F.count(F.lit(1)).alias("parsed"), F.count_if(F.col("o_orderstatus") == "F").alias("usable"))
+    runs = runs.join(table(spark, sf, "customer").select(F.col("c_custkey").alias("patient_id"), F.col("c_nationkey").cast("string").alias("site")), "patient_id")
+    pid = F.col("patient_id")
+    shift = F.make_dt_interval(F.lit(0), (pid % 40 - 5).cast("int"))
+    runs = alignment_guard(runs.withColumn("event_ts", F.when(pid % 4 != 0, F.col("start_ts") - shift)), "event_ts", "start_ts")
+    runs = runs.withColumns({"reference": F.when(F.col("is_aligned"), "event").otherwise("recording_start"), "reference_ts": F.when(F.col("is_aligned"), F.col("event_ts")).otherwise(F.col("start_ts"))})
+    files = o.select("patient_id", segment.alias("file"), F.sha2(segment, 256).alias("sha256"))
+    applied = o.where("o_orderkey % 5 = 0").select("patient_id", segment.alias("segment"), (pid % 100).alias("age_days"))
+    rec = sh.run_record(runs, ["patient_id"], files, versions={"pipeline": "1", "columns": "8"}, config="{}", stages=["parsed", "usable"], clinical=["site"], corrections=applied)
+    schema = ("versions struct<pipeline: string>, hash_strategy string, source_files array<struct<file: string, sha256: string>>, stage_row_counts struct<parsed: long, usable: long>, clinical_metadata struct<site: string>, "
+              "timing_corrections array<struct<segment: string, age_days: long>>, alignment struct<time_reference: string, reference_time: string, is_aligned: boolean, has_pre_event_data: boolean, pre_event_hours: double>")
+    r = rec.select("patient_id", F.from_json("record", schema).alias("r"))
+    a, first = F.col("r.alignment"), F.get("r.source_files", F.lit(0))
+    return r.select("patient_id", "r.stage_row_counts.parsed", "r.stage_row_counts.usable", a["time_reference"].alias("time_reference"), a["is_aligned"].alias("is_aligned"),
+                    a["has_pre_event_data"].alias("has_pre_event_data"), a["pre_event_hours"].alias("pre_event_hours"), a["reference_time"].alias("reference_time"),
+                    F.size("r.source_files").cast("long").alias("n_files"), first["file"].alias("first_file"), first["sha256"].alias("first_sha"), F.col("r.clinical_metadata.site").alias("site"),
+                    F.size("r.timing_corrections").cast("long").alias("n_corrected"))
+
+
 @query("X11_codebook_hash", f"""
 WITH d AS (SELECT p_size AS file_id, sha256({NAME_SQL} || '|' || {FAM_SQL}) AS h FROM part)
 SELECT file_id, sha256(concat_ws('|', count(*), sum(('0x' || substr(h, 1, 8))::BIGINT), sum(('0x' || substr(h, 9, 8))::BIGINT), sum(('0x' || substr(h, 17, 8))::BIGINT), sum(('0x' || substr(h, 25, 8))::BIGINT))) AS codebook_hash FROM d GROUP BY 1

@@ -8,6 +8,7 @@ from ..operators.ordered import index_rows, strip_layout
 from ..operators.profile import clock_check, compare_tables, conversion_columns
 from ..sources import exports as ex
 from ..sources import tables as tb
+from ..sources.hashing import file_hashes
 from ..sources.workdir import work_dir
 from ..streaming import streams as st
 from .bindings import EP, KEY, epochs, recordings, table
@@ -289,6 +290,22 @@ def fingerprints(spark, sf):
         F.col("url"), F.length("html"), F.concat(F.lit("t"), S(F.col("page_id"))), F.substring("html", 1, 64), F.right("html", F.lit(64))).alias("print"))
 
 
+@query("S22_file_hashes", """
+WITH f AS (SELECT c_nationkey::INT AS nation, string_agg(c_custkey || ';' || c_name || ';' || c_mktsegment || chr(10), '' ORDER BY c_custkey) AS t FROM customer GROUP BY 1)
+SELECT nation, strlen(t) AS size, sha256(t) AS sha256, sha256(left(t, 256) || CASE WHEN strlen(t) > 256 THEN right(t, 256) ELSE '' END) AS ends_sha256, TRUE AS own_fingerprint FROM f
+""")
+def file_hashes_(spark, sf):
+    """One written text file per nation, hashed from its bytes; copies of a file keep its hash but not its fingerprint."""
+    base = work_dir(spark, "hashed")
+    line = F.concat_ws(";", S(F.col("c_custkey")), "c_name", "c_mktsegment").alias("value")
+    rows = table(spark, sf, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", line)
+    for copy in ("a", "b"):
+        rows.write.partitionBy("c_nationkey").text(f"{base}/{copy}")
+    nation = F.regexp_extract("file", "c_nationkey=([0-9]+)/part-", 1).cast("int").alias("nation")
+    found = file_hashes(spark, base, span=256).where(F.col("file").rlike("/part-")).select(nation, "size", "sha256", "ends_sha256", "fingerprint")
+    return found.groupBy("nation", "size", "sha256", "ends_sha256").agg((F.count_distinct("fingerprint") == 2).alias("own_fingerprint"))
+
+
 @query("S24_conversion_check", """
 SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 500 = 3) AS only_left, 0::BIGINT AS only_right, 'o_totalprice' AS "column", (SELECT count(*) FROM orders WHERE o_orderkey % 100 = 7 AND o_orderkey % 500 <> 3) AS n_diff
 UNION ALL SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 500 = 3), 0, 'o_custkey', 0

@@ -181,15 +181,5 @@ def fingerprint(name: Column, size: Column, modified: Column, head: Column, tail
     return F.sha2(F.concat_ws("|", name, size.cast("string"), modified.cast("string"), head, tail), 256)
 
 
-def file_fingerprints(spark: SparkSession, path: str, span: int = 65536) -> DataFrame:
-    """(file, size, fingerprint, sha256) of files that fit a binary row."""
-    files = spark.read.format("binaryFile").load(path)
-    part = lambda start, n: F.hex(F.substring("content", start, n))
-    tail = F.hex(F.expr(f"substring(content, greatest(1, cast(length - {span} + 1 AS int)), {span})"))
-    return files.select(F.col("path").alias("file"), F.col("length").alias("size"),
-                        fingerprint(F.regexp_extract("path", r"([^/]*)$", 1), F.col("length"), F.col("modificationTime"), part(1, span), tail).alias("fingerprint"),
-                        content_hash("content").alias("sha256"))
-
-
 def attach_reference(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return join_keys(df, other, keys, "left")
