@@ -48,22 +48,24 @@ class Slot:
         return region_of(self.label)
 
 
-def instrument_layout(columns: DataFrame, keys: list[str]) -> DataFrame:
+def instrument_layout(columns: DataFrame, keys: list[str], scalar_name: str | None = None) -> DataFrame:
     """(keys, i_group, instrument, family, label, width, places, codes) from the columns of every file.
 
     ``columns``: (keys, col_idx, code, label, i_group, sub_index, family). ``places`` and
     ``codes`` are in the order of sub-indexes from 1, null where a file lacks one; of a code
-    that appears twice the first column counts. Equal labels in a file are told apart in
-    the order of their instrument numbers.
+    that appears twice the first column counts. Equal names in a file are told apart in
+    the order of their instrument numbers. ``scalar_name`` names a column whose value is
+    the name of an instrument with one value; others are named by their label.
     """
-    cell = columns.groupBy(*keys, "i_group", "sub_index").agg(F.min_by(F.struct("col_idx", "code", "label", "family"), "col_idx").alias("c"))
+    own = F.col(scalar_name) if scalar_name else F.lit(None).cast("string")
+    cell = columns.groupBy(*keys, "i_group", "sub_index").agg(F.min_by(F.struct("col_idx", "code", "label", "family", own.alias("own")), "col_idx").alias("c"))
     shown = F.when(F.col("c.label") != "", F.col("sub_index"))
     per = cell.groupBy(*keys, "i_group").agg(
-        F.coalesce(F.min_by("c.label", shown), F.lit("")).alias("label"), F.min_by("c.family", "sub_index").alias("family"), F.max("sub_index").alias("width"),
+        F.coalesce(F.min_by("c.label", shown), F.lit("")).alias("label"), F.min_by("c.own", "sub_index").alias("_own"), F.min_by("c.family", "sub_index").alias("family"), F.max("sub_index").alias("width"),
         F.map_from_entries(F.collect_list(F.struct("sub_index", F.struct(F.col("c.col_idx").alias("at"), F.col("c.code").alias("code"))))).alias("_m"))
     cells = F.transform(F.sequence(F.lit(1), F.col("width").cast("int")), lambda k: F.try_element_at("_m", k))
-    named = F.when(F.col("label") != "", identifier("label")).otherwise(F.concat_ws("_", "family", F.col("i_group").cast("string")))
-    out = per.withColumns({"places": F.transform(cells, lambda c: c["at"].cast("int")), "codes": F.transform(cells, lambda c: c["code"]), "instrument": named}).drop("_m")
+    named = F.when((F.col("width") == 1) & F.col("_own").isNotNull(), F.col("_own")).when(F.col("label") != "", identifier("label")).otherwise(F.concat_ws("_", "family", F.col("i_group").cast("string")))
+    out = per.withColumns({"places": F.transform(cells, lambda c: c["at"].cast("int")), "codes": F.transform(cells, lambda c: c["code"]), "instrument": named}).drop("_m", "_own")
     return unique_names(out, keys, "i_group", "instrument").drop("instrument").withColumnRenamed("unique_name", "instrument")
 
 
