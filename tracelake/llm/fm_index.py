@@ -14,8 +14,9 @@ Nothing is shuffled for the search. The windows go to all tasks in blocks of at
 about ``BLOCK_WORDS`` words of test items, the bound of what is broadcast; a larger test
 set is searched in several passes whose spans are merged per document.
 
-Defined cases: null or empty text has no words and no spans; null or empty items have no
-windows, and an empty test set or table gives rows without spans or no rows; null and
+Defined cases: null or empty text has no words and no spans; items of null or empty text have
+no windows, an item without an id covers words but is not named, and an empty test set or
+table gives rows without spans or no rows; null and
 repeated ids are rows like any other; other columns are ignored or passed on, whatever
 their names.
 """
@@ -149,9 +150,11 @@ class Phrases:
         self.items = sorted({str(i) for i, _ in items if i is not None})
         place = {x: k for k, x in enumerate(self.items)}
         for item, text in items:
-            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in folded(text).split()] if item is not None else []
+            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in folded(text).split()]
             for at in range(max(1, len(words) - width + 1) if words else 0):
-                windows.setdefault(tuple(words[at:at + width]), set()).add(place[str(item)])
+                owners = windows.setdefault(tuple(words[at:at + width]), set())
+                if item is not None:
+                    owners.add(place[str(item)])
         self.lengths = np.array([len(w) for w in windows], np.int64)
         self.windows = np.zeros((len(windows), width), np.int64)
         for row, w in enumerate(windows):

@@ -36,7 +36,9 @@ LONGEST = 5
 #: Words whose scores a worker remembers.
 REMEMBERED = 200_000
 UNDECIDED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters of `re` that are neither letters nor decimal digits: fractions, circled and Roman numerals and the like.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 
 
 def words_of(text: str | None) -> list[str]:

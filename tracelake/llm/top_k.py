@@ -12,10 +12,11 @@ others are left stops reading; their scores are then resolved. Otherwise its lis
 to the end. The k best of every chunk are merged by rank.
 
 The sums of a step are matrix products of 0/1 reading masks, exact in doubles up to 2**53;
-larger numbers use 64-bit integers.
+larger numbers use 64-bit integers, and groups whose sums could pass those whole numbers of
+any size, without bounds.
 
-Defined cases: null vectors and vectors with a null, non-finite or (over 2**40) very large
-component take no part; shorter vectors count as padded with zeros; a candidate with the
+Defined cases: null vectors and vectors with a null or non-finite component take no part; a scaled
+component or a result that does not fit a long is an error; shorter vectors count as padded with zeros; a candidate with the
 query's own id is never its result; repeated candidate rows are ranked one by one, repeated
 query rows count once; null ids are neither; fewer than k candidates give fewer rows, and
 an empty table none; other columns are ignored, whatever their names.
@@ -37,15 +38,17 @@ DEPTHS = (0.5, 0.75, 0.875)
 CLOSEST = 4
 #: A query stops when at most this share of a chunk is left.
 FEW = 0.125
-LARGEST = 1 << 40
+#: Numbers from here on are no longs; a vector that holds one is an error, not left out.
+TOO_LARGE = float(1 << 63)
 
 
 def whole_numbers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, v): floor(scale * component) of every vector that takes part."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double") * scale)
-    ok = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LARGEST))
-    return (vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ok)
-            .withColumn("v", F.transform("v", lambda c: F.floor(c))))
+    finite = F.forall(vector_col, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
+    long = lambda c: F.when(F.abs(c) < TOO_LARGE, F.floor(c)).otherwise(F.raise_error(F.lit("a scaled component is no long")).cast("long"))
+    known = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
+    return known.select(F.col(id_col).cast("long").alias("id"), x.alias("v")).withColumn("v", F.transform("v", long))
 
 
 class Chunk:
@@ -114,6 +117,16 @@ def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
+def _in_whole_numbers(queries: pa.Table, candidates: pa.Table, q: np.ndarray, c: np.ndarray, k: int, schema: pa.Schema) -> pa.Table:
+    """The best of a group whose sums may not fit a long: numbers of any size, every list read to its end; a result that is no long is an error."""
+    rows, ids, hashes, left = [], candidates["id"].to_pylist(), queries["h"].to_pylist(), c.astype(object)
+    for i, query in enumerate(queries["id"].to_pylist()):
+        scores = left @ q[i].astype(object)
+        best = sorted((-s, j) for s, j in zip(scores.tolist(), ids) if j != query)[:k]
+        rows += [(query, hashes[i], j, -s) for s, j in best]
+    return pa.table([list(x) for x in zip(*rows)], schema=schema) if rows else schema.empty_table()
+
+
 def _group(k: int):
     schema = pa.schema([("query_id", pa.int64()), ("query_hash", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -123,7 +136,10 @@ def _group(k: int):
         q, c = _matrix(queries["v"]), _matrix(candidates["v"])
         width = max(q.shape[1], c.shape[1], 1)
         q, c = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, c))
-        if 4 * width * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) < 2**53:
+        bound = 4 * width * int(np.abs(q.astype(np.float64)).max(initial=0)) * int(np.abs(c.astype(np.float64)).max(initial=0))
+        if bound >= 2**63:
+            return _in_whole_numbers(queries, candidates, q, c, k, schema)
+        if bound < 2**53:
             q, c = q.astype(np.float64), c.astype(np.float64)
         chunk, ids = Chunk(np.asarray(candidates["id"]), c), np.asarray(queries["id"])
         found = chunk.best(ids, q, k)
