@@ -281,6 +281,23 @@ def run_catalog(spark, sf):
     return tb.stale_inputs(d, d.where("doc_id % 3 <> 0")).select("doc_id", "run_key")
 
 
+@query("S21_changed_patients", f"""
+WITH {EP} SELECT patient_id, count(*) AS n_epochs, max(CASE WHEN patient_id % 5 = 0 THEN 2 ELSE 1 END)::BIGINT AS written_by, max(patient_id % 5 = 0) AS is_new FROM tl WHERE patient_id % 7 <> 3 GROUP BY 1
+""")
+def changed_patients(spark, sf):
+    """A cohort written twice: a fifth of its patients changed, a seventh left, and a run between that failed before its manifest."""
+    path = work_dir(spark, "cohort")
+    rec = epochs(spark, sf).select("patient_id", "event_id", "value")
+    ids = rec.select("patient_id").distinct()
+    tb.write_changed(rec, ids.withColumn("run_key", F.lit("v1")), path)
+    rec.where("patient_id % 2 = 0").withColumn("run", F.lit("failed")).write.mode("append").partitionBy("run", "patient_id").parquet(f"{path}/data")
+    fifth = F.col("patient_id") % 5 == 0
+    again = ids.where("patient_id % 7 <> 3").withColumn("run_key", F.when(fifth, "v2").otherwise("v1"))
+    stale = tb.write_changed(rec, again, path).select(F.col("patient_id").alias("_p"))
+    back = tb.read_cohort(spark, path).groupBy(F.col("patient_id").cast("long").alias("patient_id")).agg(F.count(F.lit(1)).alias("n_epochs"), F.max("commit").alias("written_by"))
+    return back.join(stale, F.col("patient_id") == F.col("_p"), "left").select("patient_id", "n_epochs", "written_by", F.col("_p").isNotNull().alias("is_new"))
+
+
 @query("S22_fingerprint", """
 SELECT page_id, sha256(html) AS content_sha, sha256(concat_ws('|', url, CAST(length(html) AS VARCHAR), 't' || page_id, left(html, 64), right(html, 64))) AS print FROM pages
 """)

@@ -23,7 +23,7 @@ BLOCK_BYTES = 1 << 20
 
 
 def listed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, size, modified) of every file under ``path``; contents are not read."""
+    """(file, size, modified) of every file under ``path``; contents are not read, and empty files are not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified"))
 

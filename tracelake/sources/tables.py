@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import identifier
 from ..operators.ordered import join_keys
+from .workdir import stored
 
 # Column names of companion files, and the misspelt header accepted for the event time.
 CLINICAL_TIME, CLINICAL_TIME_TYPO = "rosc_time", "rosc_timeage_at_arrest_days"
@@ -108,14 +111,14 @@ def read_template(spark: SparkSession, path: str, one_file: bool = False) -> tup
 def write_epochs(df: DataFrame, path: str, partition: list[str] | None = None, mode: str = "overwrite") -> dict[str, str]:
     """Compressed columnar copy with identifier column names; returns name -> stored name."""
     probe = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns)], "i int, name string")
-    stored = {r.name: r.clean for r in probe.withColumn("clean", identifier("name")).collect()}
-    if len(set(stored.values())) != len(stored):
+    clean = {r.name: r.clean for r in probe.withColumn("clean", identifier("name")).collect()}
+    if len(set(clean.values())) != len(clean):
         raise ValueError("column names collide after cleaning")
-    writer = df.withColumnsRenamed(stored).write.mode(mode).option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP_BYTES))
+    writer = df.withColumnsRenamed(clean).write.mode(mode).option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP_BYTES))
     if partition:
-        writer = writer.partitionBy(*[stored[p] for p in partition])
+        writer = writer.partitionBy(*[clean[p] for p in partition])
     writer.parquet(path)
-    return stored
+    return clean
 
 
 def restore_names(df: DataFrame, stored: dict[str, str]) -> DataFrame:
@@ -173,6 +176,42 @@ def stale_inputs(inputs: DataFrame, runs: DataFrame, key: str = "run_key") -> Da
     return inputs.join(runs.select(key).distinct(), key, "left_anti")
 
 
+def latest_manifest(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
+    """Number and rows (key, run_key, run, commit) of a cohort's newest complete manifest; (0, None) before the first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "commit=*/_SUCCESS"))
+    last = max((int(str(f.getPath().getParent().getName()).removeprefix("commit=")) for f in found or []), default=0)
+    return last, spark.read.parquet(f"{path}/manifest/commit={last}") if last else None
+
+
+def write_changed(epochs: DataFrame, inputs: DataFrame, path: str, key: str = "patient_id", run_key_col: str = "run_key") -> DataFrame:
+    """Bring a cohort data set up to date; returns (key, run_key) of what was stale.
+
+    ``inputs`` names every patient of the cohort with the key of the run its data should come
+    from. Only patients whose key is not in the manifest are written, to a folder of their
+    own; the others keep their files. The manifest is written last, and readers go by it, so a
+    run that fails on the way leaves the old state.
+    """
+    (last, old), run = latest_manifest(epochs.sparkSession, path), uuid.uuid4().hex[:12]
+    wanted = inputs.select(key, F.col(run_key_col).alias("run_key")).distinct()
+    stale = stored(wanted if old is None else wanted.join(old.select(key, "run_key"), [key, "run_key"], "left_anti"), "stale")
+    changed = epochs.join(stale.select(key), key, "left_semi").withColumn("run", F.lit(run))
+    changed.hint("rebalance", key).write.mode("append").option("compression", "zstd").option("maxRecordsPerFile", 5_000_000).partitionBy("run", key).parquet(f"{path}/data")
+    manifest = stale.select(key, "run_key", F.lit(run).alias("run"), F.lit(last + 1).cast("long").alias("commit"))
+    if old is not None:
+        manifest = manifest.unionByName(old.join(wanted, [key, "run_key"], "left_semi").select(*manifest.columns))
+    manifest.write.parquet(f"{path}/manifest/commit={last + 1}")
+    return stale
+
+
+def read_cohort(spark: SparkSession, path: str, key: str = "patient_id") -> DataFrame:
+    """Epochs of the newest complete state; partitions of earlier runs are not read."""
+    _, manifest = latest_manifest(spark, path)
+    data = spark.read.option("mergeSchema", True).parquet(f"{path}/data")
+    current = manifest.select(F.col(key).cast(data.schema[key].dataType).alias(key), "run", "commit")
+    return data.join(current, ["run", key]).drop("run")
+
+
 def content_hash(content: str | Column) -> Column:
     return F.sha2(F.col(content) if isinstance(content, str) else content, 256)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,25 +12,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL: dict[str, str] = {}
+_RUNS: set[str] = set()
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint location.
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, in the shared checkpoint location.
 
-    Only a session on a local master may go without one; it gets a temporary folder, one
-    per application, that goes when the process ends.
+    Only a session on a local master may go without that setting; it gets a temporary
+    folder. A local session's folder goes when its process ends; on a cluster
+    ``remove_run_folder`` is called at the end of a job.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    local = master == "local" or master.startswith("local[")
     if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
+        if not local:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="spark-tracelake-")
             atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
         base = _LOCAL[app]
-    return f"{base.rstrip('/')}/tracelake/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{base.rstrip('/')}/tracelake/{app}"
+    if local and folder not in _RUNS:
+        _RUNS.add(folder)
+        atexit.register(shutil.rmtree, re.sub("^file:/+", "/", folder), ignore_errors=True)
+    return folder
+
+
+def remove_run_folder(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, on any store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the run's folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
