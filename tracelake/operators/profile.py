@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import is_zero
 from ..sources.workdir import stored
 from .merge import to_long
-from .ordered import index_rows, join_keys, neighbours, strip_layout
+from .ordered import index_rows, join_keys, neighbours, slice_rows, strip_layout
 from .orderstats import order_stats, quantile
 from .retrieve import bin_frequency
 
@@ -60,15 +60,22 @@ def spearman(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
 
     Every pair uses the rows in which both are present, ties sharing the mean rank. Rows of
     a pair are first counted by their two values with map-side combine, so a common value
-    (a suppressed zero) is one row. Ranks of a value come from the pair's own counts, and meet
-    them in one join on (pair, value) for each side; adaptive execution splits large pairs.
+    (a suppressed zero) is one row. Ranks of a value come from the pair's own counts: by
+    windows over the pair, or, if a pair has more counted rows than a task should order, by
+    slices of it that meet the counts in one join on (pair, value) for each side.
     """
     pairs = [(a, b) for a in left for b in right]
     both = F.explode(F.array(*[F.struct(F.lit(i).alias("_pair"), F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y"))
                                for i, (a, b) in enumerate(pairs)])).alias("_p")
     counted = df.select(both).select("_p.*").where("_x IS NOT NULL AND _y IS NOT NULL").groupBy("_pair", "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
     counted = stored(counted, "pairs")
-    for side in ("_x", "_y"):
+    largest = counted.groupBy("_pair").count().agg(F.max("count")).first()[0] or 0
+    if largest <= slice_rows(df):
+        # ranks of both sides by windows over the pair: one exchange, no join
+        for side in ("_x", "_y"):
+            upto = F.sum("_w").over(Window.partitionBy("_pair").orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+            counted = counted.withColumn(f"{side}_rank", upto - (F.sum("_w").over(Window.partitionBy("_pair", side)) - 1) / 2.0)
+    for side in ("_x", "_y") if largest > slice_rows(df) else ():
         values = counted.groupBy("_pair", side).agg(F.sum("_w").alias("w"))
         ranked = strip_layout(index_rows(values, ["_pair"], [side], weight="w", row="lo", total="n"))
         counted = counted.join(ranked.select("_pair", side, (F.col("lo") + (F.col("w") + 1) / 2.0).alias(f"{side}_rank")), ["_pair", side])
