@@ -36,13 +36,15 @@ LONGEST = 5
 #: Words whose scores a worker remembers.
 REMEMBERED = 200_000
 UNDECIDED = "und"
-#: Word characters of `re` that are neither letters nor decimal digits: fractions, circled and Roman numerals and the like.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
-_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters in lower case. The pattern also lets other numerals through (fractions, circled and Roman ones); they separate words."""
+    words = _WORD.findall(text.lower()) if text else []
+    if "".join(words).isalpha():
+        return words
+    return [part for w in words for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 class Model:
