@@ -145,6 +145,16 @@ def long_values(packed: DataFrame, slots: list[Slot], ids: list[str]) -> DataFra
     return each.where(F.col("value").isNotNull()).select(*ids, "instrument", (F.col("_p") + 1).alias("sub_index"), "value")
 
 
+def cell_counts(packed: DataFrame, slots: list[Slot], keys: list[str]) -> DataFrame:
+    """(keys, n_cells, n_null, n_nan) over all values of the instruments that a file has."""
+    def count(s: Slot, cond) -> Column:
+        one = lambda v: F.coalesce(cond(v), F.lit(False)).cast("int")
+        return F.coalesce(F.aggregate(s.name, F.lit(0), lambda n, v: n + one(v)), F.lit(0)) if s.is_array else one(F.col(s.name))
+
+    total = lambda cond: F.sum(sum((count(s, cond) for s in slots), F.lit(0)))
+    return packed.groupBy(*keys).agg(total(lambda v: F.lit(True)).alias("n_cells"), total(lambda v: v.isNull()).alias("n_null"), total(lambda v: F.isnan(v)).alias("n_nan"))
+
+
 def null_rule_instruments(slots: list[Slot]) -> list[Instrument]:
     """The instruments as the null rule of suppressed zeros takes them: one array or one column each."""
     return [Instrument(s.name, s.family, s.region, () if s.is_array else (s.name,), s.name if s.is_array else None) for s in slots]

@@ -374,6 +374,23 @@ def acceptance_checks(columns: DataFrame, keys: list[str], expected: DataFrame,
     return base.select(*keys, F.inline(pack))
 
 
+def store_acceptance(columns: DataFrame, source: DataFrame, kept: DataFrame, keys: list[str], name: str = "unique_name", resolution: str = "resolution") -> DataFrame:
+    """(keys, check_name, ok, n_bad): may a stored full panel be used?
+
+    Every column has its identity from the panel's order (or stands behind it), no name was
+    told apart by a suffix, all cells arrived, every blank cell of the export (``source``: keys,
+    n_cells, n_blank) is a null of the store (``kept``: keys, n_cells, n_null, n_nan), and no
+    missing value is stored as a bare NaN.
+    """
+    named = columns.groupBy(*keys).agg(
+        F.count_if(~F.coalesce(F.col(resolution).isin("ordinal", "tail"), F.lit(False))).alias("ordinal_resolution"), F.count_if(F.col(name).rlike(r"__dup\d+$")).alias("no_duplicates"))
+    both = join_keys(join_keys(named, source.withColumnRenamed("n_cells", "_source"), keys), kept, keys, "left")
+    missing = lambda c: F.coalesce(F.col(c), F.lit(0))
+    counted = both.withColumns({"cells_complete": F.abs(F.col("_source") - missing("n_cells")), "nulls_transported": F.abs(F.col("n_blank") - missing("n_null") - missing("n_nan")), "no_bare_nan": missing("n_nan")})
+    checks = ["ordinal_resolution", "no_duplicates", "cells_complete", "nulls_transported", "no_bare_nan"]
+    return counted.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("check_name"), (F.col(c) == 0).alias("ok"), F.col(c).cast("long").alias("n_bad")) for c in checks])))
+
+
 def axis_increasing(df: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
     """Whether the frequency axis of every instrument rises with the bin position."""
     from .ordered import neighbours

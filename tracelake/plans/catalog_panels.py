@@ -116,3 +116,29 @@ def packed_spectrogram(spark, sf):
     packed, columns, layout, slots = packed_panels(spark, sf, ["fft_spectrogram"])
     out = im.family_spectrogram(packed, columns, layout, slots, ["file"], "fft_spectrogram", "right", ids=["nation", "row_idx"])
     return out.groupBy("nation", F.col("bin").cast("int").alias("bin"), "freq_hz").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
+
+
+@query("Q17_stored_panel", f"""
+WITH {SQL},
+n AS (SELECT nation, count(DISTINCT c_custkey) AS n_rows, count(*) - count(v) AS n_blank, count(*) FILTER (k = 5 AND v IS NULL) AS blank_5, count(*) FILTER (k = 6 AND v IS NULL) AS blank_6 FROM vv GROUP BY 1)
+SELECT nation, u.check_name, u.n_bad = 0 AS ok, u.n_bad FROM (SELECT nation, unnest([
+  {{'check_name': 'ordinal_resolution', 'n_bad': CASE WHEN nation % 3 = 1 THEN 97 ELSE 0 END}}, {{'check_name': 'no_duplicates', 'n_bad': CASE WHEN nation % 4 = 2 THEN 1 ELSE 0 END}},
+  {{'check_name': 'cells_complete', 'n_bad': CASE WHEN nation % 7 = 4 THEN 40 * n_rows ELSE 0 END}},
+  {{'check_name': 'nulls_transported', 'n_bad': (CASE WHEN nation % 5 = 3 THEN blank_5 ELSE 0 END + CASE WHEN nation % 7 = 4 THEN b0 ELSE 0 END)}},
+  {{'check_name': 'no_bare_nan', 'n_bad': CASE WHEN nation % 6 = 5 THEN blank_6 ELSE 0 END}}]) AS u FROM n JOIN (SELECT nation AS na, count(*) FILTER (v IS NULL) AS b0 FROM vv WHERE k = 1 GROUP BY 1) ON na = nation)
+""")
+def stored_panel(spark, sf):
+    """Acceptance of stored panels with planted faults: another resolution, a suffix, an instrument that is gone, filled nulls, bare NaNs."""
+    packed, columns, layout, slots = packed_panels(spark, sf)
+    nation = F.regexp_extract("file", "c_nationkey=([0-9]+)", 1).cast("int")
+    at = [next(s.name for s in slots if s.label == PANEL[k][0]) for k in (1, 5, 6)]
+    faulty = packed.withColumns({
+        at[0]: F.when(F.col("nation") % 7 != 4, F.col(at[0])), at[1]: F.when(F.col("nation") % 5 == 3, F.coalesce(at[1], F.lit(0.0))).otherwise(F.col(at[1])),
+        at[2]: F.when(F.col("nation") % 6 == 5, F.coalesce(at[2], F.lit(float("nan")))).otherwise(F.col(at[2]))})
+    sizes = layout.groupBy(nation.alias("nation")).agg(F.sum(F.size("codes")).alias("n_columns"))
+    long = packed.groupBy("nation").agg(F.count(F.lit(1)).alias("n_rows")).join(sizes, "nation")
+    present = im.long_values(packed, slots, ["nation"]).groupBy("nation").agg(F.count(F.lit(1)).alias("n_present"))
+    source = long.join(present, "nation").select("nation", (F.col("n_rows") * F.col("n_columns")).alias("n_cells"), (F.col("n_rows") * F.col("n_columns") - F.col("n_present")).alias("n_blank"))
+    resolved = columns.withColumns({"nation": nation, "resolution": F.when((nation % 3 == 1) & (F.col("family") == "rhythmicity"), "regex").otherwise("ordinal"),
+                                    "unique_name": F.concat("code", F.when((nation % 4 == 2) & (F.col("family") == "suppression_ratio"), "__dup2").otherwise(""))})
+    return ql.store_acceptance(resolved, source, im.cell_counts(faulty, slots, ["nation"]), ["nation"])
