@@ -122,7 +122,10 @@ def test_work_dir_uses_the_shared_folder(spark):
         class conf:  # noqa: N801
             get = staticmethod(lambda key, default: "hdfs://shared/cp/" if key == "spark.checkpoint.dir" else default)
 
-    assert workdir.work_dir(Session, "x").startswith("hdfs://shared/cp/tracelake/x-")
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app-1"
+
+    assert workdir.work_dir(Session, "x").startswith("hdfs://shared/cp/tracelake/app-1/x-")
     assert workdir.work_dir(spark, "x") != workdir.work_dir(spark, "x")
 
     class Cluster:
@@ -130,7 +133,7 @@ def test_work_dir_uses_the_shared_folder(spark):
             get = staticmethod(lambda key, default: default)
 
         class sparkContext:  # noqa: N801
-            master = "spark://host:7077"
+            master, applicationId = "spark://host:7077", "app-2"
             getConf = staticmethod(dict)
 
     with pytest.raises(ValueError):
