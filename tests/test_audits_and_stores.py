@@ -72,6 +72,21 @@ def test_only_changed_patients_are_written(spark, tmp_path):
     assert tb.write_changed(rows(4.0), inputs(p1="a", p2="b"), path).count() == 0 and read() == [(1, 1.0, 1), (1, 1.0, 1), (2, 2.0, 2)]
 
 
+def test_folders_of_stores_do_not_grow_with_patients(spark, tmp_path):
+    rows = spark.range(900).select((F.col("id") % 300).alias("patient_id"), F.col("id").cast("double").alias("v"))
+    folders = lambda path: sum(p.is_dir() for p in path.rglob("*"))
+    tb.write_cohort([rows.where("patient_id < 100"), rows.where("patient_id >= 100").drop("v")], str(tmp_path / "whole"))
+    whole = spark.read.option("mergeSchema", True).parquet(str(tmp_path / "whole"))
+    assert folders(tmp_path / "whole") == 0 and (whole.count(), whole.where("v IS NOT NULL").count()) == (900, 300)
+    path = tmp_path / "changed"
+    inputs = rows.select("patient_id").distinct()
+    tb.write_changed(rows, inputs.withColumn("run_key", F.lit("a")), str(path))
+    tb.write_changed(rows, inputs.withColumn("run_key", F.when(F.col("patient_id") < 10, "b").otherwise("a")), str(path))
+    assert folders(path / "data") == 2
+    got = {r["commit"]: (r["n"], r["k"]) for r in tb.read_cohort(spark, str(path)).groupBy("commit").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("patient_id").alias("k")).collect()}
+    assert got == {1: (870, 290), 2: (30, 10)}
+
+
 def test_run_folder_can_be_removed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(workdir, "run_folder", lambda _: str(tmp_path / "run"))
     assert workdir.stored(spark.range(3), "numbers").count() == 3 and list((tmp_path / "run").iterdir())

@@ -290,7 +290,7 @@ def changed_patients(spark, sf):
     rec = epochs(spark, sf).select("patient_id", "event_id", "value")
     ids = rec.select("patient_id").distinct()
     tb.write_changed(rec, ids.withColumn("run_key", F.lit("v1")), path)
-    rec.where("patient_id % 2 = 0").withColumn("run", F.lit("failed")).write.mode("append").partitionBy("run", "patient_id").parquet(f"{path}/data")
+    rec.where("patient_id % 2 = 0").withColumn("run", F.lit("failed")).write.mode("append").partitionBy("run").parquet(f"{path}/data")
     fifth = F.col("patient_id") % 5 == 0
     again = ids.where("patient_id % 7 <> 3").withColumn("run_key", F.when(fifth, "v2").otherwise("v1"))
     stale = tb.write_changed(rec, again, path).select(F.col("patient_id").alias("_p"))
