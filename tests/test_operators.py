@@ -1,12 +1,13 @@
 """Literal expectations for single operators."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import clock, labels
-from tracelake.operators import bins, columns, events, features, merge, quality, retrieve, shapes, timebase
+from tracelake.operators import bins, columns, events, features, merge, profile, quality, retrieve, shapes, timebase
 from tracelake.operators.ordered import index_rows
 
 T0 = dt.datetime(2025, 3, 15, 10, 0, 0)
@@ -205,3 +206,10 @@ def test_effective_basis_and_groups(spark):
     df = spark.createDataFrame([("sleep_x", "sleep"), ("asymmetry_spec_1", "asymmetry"), ("asymmetry_reasi_delta", "asymmetry"), ("new", "unheard_of")],
                                "common_name string, family string")
     assert [r.g for r in df.select(shapes.export_group().alias("g")).collect()] == ["core", "asymmetry_spectrogram", "core", "core"]
+
+
+def test_a_mean_of_twice_the_other_is_no_shift_in_any_order_of_adding(spark):
+    rows = [("p", "early", 0.0, 1.0), ("p", "late", 0.0, math.nextafter(2.0, 3.0)), ("q", "early", 0.0, 1.0), ("q", "late", 0.0, math.nextafter(0.5, 0.0)),
+            ("r", "early", 0.0, 1.0), ("r", "late", 0.0, 2.000001)]
+    cover = spark.createDataFrame(rows, "p string, span string, null_share double, mean double")
+    assert {r.p: r.shifted for r in profile.coverage_changes(cover, ["p"], "early", "late").collect()} == {"p": False, "q": False, "r": True}

@@ -14,6 +14,8 @@ from .retrieve import bin_frequency
 
 # Tolerances of the recompute audit.
 TOLERANCES = {"count": 0.0, "fraction": 1e-6, "numeric": 1e-6, "percent": 1e-4}
+# Fixed value: relative error of means that the order of adding may cause.
+RATIO_TOLERANCE = 1e-12
 
 
 def column_profile(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -117,7 +119,11 @@ def window_coverage(long: DataFrame, keys: list[str], windows: dict[str, tuple[f
 
 
 def coverage_changes(cover: DataFrame, keys: list[str], early: str, late: str) -> DataFrame:
-    """Columns lost, gained, flipped to missing, or with a mean shifted by two or more."""
+    """Columns lost, gained, flipped to missing, or with a mean shifted by more than a factor of two.
+
+    A factor within ``RATIO_TOLERANCE`` of two is two: the last digits of a mean depend on the
+    order in which its rows were added up, and must not decide.
+    """
     at = lambda w, c: F.max(F.when(F.col("span") == w, F.col(c)))
     wide = cover.groupBy(*keys).agg(at(early, "null_share").alias("e"), at(late, "null_share").alias("l"), at(early, "mean").alias("em"), at(late, "mean").alias("lm"))
     ratio = F.when(F.abs("em") > 1e-9, F.col("lm") / F.col("em"))
@@ -126,7 +132,7 @@ def coverage_changes(cover: DataFrame, keys: list[str], early: str, late: str) -
         F.coalesce((F.col("e") < 0.5) & F.coalesce(F.col("l") >= 0.5, F.lit(True)), F.lit(False)).alias("lost"),
         F.coalesce((F.col("l") < 0.5) & F.coalesce(F.col("e") >= 0.5, F.lit(True)), F.lit(False)).alias("gained"),
         F.coalesce((F.col("e") < 0.05) & (F.col("l") > 0.8), F.lit(False)).alias("flipped"),
-        F.coalesce((ratio > 2.0) | (ratio < 0.5), F.lit(False)).alias("shifted"))
+        F.coalesce((ratio > 2.0 * (1 + RATIO_TOLERANCE)) | (ratio < 0.5 * (1 - RATIO_TOLERANCE)), F.lit(False)).alias("shifted"))
 
 
 def populated_bins(df: DataFrame, keys: list[str], array: str, windows: dict[str, tuple[float, float]], hours: str = "hours") -> DataFrame:
