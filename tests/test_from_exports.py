@@ -97,3 +97,15 @@ def test_without_companions(spark, tmp_path):
     out = process_exports(spark, str(tmp_path))
     assert [(r["patient_id"], r["reference"]) for r in out.alignment.collect()] == [("Q", "recording_start")]
     assert out.cohort.epochs.count() == 25 and {r["merged"] for r in out.stages.collect()} == {30}
+
+
+def test_zeros_of_an_instrument_that_measures_them_are_kept(spark, tmp_path):
+    """Rows 0-4 are zero on both sides: the left ones are suppressed, the right ones are values."""
+    export(tmp_path, "P1_1", "P1", range(0, 60), blank=["FFT Spectrogram, Left Hemisphere"])
+    settings = CohortSettings(bins=BinSettings((0, 1), 0.001))
+    got = process_exports(spark, str(tmp_path), settings=settings, real_zeros=["fft_delta_right_anterior"])
+    bins = {r["feature"]: r["n_observed"] for r in got.cohort.bins.collect()}
+    assert (bins["fft_delta_left_anterior"], bins["fft_delta_right_anterior"], bins["fft_delta_anterior"]) == (52, 60, 60)
+    stages, report = got.stages.first(), got.null_rule.first()
+    assert (stages["leading_zero_removed"], stages["artifact_clean"]) == (0, 60)
+    assert (report["rows_all_rejected"], report["rows_partial"]) == (0, 8)

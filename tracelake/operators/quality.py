@@ -65,15 +65,22 @@ def strip_identity(df: DataFrame, columns: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Instrument:
-    """Columns that one instrument emits, with its family and region."""
+    """Columns that one instrument emits, with its family and region.
+
+    With ``real_zeros`` its zeros are measured values: they are kept, and never count as
+    rejection of its region.
+    """
 
     name: str
     family: str
     region: str
     columns: tuple[str, ...] = ()
     array: str | None = None
+    real_zeros: bool = False
 
     def null_flag(self) -> Column:
+        if self.real_zeros:
+            return F.lit(False)
         if self.array:
             return F.coalesce(F.forall(F.col(self.array), is_zero), F.lit(False))
         return _all([is_zero(c) for c in self.columns])

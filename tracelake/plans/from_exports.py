@@ -13,7 +13,7 @@ together, so they stay together. Rows without a clock take no part and are count
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,9 +124,16 @@ def spread(rows: DataFrame, slots: list[im.Slot]) -> tuple[DataFrame, list[quali
     return (rows.withColumns(new) if new else rows).drop(*gone), instruments, scalars
 
 
-def cohort_inputs(rows: DataFrame, slots: list[im.Slot], events: DataFrame | None, variables: list[str] | None = None) -> CohortInputs:
-    """The cohort plan's inputs, with every part taken from the dictionary's families and names."""
+def cohort_inputs(rows: DataFrame, slots: list[im.Slot], events: DataFrame | None, variables: list[str] | None = None,
+                  real_zeros: list[str] = ()) -> CohortInputs:
+    """The cohort plan's inputs, with every part taken from the dictionary's families and names.
+
+    A row is a leading zero row if all power columns hold suppressed zeros, which cannot be
+    where one of them is in ``real_zeros``.
+    """
     wide, instruments, of = spread(rows, slots)
+    instruments = [replace(i, real_zeros=i.name in real_zeros) for i in instruments]
+    leading = of.get("fft_power", [])
     family = {n: f for f, names in of.items() for n in names}
     bands = [b for b in C.FREQUENCY_BANDS if any(f"fft_{b}_{side}_{r}" in family for side in ("left", "right") for r in ("anterior", "posterior"))]
     made = [c for c in regional_features(wide, bands).columns if c not in wide.columns and not c.endswith("_sides_contributing")]
@@ -137,18 +144,19 @@ def cohort_inputs(rows: DataFrame, slots: list[im.Slot], events: DataFrame | Non
     chosen = variables if variables is not None else own + made
     last = lambda f: of[f][-1] if f in of else None
     return CohortInputs(
-        wide, KEY, ["ts"], event_times=events, leading=of.get("fft_power", []), instruments=instruments, intensity=of.get("artifact_intensity", []), quality=of.get("electrode_quality", []),
+        wide, KEY, ["ts"], event_times=events, leading=[] if set(leading) & set(real_zeros) else leading, instruments=instruments, intensity=of.get("artifact_intensity", []), quality=of.get("electrode_quality", []),
         probability=last("seizure_probability"), detections=last("seizure_detection"), suppression=of.get("suppression_ratio", []), bands=bands, engines=engines,
         variables=chosen, variable_engine={v: engine[v] for v in chosen if engine.get(v) in engines})
 
 
 def process_exports(spark: SparkSession, path: str | list[str], clinical: DataFrame | None = None, corrections: DataFrame | None = None,
-                    settings: CohortSettings | None = None, variables: list[str] | None = None) -> ExportsResult:
+                    settings: CohortSettings | None = None, variables: list[str] | None = None, real_zeros: list[str] = ()) -> ExportsResult:
     """Run everything over the export files under ``path``.
 
     ``clinical`` and ``corrections`` are the accepted rows of ``tables.read_clinical`` and
     ``tables.read_corrections``. With clinical times, time counts from the event wherever
-    the recording is aligned with it.
+    the recording is aligned with it. Zeros of instruments named in ``real_zeros`` are
+    measured values, not suppressed ones.
     """
     lines = stored(ex.read_exports(spark, path), "lines")
     codes = stored(ex.code_rows(lines), "codes")
@@ -167,7 +175,7 @@ def process_exports(spark: SparkSession, path: str | list[str], clinical: DataFr
         events = join_keys(events, moved, KEY, "left").select(*KEY, F.coalesce("_shifted", "event_ts").alias("event_ts"))
     rows = stored(merged_rows(clocked, slots), "merged")
 
-    inputs = cohort_inputs(rows, slots, events, variables)
+    inputs = cohort_inputs(rows, slots, events, variables, real_zeros)
     result = process_cohort(inputs, settings)
     per_file = packed.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.count("ts").alias("n_clocked"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
     report = join_keys(join_keys(files, per_file, ["file"], "left"), starts.select("file", "segment_start"), ["file"], "left")
