@@ -106,3 +106,25 @@ def test_null_rule_and_spectrogram_on_arrays(spark):
     spec = im.family_spectrogram(packed, columns, layout, slots, ["file"], "fft_spectrogram", "right", ids=["row_idx"])
     got = {(r["row_idx"], r["bin"]): (r["freq_hz"], r["value"]) for r in spec.collect()}
     assert len(got) == 320 and got[(3, 40)] == (20.0, 5.0)
+
+
+def test_sums_within_rows_are_those_of_the_long_form(spark, two_files):
+    lines, columns = two_files
+    layout = im.instrument_layout(columns, ["file"])
+    slots = im.cohort_slots(layout)
+    packed = im.pack_lines(lines, ex.code_rows(lines), layout, slots)
+    ids = ["file", "row_idx"]
+    long = im.long_values(packed, slots, ids).groupBy(*ids, "instrument").agg(F.count(F.lit(1)).alias("n_values"), F.round(F.sum("value"), 6).alias("total"))
+    direct = im.instrument_sums(packed, slots, ids).withColumn("total", F.round("total", 6))
+    assert sorted(map(str, direct.where("n_values > 0").collect())) == sorted(map(str, long.collect()))
+    assert direct.count() == 18 * len(slots) and direct.where("n_values = 0 AND total IS NOT NULL").count() == 0
+
+
+def test_a_nation_is_exported_as_several_files(spark, monkeypatch):
+    from tracelake.plans import catalog_panels as panels
+
+    monkeypatch.setattr(panels, "FILE_KEYS", 60)
+    lines = panels.panel_lines(spark, "/root/testdata/sf0.001")
+    per = lines.groupBy(panels.nation_of().alias("nation")).agg(F.count_distinct("file").alias("n")).collect()
+    assert max(r["n"] for r in per) > 1
+    assert ex.code_rows(lines).count() == sum(r["n"] for r in per)

@@ -145,6 +145,17 @@ def long_values(packed: DataFrame, slots: list[Slot], ids: list[str]) -> DataFra
     return each.where(F.col("value").isNotNull()).select(*ids, "instrument", (F.col("_p") + 1).alias("sub_index"), "value")
 
 
+def instrument_sums(packed: DataFrame, slots: list[Slot], ids: list[str]) -> DataFrame:
+    """(ids, instrument, n_values, total) per row and instrument, added up within the row: no row per value is made."""
+    def sums(s: Slot) -> Column:
+        v = F.filter(s.name, lambda x: x.isNotNull()) if s.is_array else F.col(s.name)
+        n = F.coalesce(F.size(v), F.lit(0)) if s.is_array else v.isNotNull().cast("int")
+        total = F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x)) if s.is_array else v
+        return F.struct(F.lit(s.name).alias("instrument"), n.cast("long").alias("n_values"), total.alias("total"))
+
+    return packed.select(*ids, F.inline(F.array(*[sums(s) for s in slots])))
+
+
 def cell_counts(packed: DataFrame, slots: list[Slot], keys: list[str]) -> DataFrame:
     """(keys, n_cells, n_null, n_nan) over all values of the instruments that a file has."""
     def count(s: Slot, cond) -> Column:
