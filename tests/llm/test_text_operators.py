@@ -169,6 +169,23 @@ def test_lists_go_on_until_all_pairs_are_settled(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in _plain_components(sorted(rows), 4).items()}
 
 
+@pytest.mark.parametrize("wide", [512, 64])
+def test_groups_just_below_the_threshold(spark, monkeypatch, wide):
+    """Blocks of a group find its links, and the pairs to verify do not grow with its square (unless sets exceed the sketch)."""
+    tried, verified = [], minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *a: tried.append(pairs.count()) or verified(pairs, *a))
+    for name, value in (("BLOCK", 8), ("GROUP_ROWS", 20), ("WIDE", wide)):
+        monkeypatch.setattr(minhash, name, value, raising=False)
+    rng = random.Random(4)
+    shared = [f"s{i}" for i in range(130)]
+    rows = [(i, " ".join(shared + [f"o{i}_{j}" for j in range(20)])) for i in range(60)]
+    rows += [(100 + i, " ".join([*rows[i][1].split(), *(f"p{i}_{j}" for j in range(k))])) for i in range(0, 60, 7) for k in [1 + i % 4]]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), size=4).collect()}
+    assert got == {i: c for i, (_, c) in _plain_components(sorted(rows), 4).items()}
+    assert wide < 150 or sum(tried) < 5 * len(rows), tried
+
+
 def test_needed_overlap_holds():
     rng = np.random.default_rng(0)
     for n in (30, 80, 96, 120, 400):

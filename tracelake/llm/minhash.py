@@ -12,12 +12,18 @@
    similar sets still meet in a list. Values of one class fill these places first and lead
    nowhere; a passage that many documents share leads nowhere, unless it is most of a
    document.
-4. Lists give pairs of a few leaders and all members, not all pairs. Sizes and bitmaps of
+4. Lists first give the pairs of their first member with all others. Sizes and bitmaps of
    the sketches drop most pairs where they are made, without dropping a link; the rest are
    filtered by the sketch of the union, then verified on the full sets of word shingles.
-   Verified links make components. A list whose members are in different components goes
-   on with its next leaders, until every pair of different components in it was tried. So
-   a group of thousands of near copies costs a star, and no link is left out.
+   Verified links make components, so a group of thousands of near copies costs a star.
+5. Lists whose other members are in different components go on as clusters, one for all
+   lists with the same first member. A cluster is cut into blocks, and pairs of blocks are
+   compared as matrices of retained values, of which only pairs that join components come
+   out, to be verified as before. Every pair of different components in a list is tried, so
+   no link is left out; a set of up to ``WIDE`` shingles is retained whole, and for larger
+   ones a link at the threshold is missed with a further 1e-6. A cluster of sets that
+   resemble each other below the threshold still costs comparisons with its square, but
+   rows with its square over ``BLOCK`` only.
 
 Leaders are ranked with a limit per task; lists are aggregated with map-side combine or
 joined, so the rows of a hot value are split by adaptive execution.
@@ -36,6 +42,7 @@ import math
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,8 +55,12 @@ from .components import components
 SHINGLE = 5
 THRESHOLD = 80
 SKETCH = 96
-#: Leaders of a list in its first round, which settles groups of near copies, and after.
-FIRST_LEADERS, LEADERS = 1, 256
+#: First members of a list that are paired with all others before blocks are compared; they settle groups of near copies.
+LEADERS = 1
+#: Retained values where blocks of sets are compared; sets of up to so many shingles are compared whole.
+WIDE = 512
+#: Members of a block, about, and rows of a group in which pairs of blocks are compared.
+BLOCK, GROUP_ROWS = 256, 2_000
 #: Longs of the bitmap that stands for a sketch where pairs are made; pairs with too few bits in common are not.
 BITMAP = 8
 #: Pairs up to which texts are picked out by a broadcast of their keys (40 bytes a pair), not by a shuffle of all texts.
@@ -101,6 +112,11 @@ def shingles(words: list, size: int) -> set:
     return set(zip(*(words[i:] for i in range(size)))) if len(words) >= size else {tuple(words)} if words else set()
 
 
+def _set_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """The different shingle hashes of a text in order, from its word hashes."""
+    return np.unique(window_hashes(words, min(len(words), size)) >> np.uint64(1)).astype(np.int64) if len(words) else np.empty(0, np.int64)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int, with_sketch: bool = True) -> DataFrame:
     """Per row: id, text hash, set size, class key (null for an empty set) and sketch."""
     schema = T.StructType().add(id_col, column_type(docs, id_col)).add("text_hash", T.LongType()).add("n", T.LongType()).add("key", T.BinaryType())
@@ -114,7 +130,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int, wit
                 words, offsets = split_flat(pc.ascii_lower(texts))
                 hashes = word_hashes(words)
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                    values = np.unique(window_hashes(hashes[a:b], min(b - a, size)) >> np.uint64(1)).astype(np.int64) if b > a else np.empty(0, np.int64)
+                    values = _set_hashes(hashes[a:b], size)
                     sizes.append(len(values))
                     keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if b > a else None)
                     kept.append(values[:k])
@@ -198,32 +214,157 @@ def _verified(pairs: DataFrame, few: bool, texts: DataFrame, size: int, threshol
     return arrow_map(rows, run, T.StructType().add("u", T.BinaryType()).add("v", T.BinaryType()))
 
 
+def _star(lists: DataFrame, classes: DataFrame, texts: DataFrame, size: int, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links (u, v) of the first member of every list with its others, and the first members (value, node)."""
+    led = _leaders(lists, LEADERS)
+    pairs = lists.join(led, "value").where(F.col("node") > F.col("leader")).where(_may_be_alike(k, threshold))
+    close = stored(_estimated(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes, k, threshold), "pairs")
+    return _verified_links(close, texts, size, threshold), led.select("value", F.col("leader").alias("node"))
+
+
+def _verified_links(close: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    if not (many := close.count()):
+        return close.select(F.col("ka").alias("u"), F.col("kb").alias("v"))
+    return stored_in_small_batches(_verified(close, many <= FEW_PAIRS, texts, size, threshold), "links")
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """(leader, lo, hi, block, node, part): every member of a cluster in each pair of blocks that it is compared in.
+
+    A cluster is the union of the lists with one first member, so that sets that share many
+    values meet once. Members that are linked with the first one are in blocks of their own,
+    which are not compared with each other.
+    """
+    first = rows.groupBy("value").agg(F.min(F.struct("node", "part")).alias("first"))
+    inside = (F.col("part") == F.col("first.part")).alias("inside")
+    members = stored(rows.join(first, "value").select(F.col("first.node").alias("leader"), "node", "part", inside).distinct(), "clusters")
+    blocks = lambda cond: F.ceil(F.count_if(cond) / BLOCK).cast("int")
+    sizes = members.groupBy("leader").agg(blocks(~F.col("inside")).alias("others"), blocks(F.col("inside")).alias("own")).where("others > 0")
+    placed = members.join(sizes, "leader").withColumn("block", F.when(F.col("inside"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(
+        F.pmod(F.xxhash64("node"), F.col("others"))).cast("int"))
+    against = F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("others")).otherwise(F.col("others") + F.col("own")) - 1)).alias("_against")
+    return placed.select("leader", "node", F.xxhash64("part").alias("part"), "block", against).select(
+        "leader", F.least("block", "_against").alias("lo"), F.greatest("block", "_against").alias("hi"), "block", "node", "part")
+
+
+def _wide_sketches(texts: DataFrame, size: int, k: int) -> DataFrame:
+    """(node, n, values): set size and the ``k`` smallest hashes, for sets of up to ``k`` all of them."""
+    schema = T.StructType().add("node", T.LongType()).add("n", T.LongType()).add("values", T.ArrayType(T.LongType(), False))
+
+    def run(batches):
+        for batch in batches:
+            at = 0
+            for part in sliced_by_bytes(batch[1], SLICE_BYTES):
+                sizes, kept = [], []
+                words, offsets = split_flat(pc.ascii_lower(part))
+                hashes = word_hashes(words)
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    values = _set_hashes(hashes[a:b], size)
+                    sizes.append(len(values))
+                    kept.append(values[:k])
+                yield {"node": batch[0].slice(at, len(part)), "n": sizes, "values": kept}
+                at += len(part)
+
+    return arrow_map(texts.select(F.xxhash64("key").alias("node"), "text"), run, schema)
+
+
+def _common(values: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each row of ``left`` shares with each row of ``right``; a row's values are different ones."""
+    row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    _, which, count = np.unique(values, return_inverse=True, return_counts=True)
+    row, which = row[count[which] > 1], which[count[which] > 1]
+    order = np.argsort(which, kind="stable")
+    row, which = row[order], np.cumsum(np.diff(which[order], prepend=which[order][:1]) != 0)
+    place = np.full((2, len(ends)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(which[-1]) + 1 if len(which) else 0, 4096):
+        a, b = np.searchsorted(which, (at, at + 4096))
+        sides = []
+        for side, rows in zip(place, (left, right)):
+            one, seen = np.zeros((len(rows), 4096), np.float32), side[row[a:b]]
+            one[seen[seen >= 0], which[a:b][seen >= 0] - at] = 1
+            sides.append(one)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _linked(part: np.ndarray, n: np.ndarray, values: np.ndarray, ends: np.ndarray, block: np.ndarray, k: int, threshold: int) -> list[tuple[int, int]]:
+    """Pairs of rows of two blocks (or one) that join different parts: of whole sets one pair for each two parts that it
+    joins, of larger sets all pairs whose sketches allow the threshold."""
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    common = _common(values, ends, left, right)
+    a, b = n[left][:, None], n[right][None, :]
+    whole = (a <= k) & (b <= k)
+    alike = np.where(whole, 100 * common >= threshold * (a + b - common),
+                     (100 * np.minimum(a, b) >= threshold * np.maximum(a, b)) & (common >= needed(10**7, k, threshold)))
+    alike &= part[left][:, None] != part[right][None, :]
+    if block.min() == block.max():
+        alike = np.triu(alike, 1)
+    out = [(left[i], right[j]) for i, j in np.argwhere(alike & ~whole).tolist()]
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    parts = part.tolist()
+    for i, j in np.argwhere(alike & whole).tolist():
+        x, y = top(parts[left[i]]), top(parts[right[j]])
+        if x != y:
+            root[x] = y
+            out.append((left[i], right[j]))
+    return out
+
+
+def _compared(pairs: DataFrame, wide: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different parts that may be linked, found within pairs of blocks; see ``_linked``."""
+    pairs = stored(pairs, "blocks")
+    groups = max(1, pairs.count() // GROUP_ROWS)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        keys = [np.asarray(group[c]) for c in ("leader", "lo", "hi")]
+        order = np.lexsort(keys)
+        group = group.take(pa.array(order))
+        new = reduce(np.logical_or, [np.diff(x[order]) != 0 for x in keys])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(order)]
+        node, part, n, block = (np.asarray(group[c]) for c in ("node", "part", "n", "block"))
+        lists = group["values"].combine_chunks()
+        values, ends = np.asarray(lists.flatten()), np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))
+        found: list[tuple[int, int]] = []
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if e - s == 1 or (keys[1][order[s]] != keys[2][order[s]] and block[s:e].min() == block[s:e].max()):
+                continue  # one of the two blocks has no members
+            base = int(ends[s - 1]) if s else 0
+            found += [(s + i, s + j) for i, j in _linked(part[s:e], n[s:e], values[base:ends[e - 1]], ends[s:e] - base, block[s:e], k, threshold)]
+        a, b = ([int(node[p[i]]) for p in found] for i in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = pairs.join(wide, "node").withColumn("_group", F.pmod(F.xxhash64("leader", "lo", "hi"), F.lit(groups)))
+    return rows.groupBy("_group").applyInArrow(run, T.StructType().add("a", T.LongType()).add("b", T.LongType()))
+
+
 def _links(lists: DataFrame, classes: DataFrame, texts: DataFrame, size: int, k: int, threshold: int) -> DataFrame:
     """(node, root) of the components that verified links make."""
-    rows, edges, found, count = lists, None, None, FIRST_LEADERS
-    while True:
-        led = _leaders(rows, count)
-        pairs = rows.join(led, "value").where(F.col("node") > F.col("leader")).where(_may_be_alike(k, threshold))
-        if found is not None:
-            lead_part = rows.select("value", F.col("node").alias("leader"), F.col("part").alias("lead_part"))
-            pairs = pairs.join(lead_part, ["value", "leader"]).where("part != lead_part")
-        pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        close = stored(_estimated(pairs, classes, k, threshold), "pairs")
-        many = close.count()
-        new = close.select(F.col("ka").alias("u"), F.col("kb").alias("v"))
-        if many:
-            new = stored_in_small_batches(_verified(close, many <= FEW_PAIRS, texts, size, threshold), "links")
-        if found is None or not new.isEmpty():
-            edges = new if edges is None else edges.unionAll(new)
-            found = components(edges)
-        part = found.select(F.xxhash64("node").alias("node"), F.col("root").alias("part"))
-        rest = rows.select("value", "node", "n", "bits").join(led.select("value", F.col("leader").alias("node")), ["value", "node"], "left_anti")
-        placed = rest.join(part, "node", "left").withColumn("part", F.coalesce("part", F.col("node").cast("string").cast("binary")))
-        several = placed.groupBy("value").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo != _hi").select("value")
-        rows, count = stored(placed.join(several, "value").select("value", "node", "n", "bits", "part"), "lists"), LEADERS
-        if rows.isEmpty():
-            return found
-        classes = stored(classes.join(rows.select("node").distinct(), "node", "left_semi"), "members")
+    edges, led = _star(lists, classes, texts, size, k, threshold)
+    found = components(edges)
+    part = found.select(F.xxhash64("node").alias("node"), F.col("root").alias("part"))
+    rest = lists.select("value", "node").join(led, ["value", "node"], "left_anti")
+    placed = rest.join(part, "node", "left").withColumn("part", F.coalesce("part", F.col("node").cast("string").cast("binary")))
+    several = placed.groupBy("value").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo != _hi").select("value")
+    rows = stored(placed.join(several, "value"), "lists")
+    if rows.isEmpty():
+        return found
+    keys = classes.select("node", "key")
+    wide = _wide_sketches(texts.join(keys.join(rows.select("node").distinct(), "node", "left_semi").select("key"), "key", "left_semi"), size, WIDE)
+    pairs = stored(_compared(_block_pairs(rows), wide, WIDE, threshold).distinct(), "pairs")
+    side = lambda x: keys.select(F.col("node").alias(x), F.col("key").alias(f"k{x}"))
+    close = stored(pairs.join(side("a"), "a").join(side("b"), "b").where("ka != kb").select("ka", "kb"), "pairs")
+    new = _verified_links(close, texts, size, threshold)
+    return found if new.isEmpty() else components(edges.unionAll(new))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD,
