@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators.profile import compare_tables, recompute_audit
+from tracelake.plans import catalog
 from tracelake.sources import exports, tables, workdir
 from tracelake.streaming import streams
 
@@ -172,3 +173,17 @@ def test_uploads_in_any_order_are_all_counted(spark, tmp_path):
         streams.run_to_table(stream, lambda df: streams.bin_counters(df, ["patient_id"]), out, cp)
     got = streams.counters_so_far(spark, out, ["patient_id"]).collect()
     assert sorted((r.patient_id, r.window_start.day, r.n_epochs, r.n_events) for r in got) == [(1, 20, 6, 3), (2, 2, 6, 3), (2, 3, 6, 3), (3, 25, 6, 3)]
+
+
+def test_quick_scan_reads_lines_once_more(spark):
+    """All lines are numbered by costly plans: the scan's result reads them once, and grouping files does not repeat the scan."""
+    text = ["File,a.dat", ",FFT Power 1,", "ClockDateTime,I1_1,I1_2", '45000.5,"1, x",2', '"45001.5",1,', "nan,1,2", "", "45000.75,,3"]
+    lines = spark.createDataFrame([("/x/a.csv", i, t) for i, t in enumerate(text)], "file string, line_no long, text string")
+    sources = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    scans = exports.quick_scan(lines)
+    assert sources(scans) == 1
+    grouped = exports.group_files(scans.withColumn("patient_id", F.lit("N1")))
+    assert sources(grouped) == 0
+    r = grouped.first()
+    assert (r.n_data_rows, str(r.start_ts), str(r.end_ts)) == (4, "2023-03-15 12:00:00", "2023-03-15 18:00:00")
+    assert (r.n_columns, r.panel_class, r.position, r.n_files) == (2, "trends", 0, 1)

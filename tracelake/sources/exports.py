@@ -17,6 +17,7 @@ from ..functions.clock import implausible_year, micros_between, serial_to_timest
 from ..functions.numbers import clean_nan
 from ..operators.ordered import index_rows, join_keys, last_known, strip_layout
 from ..operators.timebase import patient_of, stem_of
+from .workdir import stored
 
 # Header keys kept, lines scanned for them and for the code row.
 HEADER_KEYS = {"file": "file_path", "patientid": "patient_id", "testdate": "test_date", "testtime": "test_time"}
@@ -148,14 +149,28 @@ def export_wide(rows: DataFrame, codes: list[str]) -> DataFrame:
     return rows.select("file", "row_idx", "ts", *kept)
 
 
+def _clocks(lines: DataFrame, codes: DataFrame) -> DataFrame:
+    """(file, row_idx, ts) of the data lines, as ``export_rows`` has them."""
+    clock = codes.select("file", "code_line", F.array_position("codes", CLOCK).cast("int").alias("_at"))
+    data = lines.join(clock, "file").where((F.col("line_no") > F.col("code_line")) & (F.trim("text") != ""))
+    cell = F.when(F.contains("text", F.lit('"')), F.get(cells("text"), F.col("_at") - 1)).otherwise(
+        F.trim(F.get(F.split("text", ",", -1), F.col("_at") - 1)))
+    serial = clean_nan(cell.try_cast("double"))
+    return data.select("file", (F.col("line_no") - F.col("code_line") - 1).alias("row_idx"), serial_to_timestamp(serial).alias("ts"))
+
+
 def quick_scan(lines: DataFrame) -> DataFrame:
-    """First and last clock, data rows, hours, column count and panel class per file."""
-    codes = code_rows(lines)
-    per = export_rows(lines, codes).groupBy("file").agg(
+    """First and last clock, data rows, hours, column count and panel class per file.
+
+    The first lines of the files are stored, so all lines are numbered once more only; of data lines the clock alone is read.
+    """
+    early = stored(lines.where(F.col("line_no") < CODE_ROW_LINES).select("file", "line_no", "text"), "early_lines")
+    codes = stored(code_rows(early), "code_rows")
+    per = _clocks(lines, codes).groupBy("file").agg(
         F.count(F.lit(1)).alias("n_data_rows"), F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("row_idx"))).alias("start_ts"),
         F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("row_idx"))).alias("end_ts"))
     widths = codes.select("file", F.size(F.filter("codes", lambda c: c.rlike(CODE))).alias("n_columns"))
-    panels = panel_class(export_columns(lines, codes), ["file"])
+    panels = panel_class(export_columns(early, codes), ["file"])
     out = widths.join(per, "file", "left").join(panels, "file", "left")
     return out.withColumns({"n_data_rows": F.coalesce("n_data_rows", F.lit(0)), "duration_hours": micros_between("start_ts", "end_ts") / F.lit(3.6e9)})
 
@@ -198,6 +213,7 @@ def group_files(scans: DataFrame) -> DataFrame:
     from_stem = F.coalesce(F.nullif(patient_of(stem), F.lit("")), stem)
     tagged = scans.withColumn("patient", F.when(own, F.col("patient_id")).otherwise(from_stem)).withColumn(
         "_start", F.coalesce(F.col("start_ts").cast("string"), F.lit("")))
+    tagged = stored(tagged, "scans")  # files are counted per patient first; that must not scan them twice
     return strip_layout(index_rows(tagged, ["patient"], ["_start", "file"], row="position", total="n_files")).drop("_start")
 
 
