@@ -187,3 +187,9 @@ def test_quick_scan_reads_lines_once_more(spark):
     r = grouped.first()
     assert (r.n_data_rows, str(r.start_ts), str(r.end_ts)) == (4, "2023-03-15 12:00:00", "2023-03-15 18:00:00")
     assert (r.n_columns, r.panel_class, r.position, r.n_files) == (2, "trends", 0, 1)
+
+
+def test_wide_cells_carry_no_path(spark):
+    """The nation is taken from a file's path before the row becomes hundreds of cells."""
+    plan = catalog.QUERIES["S1_wide_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in "".join(x for x in plan.split("\n") if "Aggregate" in x), plan
