@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -234,6 +235,52 @@ def test_repeated_passages(spark, corpus, hot, monkeypatch):
     assert phrases.drop_repeated_passages(documents(spark, [])).count() == 0
 
 
+def test_phrases_are_few_symbols(monkeypatch):
+    import ahocorasick
+
+    made = []
+
+    class Counted:
+        def __init__(self):
+            self.of, self.length, self.phrases = ahocorasick_automaton(), 0, 0
+            made.append(self)
+
+        def add_word(self, phrase, value):
+            self.length, self.phrases = self.length + len(phrase), self.phrases + 1
+            return self.of.add_word(phrase, value)
+
+        def __getattr__(self, name):
+            return getattr(self.of, name)
+
+    ahocorasick_automaton = ahocorasick.Automaton
+    monkeypatch.setattr(ahocorasick, "Automaton", Counted)
+    words = [b"w%d" % i for i in range(600)]
+    runs = [(3, 60), (10, 47), (2, 25), (100, 140), (101, 130), (500, 520), (30, 70)]
+    got = phrases.located([b" ".join(words[a:b]) for a, b in runs], [1, 1, 2, 1, 1, 1, 1], [7, 5, 9, 1, 0, 2, 3], 20)
+    where = {}
+    for (a, b), n, doc in zip(runs, [1, 1, 2, 1, 1, 1, 1], [7, 5, 9, 1, 0, 2, 3]):
+        for i in range(a, b - 19):
+            known = where.get(i, (0, doc))
+            where[i] = known[0] + n, min(known[1], doc)
+    assert got == [[where[i][1] if where[i][0] > 1 else None for i in range(a, b - 19)] for a, b in runs]
+    assert made[0].phrases == sum(n > 1 for n, _ in where.values()) and made[0].length <= 8 * made[0].phrases
+
+
+def test_digests_of_words_and_spans():
+    texts = ["a b c d a b c", "", "ab a  b é " + "x" * 5_000, "c d a b", "c d b a", "x" * 4_999 + "y a"]
+    words, offsets = phrases.split_flat(pa.array(texts))
+    hashes = phrases.byte_hashes(words, 2)
+    plain = words.to_pylist()
+    for lane in hashes:
+        assert len(dict(zip(plain, lane.tolist()))) == len(set(lane.tolist())) and len(set(zip(plain, lane.tolist()))) == len(set(plain))
+    assert (phrases.byte_hashes(words, 1) == hashes[:1]).all() and (phrases.byte_hashes(words[5:9], 2) == hashes[:, 5:9]).all()
+    bounds = [(a, b) for a in range(len(plain)) for b in range(a + 1, len(plain) + 1)]
+    digest = phrases.span_digests(hashes, *np.array(bounds).T)
+    for lane in digest:
+        assert len(set(lane.tolist())) == len({tuple(plain[a:b]) for a, b in bounds}) == len({(tuple(plain[a:b]), d) for (a, b), d in zip(bounds, lane.tolist())})
+    assert phrases.byte_hashes(pa.array([], pa.string()), 2).shape == (2, 0)
+
+
 def test_repeated_lines(spark, corpus):
     got = line_windows.drop_repeated_lines(documents(spark, corpus)).collect()
     assert len(got) == len(corpus)

@@ -19,6 +19,9 @@ from ..sources.workdir import stored, work_dir  # noqa: F401  (used by the opera
 CACHED_WORDS = 300_000
 #: Text of a batch that is worked on together, in bytes.
 SLICE_BYTES = 4_000_000
+#: Words whose bytes are hashed together.
+HASHED_WORDS = 1 << 16
+_BASES = (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -242,6 +245,37 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return different[np.asarray(coded.indices)] if len(words) else np.empty(0, np.uint64)
 
 
+def byte_hashes(words: pa.Array, lanes: int) -> np.ndarray:
+    """``lanes`` rows of uint64 hashes of words, none of them null or empty, summed up from their bytes and the bytes' places.
+
+    All words are hashed at once: texts with many different words cost no more than others.
+    """
+    raw = words.cast(pa.large_binary())
+    bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], np.uint8) if len(raw) else np.empty(0, np.uint8)
+    out = np.empty((lanes, len(raw)), np.uint64)
+    for at in range(0, len(raw), HASHED_WORDS):
+        cuts = bounds[at:at + HASHED_WORDS + 1]
+        first, size = cuts[:-1] - cuts[0], np.diff(cuts)
+        h = np.arange(cuts[-1] - cuts[0]) - np.repeat(first, size)
+        h = mixed((h.view(np.uint64) << np.uint64(8) | data[cuts[0]:cuts[-1]]) * np.uint64(0x9E3779B97F4A7C15))
+        for lane in out:
+            lane[at:at + HASHED_WORDS] = mixed(np.add.reduceat(h, first))
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return out
+
+
+def span_digests(hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Per lane of word hashes, a digest of the words ``first`` to before ``end``: differences of running sums with powers as weights."""
+    out = np.empty((len(hashes), len(first)), np.int64)
+    for lane, digest, base in zip(hashes, out, _BASES):
+        sums = np.zeros(len(lane) + 1, np.uint64)
+        np.cumsum(lane * np.multiply.accumulate(np.full(len(lane), base, np.uint64)), out=sums[1:])
+        back = np.multiply.accumulate(np.full(len(lane) + 1, pow(base, -1, 1 << 64), np.uint64))
+        digest[:] = mixed((sums[end] - sums[first]) * back[first] + (end - first).astype(np.uint64)).view(np.int64)
+    return out
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of uint64 values."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

@@ -10,7 +10,7 @@ judged on the input.
    are one span.
 2. Confirmation and automata: spans are dealt to shards by their anchor. A shard counts the
    windows in its spans, word by word, and compiles those that recur into an automaton
-   (pyahocorasick, one symbol per word). All its spans run through the automaton, which
+   (pyahocorasick, one symbol per group of words). All its spans run through the automaton, which
    locates every occurrence and gives each phrase its smallest document.
 3. Every span of every document gets its phrases' first documents back, by the span's
    digest. Repeats inside one document are found where the document is read last.
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, arrow_map, sliced_by_bytes, split_flat, stored, window_hashes, word_hashes
+from .common import SLICE_BYTES, arrow_map, byte_hashes, gathered, sliced_by_bytes, span_digests, split_flat, stored, window_hashes
 
 WIDTH = 20
 GRAM = 5
@@ -48,6 +49,8 @@ HOT = 1_000
 SHARD_SPANS = 8_000
 _FIRST = -(1 << 63)
 _NOWHERE = (1 << 63) - 1
+#: Stands for a group of words that no phrase has.
+_OTHER = "\xff\xff"
 
 
 def spans_of(hashes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +97,7 @@ def _anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
             at = 0
             for texts in sliced_by_bytes(batch[1], SLICE_BYTES):
                 words, offsets = split_flat(texts)
-                hashes = word_hashes(words)
+                hashes = byte_hashes(words, 1)[0]
                 text, anchor, _, _ = spans_of(hashes, offsets, width, gram)
                 text, anchor, twice = _marked_twice(text, anchor)
                 again = np.zeros(len(texts), bool)
@@ -114,111 +117,135 @@ def _anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return arrow_map(docs.select("key", "text"), run, schema).where(F.size("anchors") > 0)
 
 
-def _found_spans(batch: pa.RecordBatch, width: int, gram: int):
-    """(row, shard key, first window in its text, span) of the batch's spans under recurring anchors; columns: text, some, hot.
+def _among(text: np.ndarray, anchor: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Which (text, anchor) are in the list of that text."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+    listed, values = np.repeat(np.arange(len(lists)), sizes), np.asarray(lists.flatten(), np.int64)
+    different, which = np.unique(np.concatenate([values, anchor]), return_inverse=True)
+    pairs = np.concatenate([listed, text]) * len(different) + which
+    return np.isin(pairs[len(values):], pairs[:len(values)])
 
-    A span is its words joined by one space; all words of a slice are joined once and spans cut out.
-    """
-    import xxhash
 
+def _found_spans(batch: pa.RecordBatch, width: int, gram: int):
+    """Per slice of the batch (row, shard key, first window in its text, digests, cut) of the spans under recurring anchors;
+    columns: text, some, hot. ``cut`` gives the spans with the given numbers: their words joined by one space.
+    """
     at = 0
     for texts in sliced_by_bytes(batch[0], SLICE_BYTES):
         words, offsets = split_flat(texts)
-        text, anchor, first, last = spans_of(word_hashes(words), offsets, width, gram)
-        some = [set(x or ()) for x in batch[1].slice(at, len(texts)).to_pylist()]
-        hot = [set(x or ()) for x in batch[2].slice(at, len(texts)).to_pylist()]
-        begin = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(words), np.int64) + 1)])
-        joined = b" ".join(words.cast(pa.binary()).to_pylist())
-        ends = (begin[last + width] - 1).tolist()
-        begin, own = begin.tolist(), (first - offsets[text]).tolist()
-        for d, h, a, b, place, end in zip(text.tolist(), anchor.tolist(), first.tolist(), last.tolist(), own, ends):
-            if h in some[d]:
-                yield at + d, h, place, joined[begin[a]:end]
-            elif h in hot[d]:
-                for i in range(a, b + 1):
-                    window = joined[begin[i]:begin[i + width] - 1]
-                    yield at + d, (xxhash.xxh3_64_intdigest(window) ^ 1 << 63) - (1 << 63), place + i - a, window
+        hashes = byte_hashes(words, 2)
+        text, anchor, first, last = spans_of(hashes[0], offsets, width, gram)
+        some, hot = (_among(text, anchor, batch[i].slice(at, len(texts))) for i in (1, 2))
+        size = np.where(hot, last - first + 1, 0)
+        single = gathered(np.arange(len(words)), first[hot], size[hot])
+        text, alone = np.concatenate([text[some], np.repeat(text, size)]), len(single)
+        first, end = np.concatenate([first[some], single]), np.concatenate([last[some], single]) + width
+        digest = span_digests(hashes, first, end)
+        key = np.concatenate([anchor[some], digest[0, len(first) - alone:]])
+
+        def cut(which: np.ndarray, words=words, first=first, end=end) -> list[bytes]:
+            begin = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(words), np.int64) + 1)])
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary())), b" ")[0].as_py()
+            return [joined[a:b] for a, b in zip(begin[first[which]].tolist(), (begin[end[which]] - 1).tolist())]
+
+        yield at + text, key, first - offsets[text], digest, cut
         at += len(texts)
 
 
 def located(spans: list[bytes], counts: list[int], docs: list[int], width: int) -> list[list[int | None]]:
-    """Per span and window, the smallest document the window occurs in; None for windows that do not recur."""
+    """Per span and window, the smallest document the window occurs in; None for windows that do not recur.
+
+    A symbol of the automaton is a group of ``step`` words, so a phrase has ``width / step`` of them; a span is read once from
+    each of its first ``step`` words. A node of the automaton looks through its children one by one, so a group is written with
+    two characters of small alphabets.
+    """
     import ahocorasick
 
-    symbols: dict[bytes, str] = {}
-    texts = ["".join([symbols.setdefault(w, chr(0x100 + len(symbols) + 0x800 * (len(symbols) >= 0xD700))) for w in s.split(b" ")]) for s in spans]
+    split = [s.split(b" ") for s in spans]
+    letters = dict(zip(dict.fromkeys(chain.from_iterable(split)), map(chr, chain(range(0x100, 0xD800), range(0xE000, 0x110000)))))
+    texts = ["".join(map(letters.__getitem__, words)) for words in split]
     seen: Counter = Counter()
     for text, n in zip(texts, counts):
         for i in range(len(text) - width + 1):
             seen[text[i:i + width]] += n
-    automaton, least = ahocorasick.Automaton(), []
-    for phrase, n in seen.items():
-        if n > 1:
-            automaton.add_word(phrase, len(least))
-            least.append(_NOWHERE)
+    step = next(k for k in (5, 4, 3, 2, 1) if width % k == 0)
+    parts = [p[i:i + step] for p, n in seen.items() if n > 1 for i in range(0, width, step)]
     out: list[list] = [[None] * (len(t) - width + 1) for t in texts]
-    if not least:
+    if not parts:
         return out
+    groups = dict(zip(dict.fromkeys(parts), map("".join, product(map(chr, range(0x200, 0xD800)), map(chr, range(0x100, 0x200))))))
+    symbols = list(map(groups.__getitem__, parts))
+    automaton, least, each = ahocorasick.Automaton(), [_NOWHERE] * (len(parts) * step // width), width // step
+    for phrase in range(len(least)):
+        automaton.add_word("".join(symbols[phrase * each:(phrase + 1) * each]), phrase)
     automaton.make_automaton()
+    orders: dict[int, list[int]] = {}
     for row, text, doc in zip(out, texts, docs):
-        for end, phrase in automaton.iter(text):
-            row[end - width + 1] = phrase
-            least[phrase] = min(least[phrase], doc)
+        n = len(text) - step + 1
+        if (order := orders.get(n)) is None:
+            order = orders[n] = [i for k in range(step) for i in (*range(k, n, step), n)]
+        read = [groups.get(text[i:i + step], _OTHER) for i in range(n)]
+        read.append(_OTHER)
+        for end, phrase in automaton.iter("".join([read[i] for i in order])):
+            row[order[end // 2] - width + step] = phrase
+            if doc < least[phrase]:
+                least[phrase] = doc
     return [[None if p is None else least[p] for p in row] for row in out]
 
 
 def _confirmed(marked: DataFrame, width: int, gram: int, shards: int) -> DataFrame:
-    """(digest, least): per different span with a phrase that another document has first, its windows' smallest documents."""
+    """(high, low, least): per different span, by its digest, with a phrase that another document has first, its windows' smallest documents."""
     def spans(batches):
         for batch in batches:
-            ids = batch[3].to_pylist()
-            found: dict[tuple, list] = {}
-            for row, key, _, span in _found_spans(batch, width, gram):
-                doc = _FIRST if ids[row] is None else ids[row]
-                if (known := found.get((key, span))) is None:
-                    found[key, span] = [doc, 1, doc]
-                else:
-                    known[0], known[1], known[2] = min(known[0], doc), known[1] + 1, max(known[2], doc)
-            yield {"key": [k for k, _ in found], "span": [s for _, s in found], "doc": [x[0] for x in found.values()],
-                   "count": [x[1] for x in found.values()], "last": [x[2] for x in found.values()]}
-
-    schema = (T.StructType().add("key", T.LongType()).add("span", T.BinaryType()).add("doc", T.LongType()).add("count", T.LongType())
-              .add("last", T.LongType()))
+            found = list(_found_spans(batch, width, gram))
+            row, key, digest = (np.concatenate([x[i] for x in found], -1) for i in (0, 1, 3))
+            if not len(row):
+                continue
+            slices = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+            order = np.lexsort((slices, *digest))
+            slices, digest, doc = slices[order], digest[:, order], np.asarray(pc.fill_null(batch[3], _FIRST))[row[order]]
+            begin = np.flatnonzero(np.concatenate([[True], (np.diff(digest) != 0).any(0)]))
+            same = {"doc": np.minimum.reduceat(doc, begin), "count": np.diff(begin, append=len(doc)), "last": np.maximum.reduceat(doc, begin)}
+            before = np.cumsum([0, *(len(x[0]) for x in found)])
+            for i, (*_, cut) in enumerate(found):  # a span is written with the first slice that has it
+                here = slices[begin] == i
+                at = order[begin[here]]
+                yield {"shard": key[at] % shards, "span": cut(at - before[i])} | {
+                    name: values[here] for name, values in same.items()}
+
+    schema = T.StructType().add("shard", T.LongType()).add("span", T.BinaryType())
+    for name in ("doc", "count", "last"):
+        schema = schema.add(name, T.LongType())
     rows = arrow_map(marked.select("text", "some", "hot", "id"), spans, schema)
 
     def confirm(group: pa.Table) -> pa.Table:
-        import xxhash
-
         same: dict[bytes, list] = {}  # a span comes once per batch that has it
         for text, doc, count, last in zip(*(group[c].to_pylist() for c in ("span", "doc", "count", "last"))):
             if (known := same.get(text)) is None:
                 same[text] = [doc, count, last]
             else:
                 known[0], known[1], known[2] = min(known[0], doc), known[1] + count, max(known[2], last)
-        texts = list(same)
-        docs, counts, lasts = ([x[i] for x in same.values()] for i in range(3))
-        merged: dict[bytes, list] = {}
-        for text, least, last in zip(texts, located(texts, counts, docs, width), lasts):
-            if any(x is not None and x < last for x in least):
-                merged[xxhash.xxh3_128_digest(text)] = least
-        return pa.table({"digest": list(merged), "least": list(merged.values())}, schema=pa.schema({"digest": pa.binary(), "least": pa.list_(pa.int64())}))
+        texts, (docs, counts, lasts) = list(same), zip(*same.values())
+        merged = [(t, x) for t, x, last in zip(texts, located(texts, counts, docs, width), lasts) if any(d is not None and d < last for d in x)]
+        words, offsets = split_flat(pa.array([t for t, _ in merged], pa.binary()).view(pa.string()))
+        high, low = span_digests(byte_hashes(words, 2), offsets[:-1], offsets[1:])
+        return pa.table({"high": high, "low": low, "least": pa.array([x for _, x in merged], pa.list_(pa.int64()))})
 
-    out = T.StructType().add("digest", T.BinaryType()).add("least", T.ArrayType(T.LongType()))
-    return rows.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(confirm, out)
+    out = T.StructType().add("high", T.LongType()).add("low", T.LongType()).add("least", T.ArrayType(T.LongType()))
+    return rows.groupBy("shard").applyInArrow(confirm, out)
 
 
 def _placed(marked: DataFrame, width: int, gram: int) -> DataFrame:
-    """(digest, key, id, first) of every span under a recurring anchor."""
+    """(high, low, key, id, first) of every span under a recurring anchor; the first two are its digest."""
     def run(batches):
-        import xxhash
-
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            found = [(row, first, digest(span)) for row, _, first, span in _found_spans(batch, width, gram)]
-            rows = pa.array([x[0] for x in found], pa.int64())
-            yield {"digest": [x[2] for x in found], "key": batch[3].take(rows), "id": batch[4].take(rows), "first": [x[1] for x in found]}
+            for row, _, first, digest, _ in _found_spans(batch, width, gram):
+                rows = pa.array(row)
+                yield {"high": digest[0], "low": digest[1], "key": batch[3].take(rows), "id": batch[4].take(rows), "first": first}
 
-    schema = T.StructType().add("digest", T.BinaryType()).add("key", T.LongType()).add("id", T.LongType()).add("first", T.LongType())
+    schema = T.StructType()
+    for name in ("high", "low", "key", "id", "first"):
+        schema = schema.add(name, T.LongType())
     return arrow_map(marked.select("text", "some", "hot", "key", "id"), run, schema)
 
 
@@ -271,7 +298,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     texts = stored(rows.join(lists, "key", "left"), "texts")
     marked = texts.where(F.col("some").isNotNull())
     least = stored(_confirmed(marked, width, gram, max(1, -(-spans // SHARD_SPANS))), "phrases")
-    back = _placed(marked, width, gram).join(least, "digest")
+    back = _placed(marked, width, gram).join(least, ["high", "low"])
     before = F.coalesce(F.col("id"), F.lit(_FIRST))
     starts = F.filter(F.transform("least", lambda x, i: F.when(x < before, F.col("first") + i)), lambda x: x.isNotNull())
     gone = stored(back.select("key", starts.alias("starts")).where(F.size("starts") > 0).groupBy("key").agg(
