@@ -5,9 +5,10 @@ import math
 import statistics
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tracelake.operators import recompute
+from tracelake.operators import profile, recompute
 from tracelake.sources import hashing, workdir
 from tracelake.sources import tables as tb
 
@@ -92,3 +93,41 @@ def test_run_folder_can_be_removed(spark, tmp_path, monkeypatch):
     assert workdir.stored(spark.range(3), "numbers").count() == 3 and list((tmp_path / "run").iterdir())
     workdir.remove_run_folder(spark)
     assert not (tmp_path / "run").exists()
+
+
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_rank_correlation_counts_each_column_once(spark, monkeypatch, coalesced):
+    import random
+
+    rng = random.Random(5)
+    some = lambda v: None if rng.random() < 0.2 else v
+    rows = [(some(rng.random()), some(float(rng.randrange(4))), some(rng.random()), some(-0.0 if k % 2 else 0.0), some(float(rng.randrange(3))),
+             some(rng.random()) if k < 50 else None) for k in range(300)]
+    kept = []
+    real = profile.stored
+    monkeypatch.setattr(profile, "stored", lambda df, name: kept.append(real(df, name)) or kept[-1])
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, coalesced)
+    try:
+        df = spark.createDataFrame(rows, "a1 double, a2 double, b1 double, b2 double, b3 double, b4 double")
+        got = {(r.a, r.b): r.r for r in profile.spearman(df, ["a1", "a2"], ["b1", "b2", "b3", "b4"]).collect()}
+        most = max(t.count() for t in kept)
+    finally:
+        spark.conf.unset(key)
+
+    def ranks(values):
+        return [sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2 for v in values]
+
+    assert len(got) == 8
+    for i, a in enumerate(["a1", "a2"]):
+        for j, b in enumerate(["b1", "b2", "b3", "b4"], 2):
+            x, y = zip(*[(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None])
+            x, y = ranks(x), ranks(y)
+            mx, my = sum(x) / len(x), sum(y) / len(y)
+            spread = (sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y)) ** 0.5
+            if spread:
+                assert got[a, b] == pytest.approx(sum((p - mx) * (q - my) for p, q in zip(x, y)) / spread, abs=1e-9)
+            else:
+                assert got[a, b] is None
+    assert most <= 4 * len(rows) / 2  # values of one side, not a row per pair and row
+    assert profile.spearman(df.where("a1 IS NULL"), ["a1"], ["b1"]).count() == 0

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import is_zero
 from ..sources.workdir import stored
 from .merge import to_long
-from .ordered import index_rows, join_keys, neighbours, slice_rows, strip_layout
+from .ordered import index_rows, join_keys, neighbours, strip_layout
 from .orderstats import order_stats, quantile
 from .retrieve import bin_frequency
 
@@ -57,37 +59,59 @@ def spectrogram_profile(df: DataFrame, keys: list[str], array: str, family: str,
     return out.withColumns({"width_ok": F.col("width") == expected, "peak_hz": bin_frequency(family, "peak_bin")})
 
 
+def _mean_ranks(values: DataFrame, weights: list[str], name: str) -> DataFrame:
+    """(_col, _v, weights) with ``r_<weight>``: the mean rank of a value of its column among the rows that the weight counts.
+
+    Values, each once, are dealt by range and stored with the number of their range, so no task orders a whole column; what
+    lies before a range is one small row per range and column.
+    """
+    placed = stored(values.repartitionByRange("_col", "_v").withColumn("_range", F.spark_partition_id()), name)
+    before = Window.partitionBy("_col").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_col", "_range").agg(*[F.sum(w).alias(w) for w in weights])
+    starts = totals.select("_col", "_range", *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_before_{w}") for w in weights])
+    inside = Window.partitionBy("_col", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = placed.withColumns({f"r_{w}": F.sum(w).over(inside) for w in weights}).join(F.broadcast(stored(starts, "starts")), ["_col", "_range"])
+    return upto.select("_col", *[c for c in values.columns if c != "_col"], *[
+        (F.col(f"r_{w}") + F.col(f"_before_{w}") - (F.col(w) - 1) / 2.0).alias(f"r_{w}") for w in weights])
+
+
 def spearman(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
     """(a, b, r): rank correlation of every left with every right column.
 
-    Every pair uses the rows in which both are present, ties sharing the mean rank. Rows of
-    a pair are first counted by their two values with map-side combine, so a common value
-    (a suppressed zero) is one row. Ranks of a value come from the pair's own counts: by
-    windows over the pair, or, if a pair has more counted rows than a task should order, by
-    slices of it that meet the counts in one join on (pair, value) for each side.
+    Every pair uses the rows in which both are present, ties sharing the mean rank. The values
+    of a left column are counted once, with a weight per right column, and ranked for all its
+    pairs in one order; rows get these ranks by value. The values of a right column are then
+    counted once, with the sum of the left ranks of their rows, so no table has a row per pair
+    and row, and a column is ordered once, in ranges.
     """
-    pairs = [(a, b) for a in left for b in right]
-    both = F.explode(F.array(*[F.struct(F.lit(i).alias("_pair"), F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y"))
-                               for i, (a, b) in enumerate(pairs)])).alias("_p")
-    counted = df.select(both).select("_p.*").where("_x IS NOT NULL AND _y IS NOT NULL").groupBy("_pair", "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
-    counted = stored(counted, "pairs")
-    largest = counted.groupBy("_pair").count().agg(F.max("count")).first()[0] or 0
-    if largest <= slice_rows(df):
-        # ranks of both sides by windows over the pair: one exchange, no join
-        for side in ("_x", "_y"):
-            upto = F.sum("_w").over(Window.partitionBy("_pair").orderBy(side).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-            counted = counted.withColumn(f"{side}_rank", upto - (F.sum("_w").over(Window.partitionBy("_pair", side)) - 1) / 2.0)
-    for side in ("_x", "_y") if largest > slice_rows(df) else ():
-        values = counted.groupBy("_pair", side).agg(F.sum("_w").alias("w"))
-        ranked = strip_layout(index_rows(values, ["_pair"], [side], weight="w", row="lo", total="n"))
-        counted = counted.join(ranked.select("_pair", side, (F.col("lo") + (F.col("w") + 1) / 2.0).alias(f"{side}_rank")), ["_pair", side])
-    x, y, w = F.col("_x_rank"), F.col("_y_rank"), F.col("_w")
-    sums = counted.groupBy("_pair").agg(F.sum(w).alias("n"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * y).alias("xy"),
-                                        F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
+    lefts, rights = range(len(left)), range(len(right))
+    rows = df.select(*[F.col(a).cast("double").alias(f"x{j}") for j, a in enumerate(left)], *[F.col(b).cast("double").alias(f"y{i}") for i, b in enumerate(right)])
+
+    def counted(table: DataFrame, structs: list[Column], *aggs: Column) -> DataFrame:
+        each = table.select(F.explode(F.array(*structs)).alias("_p")).select("_p.*")
+        return each.where(F.col("_v").isNotNull()).groupBy("_col", "_v").agg(*aggs)
+
+    xs = [F.struct(F.lit(j).alias("_col"), F.col(f"x{j}").alias("_v"), *[F.col(f"y{i}").isNotNull().alias(f"w{i}") for i in rights]) for j in lefts]
+    values = counted(rows, xs, *[F.count_if(f"w{i}").alias(f"w{i}") for i in rights])
+    ranks = stored(_mean_ranks(values, [f"w{i}" for i in rights], "left_values"), "left_ranks")
+    for j in lefts:
+        part = ranks.where(F.col("_col") == j).select(F.col("_v").alias(f"x{j}"), *[F.col(f"r_w{i}").alias(f"x{j}_{i}") for i in rights])
+        rows = rows.join(part, f"x{j}", "left")
+    ys = [F.struct(F.lit(i).alias("_col"), F.col(f"y{i}").alias("_v"), *[F.col(f"x{j}_{i}").alias(f"x{j}") for j in lefts]) for i in rights]
+    per_left = [c for j in lefts for c in (F.count(f"x{j}").alias(f"w{j}"), F.sum(f"x{j}").alias(f"s{j}"))]
+    ranked = _mean_ranks(counted(rows, ys, *per_left), [f"w{j}" for j in lefts], "right_values")
+
+    def sums(table: DataFrame, own: str, other: str, others: range, each: Callable[[int], dict[str, Column]]) -> DataFrame:
+        per = [F.struct(F.lit(k).alias(other), *[F.sum(c).alias(n) for n, c in each(k).items()]) for k in others]
+        return table.groupBy(F.col("_col").alias(own)).agg(F.array(*per).alias("_p")).select(own, F.explode("_p").alias("_p")).select(own, "_p.*")
+
+    w, rank = (lambda k: F.col(f"w{k}")), (lambda k: F.col(f"r_w{k}"))
+    of_x = sums(ranks, "_a", "_b", rights, lambda i: {"n": w(i), "x": w(i) * rank(i), "xx": w(i) * rank(i) * rank(i)})
+    of_y = sums(ranked, "_b", "_a", lefts, lambda j: {"y": w(j) * rank(j), "yy": w(j) * rank(j) * rank(j), "xy": F.col(f"s{j}") * rank(j)})
     spread = lambda c: F.col(c + c) - F.col(c) * F.col(c) / F.col("n")
     r = F.try_divide(F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.sqrt(spread("x") * spread("y")))
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    return sums.select(F.get(names, "_pair")["a"].alias("a"), F.get(names, "_pair")["b"].alias("b"), r.alias("r"))
+    name = lambda names, k: F.get(F.array(*map(F.lit, names)), k)
+    return of_x.where("n > 0").join(of_y, ["_a", "_b"]).select(name(left, F.col("_a")).alias("a"), name(right, F.col("_b")).alias("b"), r.alias("r"))
 
 
 def top_partners(pairs: DataFrame) -> DataFrame:
