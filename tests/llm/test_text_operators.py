@@ -209,6 +209,26 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_near_dedup_writes_few_files(spark, corpus, monkeypatch):
+    """Tables between the steps are as many files as their rows ask for, also where shuffle partitions are many and not merged."""
+    written = []
+    for module in (minhash, components):
+        monkeypatch.setattr(module, "stored", lambda df, name, f=module.stored: written.append((name, f(df, name))) or written[-1][1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = minhash.near_duplicates(documents(spark, corpus), size=4).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    expected = _plain_components(corpus, 4)
+    assert [(r.n_shingles, r.component_id) for r in got] == [expected[r.doc_id] for r in got] and len(got) == len(corpus)
+    files = [(name, len(df.inputFiles())) for name, df in written]
+    assert {"classes", "lists", "members", "texts", "pairs", "edges"} <= {name for name, _ in files}
+    assert max(n for _, n in files) == 1, files
+
+
 # --- repeated passages and lines
 
 

@@ -32,6 +32,15 @@ def column_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
+def fewer_tasks(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows, in a task per ``each`` rows, or as it is if those are more tasks.
+
+    For small tables that are written: a task writes a file, and for every file a local file system
+    without native code starts processes, each of which counts as the executor's memory once more until it runs.
+    """
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def stored_in_small_batches(df: DataFrame, name: str) -> DataFrame:
     """``stored`` for rows that may hold several long texts: fewer of them go to Python at a time."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"

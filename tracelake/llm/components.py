@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fewer_tasks, stored
+
+#: Edges of a task, at least, where a step is written.
+TASK_EDGES = 100_000
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -33,14 +36,15 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, at_most: int | None = None) -> DataFrame:
     """(u, v) edges -> (node, root) with the smallest node of the component as root, for all nodes of an edge.
 
-    Null ends and loops are left out; without edges the result has no rows.
+    Null ends and loops are left out; without edges the result has no rows. ``at_most`` bounds
+    the edges, if it is known; no step makes more of them, so the tasks that write go by it.
     """
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-    now, before = stored(now, "edges"), None
+    now, before = stored(now if at_most is None else fewer_tasks(now, at_most, TASK_EDGES), "edges"), None
     while (state := _state(now)) != before:
         before = state
-        now = stored(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        now = stored(fewer_tasks(_small_star(_large_star(now).distinct()).distinct(), state[0], TASK_EDGES), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

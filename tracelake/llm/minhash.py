@@ -48,8 +48,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import (SLICE_BYTES, arrow_map, ascii_words, column_type, sliced_by_bytes, split_flat, stored, stored_in_small_batches, window_hashes,
-                     word_hashes)
+from .common import (SLICE_BYTES, arrow_map, ascii_words, column_type, fewer_tasks, sliced_by_bytes, split_flat, stored, stored_in_small_batches,
+                     window_hashes, word_hashes)
 from .components import components
 
 SHINGLE = 5
@@ -65,6 +65,8 @@ BLOCK, GROUP_ROWS = 256, 2_000
 BITMAP = 8
 #: Pairs up to which texts are picked out by a broadcast of their keys (40 bytes a pair), not by a shuffle of all texts.
 FEW_PAIRS = 50_000
+#: Rows of the input of a task, and pairs to verify of one, at least, where tables are written between the steps.
+TASK_ROWS, TASK_PAIRS = 2_000, 256
 #: Miss probability of a link at the threshold, for the overlap that two sketches must have.
 MISS = 1e-6
 
@@ -188,13 +190,13 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, threshold: int) ->
     return both.where(ratio).where(enough).select("ka", "kb")
 
 
-def _verified(pairs: DataFrame, few: bool, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+def _verified(pairs: DataFrame, many: int, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """Pairs (ka, kb) whose full shingle sets reach the threshold. Many pairs share ``ka``; its set is built once in a row."""
     def side(x: str) -> DataFrame:
-        wanted = texts.join(F.broadcast(pairs.select(F.col(f"k{x}").alias("key")).distinct()), "key", "left_semi") if few else texts
+        wanted = texts.join(F.broadcast(pairs.select(F.col(f"k{x}").alias("key")).distinct()), "key", "left_semi") if many <= FEW_PAIRS else texts
         return wanted.select(F.col("key").alias(f"k{x}"), F.col("text").alias(f"t{x}"))
 
-    rows = pairs.join(side("b"), "kb").join(side("a"), "ka").select("ka", "kb", "ta", "tb")
+    rows = fewer_tasks(pairs.join(side("b"), "kb").join(side("a"), "ka").select("ka", "kb", "ta", "tb"), many, TASK_PAIRS)
 
     def run(batches):
         last, one = None, set()
@@ -214,21 +216,22 @@ def _verified(pairs: DataFrame, few: bool, texts: DataFrame, size: int, threshol
     return arrow_map(rows, run, T.StructType().add("u", T.BinaryType()).add("v", T.BinaryType()))
 
 
-def _star(lists: DataFrame, classes: DataFrame, texts: DataFrame, size: int, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+def _star(lists: DataFrame, classes: DataFrame, texts: DataFrame, total: int, size: int, k: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Verified links (u, v) of the first member of every list with its others, and the first members (value, node)."""
     led = _leaders(lists, LEADERS)
     pairs = lists.join(led, "value").where(F.col("node") > F.col("leader")).where(_may_be_alike(k, threshold))
-    close = stored(_estimated(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes, k, threshold), "pairs")
+    pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    close = stored(fewer_tasks(_estimated(pairs, classes, k, threshold), total, TASK_ROWS), "pairs")
     return _verified_links(close, texts, size, threshold), led.select("value", F.col("leader").alias("node"))
 
 
 def _verified_links(close: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     if not (many := close.count()):
         return close.select(F.col("ka").alias("u"), F.col("kb").alias("v"))
-    return stored_in_small_batches(_verified(close, many <= FEW_PAIRS, texts, size, threshold), "links")
+    return stored_in_small_batches(_verified(close, many, texts, size, threshold), "links")
 
 
-def _block_pairs(rows: DataFrame) -> DataFrame:
+def _block_pairs(rows: DataFrame, total: int) -> DataFrame:
     """(leader, lo, hi, block, node, part): every member of a cluster in each pair of blocks that it is compared in.
 
     A cluster is the union of the lists with one first member, so that sets that share many
@@ -237,7 +240,8 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     """
     first = rows.groupBy("value").agg(F.min(F.struct("node", "part")).alias("first"))
     inside = (F.col("part") == F.col("first.part")).alias("inside")
-    members = stored(rows.join(first, "value").select(F.col("first.node").alias("leader"), "node", "part", inside).distinct(), "clusters")
+    members = rows.join(first, "value").select(F.col("first.node").alias("leader"), "node", "part", inside).distinct()
+    members = stored(fewer_tasks(members, total, TASK_ROWS), "clusters")
     blocks = lambda cond: F.ceil(F.count_if(cond) / BLOCK).cast("int")
     sizes = members.groupBy("leader").agg(blocks(~F.col("inside")).alias("others"), blocks(F.col("inside")).alias("own")).where("others > 0")
     placed = members.join(sizes, "leader").withColumn("block", F.when(F.col("inside"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(
@@ -347,43 +351,47 @@ def _compared(pairs: DataFrame, wide: DataFrame, k: int, threshold: int) -> Data
     return rows.groupBy("_group").applyInArrow(run, T.StructType().add("a", T.LongType()).add("b", T.LongType()))
 
 
-def _links(lists: DataFrame, classes: DataFrame, texts: DataFrame, size: int, k: int, threshold: int) -> DataFrame:
-    """(node, root) of the components that verified links make."""
-    edges, led = _star(lists, classes, texts, size, k, threshold)
-    found = components(edges)
+def _links(lists: DataFrame, classes: DataFrame, texts: DataFrame, total: int, size: int, k: int, threshold: int) -> DataFrame:
+    """(node, root) of the components that verified links make. ``total``: rows of the input."""
+    edges, led = _star(lists, classes, texts, total, size, k, threshold)
+    links = edges.count()
+    found = components(edges, links)
     part = found.select(F.xxhash64("node").alias("node"), F.col("root").alias("part"))
     rest = lists.select("value", "node").join(led, ["value", "node"], "left_anti")
     placed = rest.join(part, "node", "left").withColumn("part", F.coalesce("part", F.col("node").cast("string").cast("binary")))
     several = placed.groupBy("value").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo != _hi").select("value")
-    rows = stored(placed.join(several, "value"), "lists")
+    rows = stored(fewer_tasks(placed.join(several, "value"), total, TASK_ROWS), "lists")
     if rows.isEmpty():
         return found
     keys = classes.select("node", "key")
     wide = _wide_sketches(texts.join(keys.join(rows.select("node").distinct(), "node", "left_semi").select("key"), "key", "left_semi"), size, WIDE)
-    pairs = stored(_compared(_block_pairs(rows), wide, WIDE, threshold).distinct(), "pairs")
+    pairs = stored(fewer_tasks(_compared(_block_pairs(rows, total), wide, WIDE, threshold).distinct(), total, TASK_ROWS), "pairs")
     side = lambda x: keys.select(F.col("node").alias(x), F.col("key").alias(f"k{x}"))
-    close = stored(pairs.join(side("a"), "a").join(side("b"), "b").where("ka != kb").select("ka", "kb"), "pairs")
+    close = pairs.join(side("a"), "a").join(side("b"), "b").where("ka != kb").select("ka", "kb")
+    close = stored(fewer_tasks(close, total, TASK_ROWS), "pairs")
     new = _verified_links(close, texts, size, threshold)
-    return found if new.isEmpty() else components(edges.unionAll(new))
+    return components(edges.unionAll(new), links + more) if (more := new.count()) else found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD,
                     k: int = SKETCH) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable, its own included) and kept."""
+    total = docs.count()
     base = sketches(docs, id_col, text_col, size, k).where("n > 0")
     classes = base.groupBy("key").agg(
         F.min(id_col).alias("label"), F.min(F.struct(id_col, "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stored(classes.withColumn("node", F.xxhash64("key")), "classes")
+    small = lambda df, name: stored(fewer_tasks(df, total, TASK_ROWS), name)
+    classes = small(classes.withColumn("node", F.xxhash64("key")), "classes")
     lists = inverted_lists(classes, k, threshold)
     several = lists.groupBy("value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("value")
-    lists = stored(lists.join(several, "value"), "lists")
+    lists = small(lists.join(several, "value"), "lists")
     wanted = classes.join(lists.select("node").distinct(), "node", "left_semi").select("key", F.col("rep.text_hash").alias("_h"), F.col(f"rep.{id_col}").alias("_id"))
     texts = (docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_t"))
              .join(wanted, (F.col("_t") == F.col("_h")) & F.col("_d").eqNullSafe(F.col("_id"))).select("key", "text"))
-    texts = stored(texts.dropDuplicates(["key"]), "texts")
-    members = stored(classes.select("node", "key", "n", "sketch").join(lists.select("node").distinct(), "node", "left_semi"), "members")
-    lists = stored(lists.join(members.select("node", "n", _bitmap(F.col("sketch")).alias("bits")), "node"), "lists")
-    found = _links(lists, members, texts, size, k, threshold)
+    texts = small(texts.dropDuplicates(["key"]), "texts")
+    members = small(classes.select("node", "key", "n", "sketch").join(lists.select("node").distinct(), "node", "left_semi"), "members")
+    lists = small(lists.join(members.select("node", "n", _bitmap(F.col("sketch")).alias("bits")), "node"), "lists")
+    found = _links(lists, members, texts, total, size, k, threshold)
     labelled = classes.select("key", "label").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = labelled.groupBy("root").agg(F.min("label").alias("_least"))
     assigned = labelled.join(least, "root").select(F.col("key").alias("_key"), "_least")
