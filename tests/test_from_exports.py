@@ -109,3 +109,14 @@ def test_zeros_of_an_instrument_that_measures_them_are_kept(spark, tmp_path):
     stages, report = got.stages.first(), got.null_rule.first()
     assert (stages["leading_zero_removed"], stages["artifact_clean"]) == (0, 60)
     assert (report["rows_all_rejected"], report["rows_partial"]) == (0, 8)
+
+
+def test_equal_values_on_both_sides_of_a_gap_are_independent(spark, tmp_path):
+    """Rows 30 and 31 hold the same values; an hour apart, both of them count."""
+    export(tmp_path, "P1_1", "P1", range(24, 31), blank=["FFT Spectrogram, Left Hemisphere"])
+    export(tmp_path, "P1_2", "P1", range(31, 32), start=T0 + dt.timedelta(hours=1), blank=["FFT Spectrogram, Left Hemisphere"])
+    got = process_exports(spark, str(tmp_path), settings=CohortSettings(bins=BinSettings((0, 2), 0.001)))
+    left = got.cohort.bins.where("feature = 'fft_delta_left_anterior'").first()
+    assert (left["n_observed"], left["n_effective"], left["mean"]) == (8, 2, 5.0)
+    epochs = [r["independent_FFTEngine01"] for r in got.cohort.epochs.orderBy("ts").collect()]
+    assert epochs == [True, *[False] * 6, True]

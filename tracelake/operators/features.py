@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clock import micros_between
 from ..functions.numbers import col_of
 from .ordered import neighbours, running
+from .timebase import GAP_SECONDS
 
 # Floor of the log ratio, spike rate threshold per second.
 LOG_FLOOR = 1e-6
@@ -74,23 +76,27 @@ def derived_features(df: DataFrame, region: str) -> DataFrame:
     return df.withColumns(new)
 
 
-def independent_masks(df: DataFrame, keys: list[str], groups: dict[str, tuple[list[str], int]]) -> DataFrame:
+def independent_masks(df: DataFrame, keys: list[str], groups: dict[str, tuple[list[str], int]], ts: str | None = None,
+                      gap_seconds: float = GAP_SECONDS) -> DataFrame:
     """Mask per group of columns that update together, true on independent rows.
 
     ``groups`` maps the mask's name to (columns, interval). A row is independent if
     it is the first, if a listed column changed from the previous row (both
-    present), or every ``interval`` rows after the last such row. ``df`` comes from
-    ``index_rows``.
+    present), or every ``interval`` rows after the last such row. With the clock ``ts``
+    counting begins again after a gap of more than ``gap_seconds``: instruments have
+    updated since, even if to an equal value. ``df`` comes from ``index_rows``.
     """
     cols = sorted({c for columns, _ in groups.values() for c in columns})
-    linked = neighbours(df, keys, prev={f"_was_{c}": c for c in cols})
+    linked = neighbours(df, keys, prev={f"_was_{c}": c for c in cols} | ({"_was_at": ts} if ts else {}))
     begins = {}
     for name, (columns, _) in groups.items():
         changed = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) != F.col(f"_was_{c}"), F.lit(False)) for c in columns])
+        if ts:
+            changed = changed | F.coalesce(micros_between("_was_at", ts) > F.lit(gap_seconds * 1e6), F.lit(False))
         begins[f"_at_{name}"] = ("max", F.when((F.col("row_idx") == 0) | changed, F.col("row_idx")))
     marked = running(linked, keys, begins)
     masks = {name: (F.col("row_idx") - F.col(f"_at_{name}")) % F.lit(interval) == 0 for name, (_, interval) in groups.items()}
-    return marked.withColumns(masks).drop(*[f"_was_{c}" for c in cols], *[f"_at_{n}" for n in groups])
+    return marked.withColumns(masks).drop(*[f"_was_{c}" for c in cols], "_was_at", *[f"_at_{n}" for n in groups])
 
 
 def independent_mask(df: DataFrame, keys: list[str], columns: list[str], interval: int, out: str = "is_independent") -> DataFrame:

@@ -52,8 +52,8 @@ def process_cohort(inputs: CohortInputs, settings: CohortSettings | None = None)
     """Run every stage in order for all recordings at once.
 
     Suppressed zeros become null before the artifact filter, burden uses the mask
-    before event exclusion, and independence is decided on all trimmed rows. The
-    epoch table is written once; bins and reports read it with pruned columns.
+    before event exclusion, and independence is decided on all trimmed rows, anew after
+    every gap of their clocks. The epoch table is written once; bins and reports read it with pruned columns.
     """
     cfg = settings or CohortSettings()
     keys, ts = inputs.keys, inputs.ts
@@ -88,7 +88,7 @@ def process_cohort(inputs: CohortInputs, settings: CohortSettings | None = None)
         for region in ("anterior", "posterior"):
             df = features.derived_features(df, region)
     if inputs.engines:
-        df = features.independent_masks(df, keys, {f"independent_{n}": spec for n, spec in inputs.engines.items()})
+        df = features.independent_masks(df, keys, {f"independent_{n}": spec for n, spec in inputs.engines.items()}, ts)
     df = timebase.step_support(df, keys, ts, cfg.epoch_seconds)
     epochs = stored(strip_layout(df), "epochs")
 
