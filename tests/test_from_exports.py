@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.config import BinSettings, CohortSettings, EventSettings
+from tracelake.plans.catalog_pipe import write_recordings
 from tracelake.plans.from_exports import process_exports
+from tracelake.sources import exports as ex
 from tracelake.sources import tables as tb
 
 T0 = dt.datetime(2025, 3, 15, 10)
@@ -120,3 +122,26 @@ def test_equal_values_on_both_sides_of_a_gap_are_independent(spark, tmp_path):
     assert (left["n_observed"], left["n_effective"], left["mean"]) == (8, 2, 5.0)
     epochs = [r["independent_FFTEngine01"] for r in got.cohort.epochs.orderBy("ts").collect()]
     assert epochs == [True, *[False] * 6, True]
+
+
+def test_bundles_of_exports_read_like_files(spark, layout, tmp_path):
+    """Two exports in a bundle per encoding: the same lines as of single files, whose last lines end with a line feed."""
+    single, bundles = tmp_path / "single", tmp_path / "bundles"
+    for folder in (single, bundles):
+        folder.mkdir()
+    for encoding in ("utf-8", "cp1252"):
+        names = [f"{encoding}_{i}" for i in (1, 2)]
+        for i, name in enumerate(names):
+            export(single, name, name, range(i, 3 * i + 4), encoding=encoding)
+        (bundles / f"{encoding}.csv").write_bytes(b"".join((single / f"{n}.csv").read_bytes() for n in names))
+    lines = [ex.read_exports(spark, str(folder), folder is bundles) for folder in (single, bundles)]
+    names = [[F.element_at(F.split("file", "/"), -1).alias("file"), "line_no", "text"] for _ in lines]
+    a, b = [sorted(tuple(r) for r in df.select(*n).collect()) for df, n in zip(lines, names)]
+    assert {f for f, _, _ in b} == {"utf-8.csv#0.csv", "utf-8.csv#12.csv", "cp1252.csv#0.csv", "cp1252.csv#12.csv"}
+    own = {f: t for f, n, t in b if n == 0}
+    assert sorted((own[f].split("\\")[-1].removesuffix(".dat") + ".csv", n, t) for f, n, t in b) == a
+
+
+def test_recordings_are_written_as_few_files(spark):
+    files = spark.read.text(write_recordings(spark, "/root/testdata/sf0.001")).select(F.input_file_name().alias("f")).distinct()
+    assert files.count() == 2

@@ -150,15 +150,16 @@ def cohort_inputs(rows: DataFrame, slots: list[im.Slot], events: DataFrame | Non
 
 
 def process_exports(spark: SparkSession, path: str | list[str], clinical: DataFrame | None = None, corrections: DataFrame | None = None,
-                    settings: CohortSettings | None = None, variables: list[str] | None = None, real_zeros: list[str] = ()) -> ExportsResult:
+                    settings: CohortSettings | None = None, variables: list[str] | None = None, real_zeros: list[str] = (),
+                    bundled: bool = False) -> ExportsResult:
     """Run everything over the export files under ``path``.
 
     ``clinical`` and ``corrections`` are the accepted rows of ``tables.read_clinical`` and
     ``tables.read_corrections``. With clinical times, time counts from the event wherever
     the recording is aligned with it. Zeros of instruments named in ``real_zeros`` are
-    measured values, not suppressed ones.
+    measured values, not suppressed ones. ``bundled`` files hold several exports each.
     """
-    lines = stored(ex.read_exports(spark, path), "lines")
+    lines = stored(ex.read_exports(spark, path, bundled), "lines")
     codes = stored(ex.code_rows(lines), "codes")
     columns = stored(cl.drop_discarded(cl.build_dictionary(cl.parse_codes(ex.export_columns(lines, codes)), ["file"])), "dictionary")
     layout = stored(im.instrument_layout(columns, ["file"], "common_name"), "layout")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import JUNK_IDS
 from ..functions.clock import implausible_year, micros_between, serial_to_timestamp
 from ..functions.numbers import clean_nan
-from ..operators.ordered import index_rows, join_keys, last_known, strip_layout
+from ..operators.ordered import index_rows, join_keys, last_known, running, strip_layout
 from ..operators.timebase import patient_of, stem_of
 from .workdir import stored
 
@@ -23,6 +23,8 @@ from .workdir import stored
 HEADER_KEYS = {"file": "file_path", "patientid": "patient_id", "testdate": "test_date", "testtime": "test_time"}
 HEADER_LINES, CODE_ROW_LINES = 6, 61
 CLOCK = "ClockDateTime"
+#: How the first line of an export begins, which tells where the next one of a bundle starts.
+FIRST_LINE = "File,"
 CODE = r"^I\d+_\d+$"
 VERSION = r"(?i)(Persyst\s+\d+[\.\d]*)"
 RAW_EXTENSIONS = ["edf", "lay", "dat", "eeg", "bdf"]
@@ -34,10 +36,12 @@ CHARSETS = {"utf-8-sig": ("UTF-8", "\n"), "cp1252": ("ISO-8859-1", "\n"), "latin
 _CP1252 = {i: bytes([i]).decode("cp1252", "ignore") for i in range(0x80, 0xA0)}
 
 
-def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-8-sig") -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-8-sig", bundled: bool = False) -> DataFrame:
     """(file, line_no, text) of text files; line numbers count across the splits of a file, blank lines too.
 
     ``encoding`` is one that ``file_encodings`` names. Byte order marks and carriage returns go.
+    A ``bundled`` file holds whole exports one after the other, each from its ``File,`` line
+    on: they are files of their own, named by the bundle and their first line in it.
     """
     charset, separator = CHARSETS[encoding]
     rows = spark.read.option("lineSep", separator).text(path)
@@ -48,6 +52,11 @@ def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-
     placed = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
                          F.monotonically_increasing_id().alias("_seq"), F.regexp_replace(text, "^\ufeff|\r$", "").alias("text"))
     numbered = index_rows(placed, ["file"], ["_block", "_seq"], row="line_no", total="_n")
+    if bundled:
+        begins = F.when(F.startswith("text", F.lit(FIRST_LINE)), F.col("line_no"))
+        numbered = running(numbered, ["file"], {"_first": ("max", begins)}, row="line_no")
+        first = F.coalesce("_first", F.lit(0))
+        numbered = numbered.withColumns({"file": F.concat("file", F.lit("#"), first.cast("string"), F.lit(".csv")), "line_no": F.col("line_no") - first}).drop("_first")
     return strip_layout(numbered).drop("_block", "_seq", "_n")
 
 
@@ -59,12 +68,12 @@ def file_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return first.select("file", F.when(big & ~F.is_valid_utf8(F.col("_raw").cast("string")), "utf-16-be").otherwise(encoding_of("_raw")).alias("encoding"))
 
 
-def read_exports(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_exports(spark: SparkSession, path: str | list[str], bundled: bool = False) -> DataFrame:
     """``read_lines`` of every file in its own encoding; one small row per file comes to the driver."""
     by: dict[str, list[str]] = {}
     for r in file_encodings(spark, path).collect():
         by.setdefault(r["encoding"], []).append(r["file"])
-    parts = [read_lines(spark, files, encoding) for encoding, files in sorted(by.items())]
+    parts = [read_lines(spark, files, encoding, bundled) for encoding, files in sorted(by.items())]
     return reduce(DataFrame.unionByName, parts) if parts else read_lines(spark, path)
 
 
