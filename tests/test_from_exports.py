@@ -145,3 +145,12 @@ def test_bundles_of_exports_read_like_files(spark, layout, tmp_path):
 def test_recordings_are_written_as_few_files(spark):
     files = spark.read.text(write_recordings(spark, "/root/testdata/sf0.001")).select(F.input_file_name().alias("f")).distinct()
     assert files.count() == 2
+
+
+def test_files_with_equal_headers_are_described_once(spark, tmp_path):
+    for name, order in (("A_1", NAMES), ("B_1", NAMES), ("C_1", NAMES[::-1])):
+        export(tmp_path, name, name, range(0, 3), order=order)
+    lines = ex.read_exports(spark, str(tmp_path))
+    stem = lambda c: F.regexp_extract(c, r"([^/]*)\.csv$", 1)
+    got = ex.header_files(lines, ex.code_rows(lines)).select(stem("file"), stem("header_file")).collect()
+    assert {tuple(r) for r in got} == {("A_1", "A_1"), ("B_1", "A_1"), ("C_1", "C_1")}

@@ -103,22 +103,27 @@ def pack_rows(rows: DataFrame, layout: DataFrame, slots: list[Slot], keys: list[
     return placed.select(*keys, *keep, *_packed_columns(slots, lambda p: F.get("values", p)))
 
 
-def pack_lines(lines: DataFrame, codes: DataFrame, layout: DataFrame, slots: list[Slot]) -> DataFrame:
-    """Lines of exports -> file, row_idx, serial, ts and a column per instrument; only cells of ``slots`` are parsed.
+def pack_lines(lines: DataFrame, codes: DataFrame, layout: DataFrame, slots: list[Slot], of: str = "file", keep: list[str] = ()) -> DataFrame:
+    """Lines of exports -> file, ``keep``, row_idx, serial, ts and a column per instrument; only cells of ``slots`` are parsed.
 
-    ``codes`` is what ``exports.code_rows`` gives.
+    ``codes`` is what ``exports.code_rows`` gives, with the columns ``keep``. ``of`` is its column that names
+    the file whose ``layout`` a file shares.
     """
     from ..functions.clock import serial_to_timestamp
     from ..sources.exports import CLOCK, cells
 
     clock = F.array_position("codes", CLOCK).cast("int") - 1
-    per_file = codes.select("file", "code_line", clock.alias("_clock")).join(file_places(layout, slots, ["file"]), "file")
+    places = file_places(layout, slots, ["file"]).withColumnRenamed("file", "_of")
+    per_file = codes.select("file", "code_line", clock.alias("_clock"), F.col(of).alias("_of"), *keep).join(places, "_of").drop("_of")
     data = lines.join(per_file, "file").where((F.col("line_no") > F.col("code_line")) & (F.trim("text") != ""))
     split = F.when(F.contains("text", F.lit('"')), cells("text")).otherwise(F.split("text", ",", -1))
-    number = lambda p: clean_nan(F.trim(F.get("_cells", p)).try_cast("double"))
-    cut = data.select("file", (F.col("line_no") - F.col("code_line") - 1).alias("row_idx"), "_clock", "places", split.alias("_cells"))
-    out = cut.select("file", "row_idx", number(F.col("_clock")).alias("serial"), *_packed_columns(slots, number))
-    return out.select("file", "row_idx", "serial", serial_to_timestamp("serial").alias("ts"), *[s.name for s in slots])
+    cell = lambda p: F.trim(F.get("_cells", p))
+    number = lambda p: F.when(cell(p) != "", cell(p)).try_cast("double")  # noqa: E731  (a failing cast costs much more than the test)
+    cleaned = lambda s: F.transform(s.name, clean_nan) if s.is_array else clean_nan(s.name)
+    cut = data.select("file", *keep, (F.col("line_no") - F.col("code_line") - 1).alias("row_idx"), "_clock", "places", split.alias("_cells"))
+    parsed = cut.select("file", *keep, "row_idx", number(F.col("_clock")).alias("serial"), *_packed_columns(slots, number))
+    out = parsed.select("file", *keep, "row_idx", clean_nan("serial").alias("serial"), *[cleaned(s).alias(s.name) for s in slots])
+    return out.select("file", *keep, "row_idx", "serial", serial_to_timestamp("serial").alias("ts"), *[s.name for s in slots])
 
 
 def _arrays(slots: list[Slot]) -> Column:

@@ -71,7 +71,7 @@ def process_cohort(inputs: CohortInputs, settings: CohortSettings | None = None)
         df = timebase.timeline(kept, keys, inputs.order, ts)
     else:
         df = timebase.hours_relative(df, "start_ts", ts)
-    df = timebase.stored_if_sliced(df)
+    df = timebase.step_support(stored(df, "timeline"), keys, ts, cfg.epoch_seconds)  # several steps read it, each more than once
     if inputs.instruments:
         df = quality.null_suppressed_zeros(df, keys, list(inputs.instruments))
     else:
@@ -89,7 +89,6 @@ def process_cohort(inputs: CohortInputs, settings: CohortSettings | None = None)
             df = features.derived_features(df, region)
     if inputs.engines:
         df = features.independent_masks(df, keys, {f"independent_{n}": spec for n, spec in inputs.engines.items()}, ts)
-    df = timebase.step_support(df, keys, ts, cfg.epoch_seconds)
     epochs = stored(strip_layout(df), "epochs")
 
     masks = {v: f"independent_{e}" for v, e in (inputs.variable_engine or {}).items()}

@@ -24,6 +24,7 @@ from ..functions import clock as ck
 from ..operators import columns as cl
 from ..operators import instruments as im
 from ..operators import quality, timebase
+from ..operators.bins import bin_labels
 from ..operators.features import regional_features
 from ..operators.ordered import join_keys, strip_layout
 from ..sources import exports as ex
@@ -92,15 +93,15 @@ def with_corrected_clocks(rows: DataFrame, starts: DataFrame) -> DataFrame:
         return rows
     mine = join_keys(rows, starts, ["file"], "left_semi")
     moved = timebase.correct_clocks(timebase.timeline(mine, ["file"], ["line_idx"]), ["file"], starts.select("file", "segment_start"))
-    moved = strip_layout(moved).withColumn("ts", F.col("corrected_ts")).select(*rows.columns)
+    moved = stored(strip_layout(moved).withColumn("ts", F.col("corrected_ts")).select(*rows.columns), "moved")
     return rows.join(starts.select("file"), "file", "left_anti").select(*rows.columns).unionByName(moved)
 
 
 def merged_rows(rows: DataFrame, slots: list[im.Slot]) -> DataFrame:
     """One row per patient and clock: the first row of a clock within a file, instruments of overlapping files merged."""
-    first = rows.groupBy("file", "ts").agg(F.min("line_idx").alias("line_idx"))
-    single = stored(rows.join(first, ["file", "ts", "line_idx"], "left_semi"), "clocks")
-    shared = single.groupBy(*KEY, "ts").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*KEY, "ts")
+    again = rows.groupBy("file", "ts").agg(F.min("line_idx").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    single = rows.join(stored(again, "clocks"), ["file", "ts"], "left").where("_first IS NULL OR line_idx = _first").drop("_first")
+    shared = stored(single.groupBy(*KEY, "ts").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*KEY, "ts"), "shared_clocks")
     density = single.groupBy(*KEY, "file").agg(F.array(*[F.count_if(_present(s)) for s in slots]).alias("_d"))
     both = join_keys(join_keys(single, shared, [*KEY, "ts"]), density, [*KEY, "file"])
     pick = lambda i, s: F.min_by(s.name, F.when(_present(s), F.struct(-F.get("_d", F.lit(i)), "file"))).alias(s.name)
@@ -161,12 +162,14 @@ def process_exports(spark: SparkSession, path: str | list[str], clinical: DataFr
     """
     lines = stored(ex.read_exports(spark, path, bundled), "lines")
     codes = stored(ex.code_rows(lines), "codes")
-    columns = stored(cl.drop_discarded(cl.build_dictionary(cl.parse_codes(ex.export_columns(lines, codes)), ["file"])), "dictionary")
+    headers = stored(ex.header_files(lines, codes), "headers")
+    own = codes.join(headers.where("file = header_file").select("file"), "file", "left_semi")
+    columns = stored(cl.drop_discarded(cl.build_dictionary(cl.parse_codes(ex.export_columns(lines, own)), ["file"])), "dictionary")
     layout = stored(im.instrument_layout(columns, ["file"], "common_name"), "layout")
     slots = im.cohort_slots(layout)
     files = stored(file_table(lines, codes), "files")
-    packed = im.pack_lines(lines, codes, layout, slots).withColumnRenamed("row_idx", "line_idx").drop("serial")
-    packed = stored(join_keys(packed, files.select("file", *KEY), ["file"]), "packed")
+    placed = codes.join(headers, "file").join(files.select("file", *KEY), "file")
+    packed = stored(im.pack_lines(lines, placed, layout, slots, "header_file", KEY).withColumnRenamed("row_idx", "line_idx").drop("serial"), "packed")
 
     events = event_times(clinical) if clinical is not None else None
     starts = stored(corrected_files(files, corrections, events), "starts")
@@ -186,12 +189,16 @@ def process_exports(spark: SparkSession, path: str | list[str], clinical: DataFr
     aligned = aligned.withColumns({"reference": F.when(F.col("is_aligned"), "event").otherwise("recording_start"),
                                    "reference_ts": F.when(F.col("is_aligned"), F.col("event_ts")).otherwise(F.col("start_ts"))})
     ranges = {f: names for f, names in spread(rows, slots)[2].items()}
-    return ExportsResult(result, report, columns, layout, slots, aligned, quality.rejection_report(inputs.epochs, KEY, list(inputs.instruments)),
-                         quality.out_of_range(inputs.epochs, KEY, ranges), stage_rows(packed, rows, result, inputs))
+    every = lambda df: headers.join(df.withColumnRenamed("file", "header_file"), "header_file").drop("header_file")
+    return ExportsResult(result, report, every(columns), every(layout), slots, aligned, quality.rejection_report(inputs.epochs, KEY, list(inputs.instruments)),
+                         quality.out_of_range(inputs.epochs, KEY, ranges), stage_rows(packed, rows, result, inputs, settings or CohortSettings()))
 
 
-def stage_rows(packed: DataFrame, merged: DataFrame, result: CohortResult, inputs: CohortInputs) -> DataFrame:
-    """Rows of every patient after each stage, from the files to the bins."""
+def stage_rows(packed: DataFrame, merged: DataFrame, result: CohortResult, inputs: CohortInputs, settings: CohortSettings) -> DataFrame:
+    """Rows of every patient after each stage, from the files to the bins.
+
+    Bins without rows are emitted too, so a patient with epochs has every configured bin.
+    """
     count = lambda df, **how: df.groupBy(*KEY).agg(*[c.alias(n) for n, c in how.items()])
     out = count(packed, parsed=F.count(F.lit(1)), without_clock=F.count_if(F.col("ts").isNull()))
     out = join_keys(out, count(merged, merged=F.count(F.lit(1))), KEY, "left")
@@ -202,7 +209,6 @@ def stage_rows(packed: DataFrame, merged: DataFrame, result: CohortResult, input
         out = out.withColumn("leading_zero_removed", F.lit(0).cast("long"))
     after = count(result.epochs, post_event_trim=F.count(F.lit(1)), artifact_clean=F.count_if("artifact_clean"), seizure_flagged=F.count_if("seizure"), usable=F.count_if("usable"))
     out = join_keys(out, after, KEY, "left")
+    out = out.withColumn("binned_rows", F.when(F.col("usable").isNotNull(), F.lit(len(set(bin_labels(list(settings.bins.edges))))).cast("long")))
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("merged", "leading_zero_removed", "post_event_trim", "artifact_clean", "seizure_flagged", "usable")})
-    out = out.withColumn("pre_event_trimmed", F.col("merged") - F.col("leading_zero_removed") - F.col("post_event_trim"))
-    bins = result.bins.groupBy(*KEY).agg(F.count_distinct("bin_label").alias("binned_rows"))
-    return join_keys(out, bins, KEY, "left")
+    return out.withColumn("pre_event_trimmed", F.col("merged") - F.col("leading_zero_removed") - F.col("post_event_trim"))

@@ -119,11 +119,24 @@ def code_rows(lines: DataFrame) -> DataFrame:
         F.min("line_no").alias("code_line"), F.min_by("codes", "line_no").alias("codes"))
 
 
+def _label_rows(lines: DataFrame, codes: DataFrame) -> DataFrame:
+    """The line above the code row of every file that has one."""
+    return lines.where(F.col("line_no") < CODE_ROW_LINES).join(
+        codes.select(F.col("file").alias("_f"), (F.col("code_line") - 1).alias("_l")), (F.col("file") == F.col("_f")) & (F.col("line_no") == F.col("_l")))
+
+
+def header_files(lines: DataFrame, codes: DataFrame) -> DataFrame:
+    """(file, header_file): the first file by name that has the same label row and codes, so that columns are described once."""
+    labelled = codes.select("file", "codes").join(_label_rows(lines, codes).select("file", "text"), "file", "left")
+    marked = labelled.select("file", F.sha2(F.to_json(F.struct("text", "codes")), 256).alias("_header"))
+    first = marked.groupBy("_header").agg(F.min("file").alias("header_file"))
+    return marked.join(first, "_header").drop("_header")
+
+
 def export_columns(lines: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """(file, col_idx, code, label): labels filled forward over merged cells."""
     codes = codes if codes is not None else code_rows(lines)
-    above = lines.where(F.col("line_no") < CODE_ROW_LINES).join(
-        codes.select(F.col("file").alias("_f"), (F.col("code_line") - 1).alias("_l")), (F.col("file") == F.col("_f")) & (F.col("line_no") == F.col("_l")))
+    above = _label_rows(lines, codes)
     labels = above.select("file", F.posexplode(cells("text")).alias("col_idx", "_label")).withColumn("_label", F.when(F.col("_label") != "", F.col("_label")))
     columns = codes.select("file", F.posexplode("codes").alias("col_idx", "code"))
     joined = columns.join(labels, ["file", "col_idx"], "left")
